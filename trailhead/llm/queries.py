@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat
+from . import bpe, chat, common, langid, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,31 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    got = quality.score(docs, model, keep=["doc_id"])
+    return got.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", quality.predicted(F.col("score")))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *secrets.digests())
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     got = bpe.encode(docs, tokenizer_file(), decoded="decoded", keep=["doc_id"])
     return got.select("doc_id", *bpe.digests())
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    got = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return got.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -39,7 +58,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
+    "op6_langid": op6_langid,
     "op9_chat": op9_chat,
 }
 
