@@ -33,7 +33,7 @@ class Settings:
     window: int = 8000
     dictionary_bytes: int = 64 * 1024
     level: int = 3
-    block_bytes: int = 8 * 1024
+    block_bytes: int = 1024
 
 
 @dataclass(frozen=True)
