@@ -29,7 +29,7 @@ def test_caches_stay_bounded(monkeypatch):
         monkeypatch.setattr(bpe, name, 5)
     e = bpe.Encoder(bpe.Vocabulary(tokenizer_file()))
     e.encode(" ".join(f"word{i}" for i in range(100)))
-    assert max(len(e.chunks), len(e.pieces), len(e.pairs)) <= 5
+    assert max(len(e.chunks.young), len(e.chunks.old), len(e.pieces.young), len(e.pieces.old), len(e.pairs)) <= 5
 
 
 def test_invalid_utf8_is_replaced_as_the_library_does(reference):

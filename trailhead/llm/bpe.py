@@ -9,12 +9,13 @@ Ids must be in order of their merges (each token's id is above those of its two
 was written in the order of training.
 
 Defined results: null text counts as empty and gives no ids; a text may be of any length (long pieces aren't kept in
-the cache); repeated rows give repeated results; an input column named like an output column is replaced.
+the caches); repeated rows give repeated results; an input column named like an output column is replaced.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -30,8 +31,9 @@ from . import common
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: Entries of each cache's younger half; the older half holds as many at most.
 CACHED_CHUNKS = 150_000
-CACHED_PIECES = 100_000
+CACHED_PIECES = 300_000
 CACHED_PAIRS = 1_000_000
 LONGEST_CACHED = 64
 
@@ -102,13 +104,31 @@ class Vocabulary:
             x_until, x = x, right[x]
 
 
+class Cache:
+    """A bounded map: when the young half is full it becomes the old one, and what is used again returns to the young."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+    def again(self, key: str) -> bytes | None:
+        """The value of a key that isn't in the young half."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+
 class Encoder:
     """Encodes and decodes texts; keeps bounded caches of chunks, pieces and pairs."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.chunks, self.pieces = Cache(CACHED_CHUNKS), Cache(CACHED_PIECES)
         self.pairs: dict[int, bool] = {}
         self.split = regex.compile(PIECES).findall
         self.lone_space = regex.compile(rf" (?=[{SPACE}]|$)").search
@@ -146,17 +166,15 @@ class Encoder:
 
     def chunk(self, text: str) -> bytes:
         """Ids, as int32 bytes, of a run of text that begins and ends where pre-tokens do."""
-        ids: list[int] = []
+        out = []
         for p in self.split(text):
-            got = self.pieces.get(p)
+            got = self.pieces.young.get(p) or self.pieces.again(p)
             if got is None:
-                got = self.piece(p)
+                got = array("i", self.piece(p)).tobytes()
                 if len(p) <= LONGEST_CACHED:
-                    if len(self.pieces) >= CACHED_PIECES:
-                        self.pieces.clear()
-                    self.pieces[p] = got
-            ids += got
-        return np.array(ids, np.int32).tobytes()
+                    self.pieces.put(p, got)
+            out.append(got)
+        return b"".join(out)
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens. A pre-token begins at every space before a non-space."""
@@ -164,17 +182,14 @@ class Encoder:
             parts = self.inner_space.split(text)
         else:
             parts = text.split(" ")
-        chunks, out, first = self.chunks, [], True
-        get = chunks.get
-        for part in parts:
-            got = get(part) if not first else None
+        chunks = self.chunks
+        out = [self.chunk(parts[0])]
+        for part in parts[1:]:
+            got = chunks.young.get(part) or chunks.again(part)
             if got is None:
-                got = self.chunk(part if first else " " + part)
-                if not first and len(part) <= LONGEST_CACHED:
-                    if len(chunks) >= CACHED_CHUNKS:
-                        chunks.clear()
-                    chunks[part] = got
-            first = False
+                got = self.chunk(" " + part)
+                if len(part) <= LONGEST_CACHED:
+                    chunks.put(part, got)
             out.append(got)
         return b"".join(out)
 
