@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, langid, quality, secrets
+from . import bpe, chat, common, decontaminate, langid, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *bpe.digests())
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = decontaminate.find(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return got.select("doc_id", *decontaminate.digests())
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs)
@@ -46,6 +52,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.cluster(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -61,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
+    "op5_decontaminate": op5_decontaminate,
     "op6_langid": op6_langid,
+    "op7_simhash": op7_simhash,
     "op9_chat": op9_chat,
 }
 
