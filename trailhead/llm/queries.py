@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, langid, quality, secrets, simhash, topk
+from . import bpe, chat, common, decontaminate, langid, pii, quality, secrets, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_chat(rows.unionByName(own))))
 
 
+PII_KEY = "surrogates-1"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return got.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op9_chat": op9_chat,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
