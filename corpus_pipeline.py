@@ -1,19 +1,84 @@
-"""The corpus pipeline: stages that each take and return documents."""
+"""The corpus pipeline: language, near-duplicates, contamination, personal data, tokens.
+
+Each stage takes documents and returns documents, all columns kept, with what it rejects gone; the last returns token
+ids. Columns that a stage needs for itself get names that the documents don't have, and are dropped again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailhead.llm import bpe, common, decontaminate, langid, pii, queries, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+#: A document goes if its language's probability is under this, or if it has no letter.
+LEAST_SCORE = 0.3
+
+#: Near-duplicates: shingles of five words, 256 bits, and the distance that a similarity of 0.8 gives with some room.
+NEAR = {"shingle": 5, "seeds": (42, 43, 44, 45), "radius": 46, "tables": 64, "key_bits": 16}
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is known."""
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    lang, score = common.free(docs, "predicted"), common.free(docs, "probability")
+    known = langid.predict(docs, model, lang=lang, score=score)
+    return known.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each group of near-duplicates the document of the smallest id (null ids last).
+
+    Rows are numbered as they are stored, so that rows of one id, or without one, are documents of their own.
+    """
+    row = common.free(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = simhash.cluster(numbered, row, "text", **NEAR, carry=("doc_id",))
+    order = F.struct(F.col("carried.doc_id").isNull(), "carried.doc_id", F.col("doc_id").alias("row"))
+    first = groups.groupBy("component_id").agg(F.min(order)["row"].alias(row)).select(row)
+    return numbered.join(first, row, "left_semi").drop(row)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that the benchmark doesn't contaminate."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    own = common.free(docs, "own_")
+    found = decontaminate.find(docs, benchmark, prefix=own)
+    clean = ~decontaminate.contaminated(F.col(f"{own}n_words"), decontaminate.hit_words(f"{own}hits"))
+    return found.where(clean).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts; n_chars follows the text."""
+    entities = common.free(docs, "entities")
+    done = pii.pseudonymize(docs, queries.PII_KEY, out=entities).drop(entities)
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the token ids of each text."""
+    ids = bpe.encode(docs, queries.tokenizer_file(), ids="ids", keep=["doc_id"])
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", replace_personal_data),
+    ("tokens", encode),
+]
+
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; each stage's result is a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -47,10 +47,10 @@ def test_fingerprints_and_components(spark):
             w[rnd.randrange(len(w))] = "edit"
             rows.append((1000 + i, " ".join(w)))
     rows += [(2000, None), (2001, rows[7][1]), (2001, rows[7][1]), (2002, "w " * 60000)]
-    docs = spark.createDataFrame([(d, t, 5, "c") for d, t in rows], "doc_id long, text string, fp int, component_id string")
+    docs = spark.createDataFrame([(d, t, 5, "c") for d, t in rows], "doc_id long, text string, fp0 int, component_id string")
     got = simhash.cluster(docs)
-    assert got.columns == ["doc_id", "fp", "component_id"]
-    got = sorted((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got.collect())
+    assert got.columns == ["doc_id", "fp0", "component_id"]
+    got = sorted((r["doc_id"], r["fp0"] % (1 << 64), r["component_id"]) for r in got.collect())
     fps = [brute_fingerprint(t) for _, t in rows]
     ids = [d for d, _ in rows]
     assert got == sorted(zip(ids, fps, brute_components(ids, fps)))
@@ -73,7 +73,7 @@ def test_links_in_small_large_and_split_buckets(spark):
     fps = chained(rnd, 300, [1, 2, 3, 4, 5, 9]) + [rnd.getrandbits(64) for _ in range(300)] + [0, 1, (1 << 64) - 1, (1 << 64) - 16]
     want = brute_components(range(len(fps)), fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    nodes = spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp long, node long")
+    nodes = spark.createDataFrame(list(zip(range(len(fps)), signed)), "node long, fp0 long")
     for limit, batch in ((4096, 100_000), (20, 50)):
         pairs = simhash.near_pairs(nodes, bucket_rows=limit, batch_rows=batch)
         found = {r["node"]: r["component"] for r in simhash.components(pairs).collect()}
@@ -92,6 +92,22 @@ def test_bit_sliced_counters():
         assert (got == (mask[:500] & (np.bitwise_count(flips) <= radius))).all()
 
 
+def test_four_words_and_drawn_bits_find_copies_with_edits(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        rows.append((i, " ".join(w)))
+        if i % 2:
+            for _ in range(4):
+                w[rnd.randrange(300)] = "edit"
+            rows.append((100 + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.cluster(docs, shingle=5, radius=46, seeds=(42, 43, 44, 45), tables=64, key_bits=16)
+    found = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    assert found == {d: d % 100 for d, _ in rows}
+
+
 def test_long_chain_settles(spark):
     n = 300
     order = list(range(n))

@@ -33,6 +33,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: the given one behind as many underscores as it takes."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def crc_fold(column: Column) -> Column:
     """crc32 of the value as text, modulo the number of folds; fold 0 is held out."""
     return F.crc32(column.cast("string")) % FOLDS

@@ -131,16 +131,25 @@ def rarity(docs: DataFrame, text: str, items: list[tuple[str, list[bytes]]], wid
     return {key: totals.get(i, 0) for key, i in numbers.items()}
 
 
-FIELDS = [
-    T.StructField("n_words", T.LongType()),
-    T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-    T.StructField("items", T.ArrayType(T.StringType())),
-]
+RANGE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
+
+def fields(prefix: str) -> list[T.StructField]:
+    return [
+        T.StructField(f"{prefix}n_words", T.LongType()),
+        T.StructField(f"{prefix}hits", T.ArrayType(RANGE)),
+        T.StructField(f"{prefix}items", T.ArrayType(T.StringType())),
+    ]
+
+
 HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, shard_chars: int = SHARD_CHARS, keep=None) -> DataFrame:
-    """Add n_words, hits (ranges of word numbers that windows cover) and items (ids, sorted as text)."""
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, shard_chars: int = SHARD_CHARS, keep=None, prefix: str = "") -> DataFrame:
+    """Add n_words, hits (ranges of word numbers that windows cover) and items (ids, sorted as text).
+
+    prefix goes before the names of these columns.
+    """
     known = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t")).dropna()
     chars = known.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
@@ -149,11 +158,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         rows = known.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == shard).orderBy("id", "t").collect()
         items = [(r["id"], w) for r in rows if (w := words(r["t"].encode()))]
         index = Index(items, width, rarity(docs, text, items, width))
-        out = _add(out, text, index, shard > 0, keep if shard == shards - 1 else None)
+        out = _add(out, text, index, shard > 0, keep if shard == shards - 1 else None, prefix)
     return out
 
 
-def _add(docs: DataFrame, text: str, index: Index, more: bool, keep) -> DataFrame:
+def _add(docs: DataFrame, text: str, index: Index, more: bool, keep, prefix: str) -> DataFrame:
     def make():
         def fn(column: pa.Array, *before: pa.Array):
             counts, hits, items = [], [], []
@@ -172,7 +181,7 @@ def _add(docs: DataFrame, text: str, index: Index, more: bool, keep) -> DataFram
         return fn
 
     kept = [c for c in (docs.columns if keep is None else keep)]
-    return common.with_columns(docs, [text, *(["hits", "items"] if more else [])], FIELDS, make, kept)
+    return common.with_columns(docs, [text, *([f"{prefix}hits", f"{prefix}items"] if more else [])], fields(prefix), make, kept)
 
 
 def hit_words(hits: str = "hits") -> Column:

@@ -58,7 +58,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.cluster(_table(spark, sf_dir, "documents"))
-    return got.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    return got.select("doc_id", simhash.hex_digits(F.col("fp0")).alias("fingerprint"), "component_id")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ A fingerprint has a bit set where more than half of the text's shingle hashes ha
    carry-save counters in bit-sliced form (one word per counter digit) add up 64 distances at a time, and words whose
    64 lanes have all passed the radius, or aren't of one bucket, are abandoned. d goes up to the longest bucket.
 4. Buckets beyond `bucket_rows` are split into parts, and each pair of parts is compared in a bucket of its own.
+   (Wide radii, for which too many buckets would be needed: fingerprints of several words, and buckets by the values
+   of a few bits drawn for each of many tables. Links may then be missed; the README has the measured share.)
 5. Of the links of a bucket only a spanning set is returned; components come from rounds of label propagation with
    pointer jumping over tables in the shared folder. Nothing is gathered on the driver.
 
@@ -39,35 +41,44 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 ONE = np.uint64(1)
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def fingerprint(text: bytes, shingle: int = 4, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """The fingerprint as signed 64-bit integers, one for each seed of the hash."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     ends = list(accumulate((len(w) + 1 for w in words), initial=-1))
     line = b" ".join(words)
     k = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a + 1 : b], SEED) for a, b in zip(ends, ends[k:])], np.uint64)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+    parts = [line[a + 1 : b] for a, b in zip(ends, ends[k:])]
+    digest, out = xxhash.xxh64_intdigest, []
+    for seed in seeds:
+        hashes = np.array([digest(p, seed) for p in parts], np.uint64)
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            part = hashes[at : at + (1 << 16)]
+            bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
+            counts += bits.sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0]))
+    return out
+
 
+def names(n: int) -> list[str]:
+    """The columns of a fingerprint of n words."""
+    return [f"fp{i}" for i in range(n)]
 
-def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = 4, keep=None) -> DataFrame:
-    """Add each text's fingerprint, a long."""
+
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, seeds: tuple[int, ...] = (SEED,), keep=None) -> DataFrame:
+    """Add each text's fingerprint: a long for each seed, fp0 and so on."""
+    fields = [T.StructField(n, T.LongType()) for n in names(len(seeds))]
 
     def make():
         def fn(column: pa.Array):
-            texts = column.cast(pa.binary()).to_pylist()
-            return [pa.array([fingerprint(t or b"", shingle) for t in texts], pa.int64())]
+            got = [fingerprint(t or b"", shingle, seeds) for t in column.cast(pa.binary()).to_pylist()]
+            return [pa.array(x, pa.int64()) for x in np.array(got, np.int64).reshape(-1, len(seeds)).T]
 
         return fn
 
-    return common.with_columns(docs, [text], [T.StructField(out, T.LongType())], make, keep)
+    return common.with_columns(docs, [text], fields, make, keep)
 
 
 def hex_digits(fp: Column) -> Column:
@@ -88,12 +99,33 @@ def bucket_keys(fp: Column, radius: int) -> Column:
     )
 
 
+def sampled_keys(nodes: DataFrame, n_words: int, tables: int, key_bits: int) -> DataFrame:
+    """key, node and fingerprint: a row for each table, whose key is the values of bits drawn for that table."""
+    rng = np.random.default_rng(SEED)
+    drawn = [np.sort(rng.choice(n_words * BITS, key_bits, replace=False)) for _ in range(tables)]
+    cols = names(n_words)
+
+    def run(batches):
+        for batch in batches:
+            x = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[1:]]
+            for number, bits in enumerate(drawn):
+                key = np.full(batch.num_rows, number << 40, np.int64)
+                for k, b in enumerate(bits):
+                    key |= (x[b // BITS] >> np.uint64(b % BITS) & ONE).astype(np.int64) << k
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", "node", *cols])
+
+    return nodes.select("node", *cols).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "node", *cols)))
+
+
 def vertical(x: np.ndarray) -> np.ndarray:
-    """Bit planes of the fingerprints: 64 rows of 64-bit words, lane i of word w being fingerprint 64 w + i."""
-    words = -(-len(x) // 64)
-    padded = np.zeros(words * 64, np.uint64)
+    """Bit planes of fingerprints (rows of words): 64 rows of lane words for each word of a fingerprint.
+
+    Lane i of lane word w belongs to fingerprint 64 w + i.
+    """
+    x = x.reshape(len(x), -1)
+    padded = np.zeros((-(-len(x) // 64) * 64, x.shape[1]), np.uint64)
     padded[: len(x)] = x
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -107,7 +139,7 @@ def near(planes: np.ndarray, shifted: np.ndarray, lanes: np.ndarray, radius: int
     alive = np.flatnonzero(lanes)
     over = ~lanes[alive]
     counter = [np.full(len(alive), ~np.uint64(0) if start >> k & 1 else np.uint64(0)) for k in range(digits)]
-    for b in range(BITS):
+    for b in range(len(planes)):
         carry = planes[b, alive] ^ shifted[b, alive]
         for k in range(digits):
             counter[k], carry = counter[k] ^ carry, counter[k] & carry
@@ -182,13 +214,14 @@ def _search(radius: int, batch_rows: int):
 
         def flush(last: bool):
             nonlocal held, rows
-            key, part, fp, node = (np.concatenate(c) for c in zip(*held))
+            key, part, node, *fps = (np.concatenate(c) for c in zip(*held))
             change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
             end = len(key) if last else int(change[-1]) if len(change) else 0
             number = np.zeros(len(key), np.int64)
             number[change] = 1
-            pairs = links(np.cumsum(number)[:end], fp[:end].view(np.uint64), radius) if end else []
-            held, rows = [[c[end:] for c in (key, part, fp, node)]], len(key) - end
+            x = np.stack(fps, 1).view(np.uint64)
+            pairs = links(np.cumsum(number)[:end], x[:end], radius) if end else []
+            held, rows = [[c[end:] for c in (key, part, node, *fps)]], len(key) - end
             if pairs:
                 a, b = np.array(pairs).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
@@ -204,22 +237,33 @@ def _search(radius: int, batch_rows: int):
     return run
 
 
-def near_pairs(nodes: DataFrame, radius: int = 4, bucket_rows: int = 4096, batch_rows: int = 100_000) -> DataFrame:
-    """Links (a, b) that span each component of nodes (fp, node), one row for each distinct fingerprint."""
-    keyed = nodes.select(F.explode(bucket_keys(F.col("fp"), radius)).alias("key"), "fp", "node")
-    large = common.materialize(keyed.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).alias("parts")), "large-buckets")
+def near_pairs(nodes: DataFrame, radius: int = 4, n_words: int = 1, tables: int = 0, key_bits: int = 20, bucket_rows: int = 4096, batch_rows: int = 100_000) -> DataFrame:
+    """Links (a, b) that span each component of nodes (node, fp0, ...), one row for each distinct fingerprint.
+
+    With tables = 0 (one word only) no link is missed; else two fingerprints meet if they agree in all key_bits of a
+    table.
+    """
+    cols = names(n_words)
+    if tables:
+        keyed = sampled_keys(nodes, n_words, tables, key_bits)
+    elif n_words == 1:
+        keyed = nodes.select(F.explode(bucket_keys(F.col("fp0"), radius)).alias("key"), "node", "fp0")
+    else:
+        raise ValueError("fingerprints of several words need tables")
+    large = keyed.groupBy("key").count().where(F.col("count") > bucket_rows)
+    large = common.materialize(large.select("key", F.ceil(F.col("count") / bucket_rows).alias("parts")), "large-buckets")
     n_large = large.count()
     if n_large:
         # few, as each is large; beyond that bound an ordinary join
         both = keyed.join(F.broadcast(large) if n_large <= 100_000 else large, "key", "left")
         parts = F.coalesce("parts", F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), parts)
+        own = F.pmod(F.xxhash64("node"), parts)
         other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-        both = both.select("key", "fp", "node", parts.alias("parts"), own.alias("own"), other.alias("other"))
-        keyed = both.select("key", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part"), "fp", "node")
+        both = both.select("key", "node", *cols, parts.alias("parts"), own.alias("own"), other.alias("other"))
+        part = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
     else:
-        keyed = keyed.select("key", F.lit(0).cast("long").alias("part"), "fp", "node")
-    dealt = keyed.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
+        both, part = keyed, F.lit(0).cast("long")
+    dealt = both.select("key", part.alias("part"), "node", *cols).repartition("key", "part").sortWithinPartitions("key", "part", "node")
     return dealt.mapInArrow(_search(radius, batch_rows), "a long, b long")
 
 
@@ -249,11 +293,17 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row per input row: doc_id, fp (long), component_id (the smallest id reachable)."""
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    prints = common.materialize(fingerprints(picked, shingle=shingle, keep=["doc_id"]), "fingerprints")
-    nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(near_pairs(nodes.where("node is not null"), radius))
-    whole = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
+def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, seeds: tuple[int, ...] = (SEED,), tables: int = 0, key_bits: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, the fingerprint (fp0, ... for each seed), component_id (the smallest id reachable).
+
+    carry names further input columns, returned as one struct named carried.
+    """
+    cols = names(len(seeds))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried)
+    own = ["doc_id", *(["carried"] if carry else [])]
+    prints = common.materialize(fingerprints(picked, shingle=shingle, seeds=seeds, keep=own), "fingerprints")
+    nodes = common.materialize(prints.groupBy(*cols).agg(F.min("doc_id").alias("node")), "nodes")
+    found = components(near_pairs(nodes.where("node is not null"), radius, len(seeds), tables, key_bits))
+    whole = nodes.join(found, "node", "left").select(*cols, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(whole, cols).select(*own, *cols, "component_id")
