@@ -32,9 +32,9 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 #: Entries of each cache's younger half; the older half holds as many at most.
-CACHED_CHUNKS = 150_000
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 1_000_000
+CACHED_CHUNKS = 80_000
+CACHED_PIECES = 150_000
+CACHED_PAIRS = 300_000
 LONGEST_CACHED = 64
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, langid, pii, quality, secrets, simhash, topk
+from . import bpe, chat, common, decontaminate, langid, pii, quality, secrets, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.hex_digits(F.col("fp0")).alias("fingerprint"), "component_id")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+    return got.select("doc_id", *substrings.digests())
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
+    "op8_substrings": op8_substrings,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
 }
