@@ -229,7 +229,8 @@ def frequent_grams(docs: DataFrame, n_rows: int, least: int = 5) -> np.ndarray:
 
 
 def _cut_into_pieces(length: int, frequent: np.ndarray, n_ranges: int):
-    shift = np.uint64(64 - int(n_ranges).bit_length() + 1)
+    # the low bits, as an anchor's high bits are small by choice
+    low_bits = np.uint64(n_ranges - 1)
 
     def run(batches):
         pieces = Pieces(length, frequent)
@@ -241,7 +242,9 @@ def _cut_into_pieces(length: int, frequent: np.ndarray, n_ranges: int):
                 if not len(p):
                     continue
                 first, again = settle(p)
-                r = (first["key"] >> shift).astype(np.int64)
+                r = (first["key"] & low_bits).astype(np.int64)
+                by_range = np.argsort(r, kind="stable")
+                first, r = first[by_range], r[by_range]
                 cuts = np.flatnonzero(np.diff(r)) + 1
                 blobs = [_packed(x) for x in np.split(first, cuts)]
                 yield _batch(["range", "what", "blob"], pa.array(r[np.append(0, cuts)]), pa.array([SHARED] * len(blobs), pa.int32()), pa.array(blobs, pa.binary()))
