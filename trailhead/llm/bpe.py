@@ -14,7 +14,12 @@ the caches); repeated rows give repeated results; an input column named like an
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
+import threading
+import time
 from array import array
 
 import ahocorasick
@@ -32,11 +37,14 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 #: Entries of each cache's younger half; the older half holds as many at most.
-CACHED_CHUNKS = 80_000
-CACHED_PIECES = 150_000
-CACHED_PAIRS = 300_000
+CACHED_CHUNKS = 150_000
+CACHED_PIECES = 300_000
+CACHED_PAIRS = 500_000
 LONGEST_CACHED = 64
 
+#: Seconds after which a worker that encodes nothing gives the caches' memory back; other work may share the process.
+IDLE_S = 3.0
+
 
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else one from 256 up."""
@@ -128,13 +136,18 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.chunks, self.pieces = Cache(CACHED_CHUNKS), Cache(CACHED_PIECES)
-        self.pairs: dict[int, bool] = {}
+        self.forget()
         self.split = regex.compile(PIECES).findall
         self.lone_space = regex.compile(rf" (?=[{SPACE}]|$)").search
         self.inner_space = regex.compile(rf" (?=[^{SPACE}])")
         self.cut = regex.compile("|".join(map(regex.escape, self.v.special))) if self.v.special else None
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.used = time.monotonic()
+        self.chunks, self.pieces = Cache(CACHED_CHUNKS), Cache(CACHED_PIECES)
+        self.pairs: dict[int, bool] = {}
+
     def piece(self, text: str) -> list[int]:
         """Ids of one pre-token."""
         s = text.encode().decode("latin-1")
@@ -195,6 +208,7 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as an int32 array; the strings of special tokens become these tokens."""
+        self.used = time.monotonic()
         if not self.cut or not self.cut.search(text):
             return np.frombuffer(self.plain(text), np.int32)
         out, at = [], 0
@@ -213,9 +227,24 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _tidy() -> None:
+    """Empty the caches of encoders that have been idle, for as long as the process lives."""
+    while True:
+        time.sleep(IDLE_S / 2)
+        for e in list(_ENCODERS.values()):
+            if e.pairs and time.monotonic() - e.used > IDLE_S:
+                e.forget()
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                with contextlib.suppress(AttributeError, OSError):
+                    ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file; a process makes it once."""
     if path not in _ENCODERS:
+        if not _ENCODERS:
+            threading.Thread(target=_tidy, daemon=True).start()
         _ENCODERS[path] = Encoder(Vocabulary(path))
     return _ENCODERS[path]
 

@@ -62,7 +62,7 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     h, base, k = SYMBOL[text], BASE, 1
     while k < GRAM:
         h = h[:-k] * base + h[k:]
-        base, k = base * base, 2 * k
+        base, k = np.uint64(int(base) ** 2 % (1 << 64)), 2 * k
     return mixed(h)
 
 
