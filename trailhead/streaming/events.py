@@ -19,10 +19,13 @@ def conflicts(events: DataFrame) -> DataFrame:
     return events.groupBy("event_id").agg(F.approx_count_distinct("payload_checksum").alias("versions")).where("versions > 1")
 
 
-def window_counts(events: DataFrame, at: str, size: str = "1 hour", slide: str | None = None, delay: str = "10 minutes", by: tuple[str, ...] = ()) -> DataFrame:
-    """Events in half-open windows: window_start, window_end, keys, n_events. Later than the delay is rejected."""
+def window_counts(events: DataFrame, at: str, size: str = "1 hour", slide: str | None = None, delay: str | None = "10 minutes", by: tuple[str, ...] = ()) -> DataFrame:
+    """Events in half-open windows: window_start, window_end, keys, n_events. Later than the delay is rejected.
+
+    Without a delay, the watermark that the events already have holds.
+    """
     w = F.window(at, size, slide) if slide else F.window(at, size)
-    counted = events.withWatermark(at, delay).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n_events"))
+    counted = (events.withWatermark(at, delay) if delay else events).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n_events"))
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n_events")
 
 
