@@ -98,7 +98,83 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": f"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS rid, {_WORDS.format(x="text")} AS w FROM documents
+        ), b AS (
+            SELECT CAST(item_id AS VARCHAR) AS id, {_WORDS.format(x="text")} AS w FROM benchmark WHERE item_id IS NOT NULL
+        ), b2 AS (
+            SELECT *, least(13, len(w)) AS n FROM b WHERE len(w) > 0
+        ), b3 AS (
+            SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b2
+        ), win AS (
+            SELECT DISTINCT id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM b3
+        ), d2 AS (
+            SELECT d.rid, d.w, z.n, unnest(range(1, len(d.w) - z.n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) z WHERE len(d.w) >= z.n
+        ), d3 AS (
+            SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM d2
+        ), hit AS (
+            SELECT rid, i, n, id FROM d3 JOIN win USING (n, s)
+        ), word AS (
+            SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid
+        ), item AS (
+            SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, id FROM hit) GROUP BY rid
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN word USING (rid) LEFT JOIN item USING (rid)
+    """,
+    "op8_substrings": """
+        WITH d AS (
+            SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rid, encode(coalesce(text, '')) AS b FROM documents
+        ), w AS (
+            SELECT rid, i, b[i:i + 99] AS s FROM (SELECT rid, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d WHERE octet_length(b) >= 100)
+        ), again AS (
+            SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY s ORDER BY rid, i) AS n FROM w) WHERE n > 1
+        ), opens AS (
+            SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 100, true) AS new FROM again
+        ), runs AS (
+            SELECT rid, i, sum(new::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM opens
+        ), spans AS (
+            SELECT rid, run, min(i) AS s, max(i) + 99 AS e FROM runs GROUP BY rid, run
+        ), edges AS (
+            SELECT rid, s, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS before, e FROM spans
+        ), parts AS (
+            SELECT rid, s AS pos, b[before + 1:s - 1] AS piece FROM edges JOIN d USING (rid) WHERE s > before + 1
+            UNION ALL
+            SELECT rid, octet_length(b) + 1, b[last + 1:octet_length(b)] FROM d JOIN (SELECT rid, max(e) AS last FROM spans GROUP BY rid) USING (rid) WHERE last < octet_length(b)
+        ), kept AS (
+            SELECT rid, unhex(string_agg(hex(piece), '' ORDER BY pos)) AS k FROM parts GROUP BY rid
+        ), gone AS (
+            SELECT rid, sum(e - s + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid
+        )
+        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(CASE WHEN n_spans IS NULL THEN b ELSE coalesce(k, ''::BLOB) END) AS kept_sha256
+        FROM d LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)
+    """,
+    "op9_chat": r"""
+        WITH own AS (
+            SELECT -7 AS conv_id, 0 AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM own
+        ), e AS (
+            SELECT *, regexp_replace(regexp_replace(text,
+                '(<)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)', '\1\\\2\3', 'g'), '(\[)(\\*)(INST\]|/INST\])', '\1\\\2\3', 'g') AS body FROM t
+        )
+        SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(12 + length(url_encode(role)) + 1 + length(body) + 11) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op4_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q
