@@ -13,7 +13,7 @@ A fingerprint has a bit set where more than half of the text's shingle hashes ha
 4. Buckets beyond `bucket_rows` are split into parts, and each pair of parts is compared in a bucket of its own.
    (Wide radii, for which too many buckets would be needed: fingerprints of several words, and buckets by the values
    of a few bits drawn for each of many tables. Links may then be missed; the README has the measured share.)
-5. Of the links of a bucket only a spanning set is returned; components come from rounds of label propagation with
+5. Of the links of a bucket only those of each group's members to its first are returned; components come from rounds of label propagation with
    pointer jumping over tables in the shared folder. Nothing is gathered on the driver.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, linked like any other; texts
@@ -171,7 +171,11 @@ def _shift(planes: np.ndarray, d: int) -> np.ndarray:
 
 
 def links(run: np.ndarray, x: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning links, as positions, between fingerprints of the same run (runs lie side by side)."""
+    """For each fingerprint that is linked to others of its run: (first of those that it reaches there, itself).
+
+    Positions are those of the arrays, in which runs lie side by side. As runs are in order of the node, the first is
+    that of the least node, so that the same group gives much the same links in many tables.
+    """
     n = len(x)
     parent = list(range(n))
 
@@ -182,7 +186,7 @@ def links(run: np.ndarray, x: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
     starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     sizes = np.diff(np.append(starts, n))
-    out: list[tuple[int, int]] = []
+    touched: set[int] = set()
     at = np.arange(n)
     left = np.repeat(starts + sizes, sizes) - at  # members from here to the run's end
     planes, low = None, 0
@@ -201,8 +205,8 @@ def links(run: np.ndarray, x: np.ndarray, radius: int) -> list[tuple[int, int]]:
             ra, rb = root(a), root(b)
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
-                out.append((a, b))
-    return out
+                touched.update((a, b))
+    return [(r, i) for i in sorted(touched) if (r := root(i)) != i]
 
 
 def _search(radius: int, batch_rows: int):
@@ -267,29 +271,47 @@ def near_pairs(nodes: DataFrame, radius: int = 4, n_words: int = 1, tables: int
     return dealt.mapInArrow(_search(radius, batch_rows), "a long, b long")
 
 
+def _followed(up: DataFrame, rounds: int) -> DataFrame:
+    """Each node's pointer (node, to; to a lesser node) followed to its end, by doubling."""
+    for _ in range(rounds):
+        further = up.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        new = up.join(further, "to", "left").select("node", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved"))
+        new = common.materialize(new, "pointers")
+        up = new.select("node", "to")
+        if not new.where("moved").limit(1).count():
+            return up
+    raise RuntimeError("pointers didn't settle")
+
+
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest node of each component, for the nodes that have a link: node, component.
 
-    Each round gives a node, and the node its label stands for, the least label around it, and then each label its
-    own label. Links and labels are tables in the shared folder; a round reads the last round's table.
+    Each round points every node that has a lesser neighbour to the least one, follows the pointers to their ends, and
+    draws the links between the ends that are left; most links vanish in the first round. All of it is tables in the
+    shared folder.
     """
-    both = pairs.where("a <> b")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = common.materialize(both, "links")
-    labels = common.materialize(
-        edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels"
-    )
+    edge = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = common.materialize(pairs.where("a <> b").select(edge.alias("e")).select("e.*").distinct(), "links")
+    known = None
     for _ in range(rounds):
-        around = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
-        known = labels.join(around.withColumnRenamed("a", "node"), "node")
-        offers = known.select("node", F.least("label", "least").alias("label")).unionByName(known.select(F.col("label").alias("node"), F.col("least").alias("label")))
-        better = offers.groupBy("node").agg(F.min("label").alias("label"))
-        jump = better.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = better.join(jump, "label").select("node", F.least("label", "further").alias("label"))
-        new = common.materialize(new.join(labels.withColumnRenamed("label", "old"), "node"), "labels")
-        labels = new.select("node", "label")
-        if not new.where("label <> old").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+        # a link's greater end has a lesser neighbour
+        up = _followed(common.materialize(edges.groupBy("b").agg(F.min("a").alias("to")).withColumnRenamed("b", "node"), "pointers"), rounds)
+        if known is None:
+            known = up
+        else:
+            last = up.select(F.col("node").alias("to"), F.col("to").alias("further"))
+            known = known.join(last, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
+            # ends that a later round points on were nobody's node before
+            known = known.unionByName(up.join(known.select("node"), "node", "left_anti"))
+            known = common.materialize(known, "components")
+        ends = up.select(F.col("node").alias("b"), F.col("to").alias("b_end"))
+        moved = edges.join(ends, "b", "left").select("a", F.coalesce("b_end", "b").alias("b"))
+        ends = up.select(F.col("node").alias("a"), F.col("to").alias("a_end"))
+        moved = moved.where("a <> b").distinct().join(ends, "a", "left").select(F.coalesce("a_end", "a").alias("a"), "b")
+        edges = common.materialize(moved.where("a <> b").select(edge.alias("e")).select("e.*").distinct(), "links")
+        if not edges.limit(1).count():
+            roots = known.select(F.col("to").alias("node")).distinct()
+            return known.unionByName(roots.withColumn("to", F.col("node"))).withColumnRenamed("to", "component")
     raise RuntimeError("components didn't settle")
 
 
