@@ -22,6 +22,7 @@ from .operators import retrieve as R
 from .operators import snapshot as S
 from .plans.compile import compile_query
 from .sources import files as SF
+from .sources import tables as TB
 from .streaming import events as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +44,7 @@ def _query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
+    d = TB.spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return d.select("doc_id", "text", "lang", "source", path.alias("relative_path"), F.lit("text/plain").alias("media_type"))
 

@@ -129,7 +129,9 @@ def compile_query(chunks: DataFrame, query: str, language: str = "", f: FI.Filte
         columns[f"m{i}"] = F.coalesce(match, F.lit(False))
         columns[f"f{i}"] = first.cast("int")
         sides.append((both, many))
-    matched = base.withColumns(columns)
+    # a row number keeps the filter above the leaves: pushed below, it would compute each leaf once more, and its tokens
+    # once for each use
+    matched = base.withColumns({**columns, "_row": F.monotonically_increasing_id()})
     number = {id(n): i for i, n in enumerate(nodes)}
 
     def match(node: Q.Node) -> Column:
@@ -165,7 +167,7 @@ def compile_query(chunks: DataFrame, query: str, language: str = "", f: FI.Filte
             return [F.when(F.col(f"m{i}"), span)]
         return [s for c in node.children for s in snippets(c)]
 
-    out = matched.where(match(parsed.root)).withColumn("contributions", contributions(parsed.root))
+    out = matched.where(match(parsed.root) & (F.col("_row") >= 0)).withColumn("contributions", contributions(parsed.root))
     out = M.scored(out.withColumn("match_span", F.coalesce(*snippets(parsed.root))))
     keep = ["chunk_id", "source_id", "span_start", "span_end", "text", "text_checksum", "trust_level", "contributions", "merged_score", "priority", "reasons", "match_span"]
     return Plan(Q.canonical(parsed.root), lang, described, matched, out.select(*keep))

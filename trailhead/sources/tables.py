@@ -21,6 +21,16 @@ from ..operators import retrieve as R
 SCOPE = ["project_id", "snapshot_id"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table dealt over all cores if it has fewer files than there are cores, else as it is.
+
+    A file of one row group is one task, whatever its size; large tables have many files and aren't moved. The order
+    of rows isn't kept.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def put(df: DataFrame, path: str, by: Sequence[str] = SCOPE) -> None:
     """Write rows, replacing the partitions they belong to."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
