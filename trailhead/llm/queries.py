@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import bpe, chat, common, decontaminate, langid, pii, quality, secrets, simhash, substrings, topk
 
 
@@ -14,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select(*columns))
+
+
 def tokenizer_file() -> str:
     """The place of the 50k byte-level vocabulary, the same on all machines."""
     import public_tokenizers
@@ -22,19 +27,19 @@ def tokenizer_file() -> str:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
     got = quality.score(docs, model, keep=["doc_id"])
     return got.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", quality.predicted(F.col("score")))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    found = secrets.scan(_documents(spark, sf_dir, "doc_id", "text", "source"))
     return found.select("doc_id", *secrets.digests())
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     got = bpe.encode(docs, tokenizer_file(), decoded="decoded", keep=["doc_id"])
     return got.select("doc_id", *bpe.digests())
 
@@ -44,25 +49,28 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     got = decontaminate.find(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return got.select("doc_id", *decontaminate.digests())
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     model = langid.train(docs)
     got = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return got.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = simhash.cluster(_table(spark, sf_dir, "documents"))
+    got = simhash.cluster(_documents(spark, sf_dir, "doc_id", "text"))
     return got.select("doc_id", simhash.hex_digits(F.col("fp0")).alias("fingerprint"), "component_id")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = substrings.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    dealt = spread(docs)
+    # rows are numbered by several scans, so a table that was dealt anew is written first
+    got = substrings.remove_repeats(docs if dealt is docs else common.materialize(dealt, "documents"), length=100)
     return got.select("doc_id", *substrings.digests())
 
 
@@ -81,7 +89,7 @@ PII_KEY = "surrogates-1"
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    got = pii.pseudonymize(_documents(spark, sf_dir, "doc_id", "text"), PII_KEY)
     return got.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
 
 
