@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from trailhead.operators import filters as FI
 from trailhead.operators.pack import Budget
+from trailhead.plans import runs
+from trailhead.plans.control import Policy
 from trailhead.plans.engine import Engine
 from trailhead.sources import files as SF
 from trailhead.streaming import events as SE
@@ -50,6 +52,43 @@ def test_pack_verify_replay(engine):
     assert all(r["ok"] for r in engine.replay(packs, "p").collect())
 
 
+def test_inspect_metrics_and_repair(engine):
+    packs = engine.pack("p", "bank", Budget(max_items=1, max_chars=400))
+    rows = engine.inspect(packs, "p").collect()
+    assert [r["chosen"] for r in rows].count(True) == 1 and any(r["reason"] == "budget_trim" for r in rows)
+    assert all(r["path_key"] and r["preview"] for r in rows)
+    assert engine.metrics("p")["sources"] == 2
+    assert engine.repair("p") == engine.metrics("p")["chunks"] and engine.active("p") == "s2"
+
+
+def test_runs_and_traces(engine, spark, tmp_path):
+    pack = engine.pack("p", "bank", Budget(max_items=2, max_chars=400)).first().asDict()
+    kept = {}
+    tools = {"look": runs.Tool(lambda x: b"y" * 300), "send": runs.Tool(lambda x: x, "external"), "bad": runs.Tool(lambda x: 1 / 0)}
+
+    def go(tool, policy=Policy([("look", "allow"), ("bad", "allow"), ("no", "deny")]), text="done"):
+        return runs.run_agent(pack, lambda p: (text, tool), lambda: True, policy, tools, b"in", kept.__setitem__)
+
+    r = go("look")
+    assert (r.status, r.tool_status, r.verified) == ("completed", "completed", True) and len(kept[r.artifact]) == 300
+    assert go("send").tool_status == "needs_approval" and go("send", Policy([("send", "deny")])).tool_status == "denied"
+    assert go("bad").tool_status == "failed" and go("bad").status == "completed"
+    assert go("none").status == "failed" and go("", text="").status == "failed"
+    t = runs.Traces(spark, f"{tmp_path}/t")
+    t.append("p", r.id, r.events)
+    assert [x["type"] for x in t.of("p", r.id).collect()] == ["run_started", "model_call", "policy_decision", "tool_executed", "pack_verified", "run_finished"]
+
+
+def test_http_embedding(spark):
+    fake = lambda url, body: {"vectors": [[float(len(t)), 1.0] for t in body["texts"]]}
+    df = spark.createDataFrame([("ab",), (None,)], "t string")
+    assert [r[0] for r in df.select(runs.http_embedding(F.col("t"), "http://x/", 2, post=fake)).collect()] == [[2.0, 1.0], [0.0, 1.0]]
+    with pytest.raises(Exception, match="3 dimensions"):
+        df.select(runs.http_embedding(F.col("t"), "http://x", 3, post=fake)).collect()
+    with pytest.raises(ValueError):
+        runs.http_embedding(F.col("t"), "")
+
+
 def test_streams(spark, tmp_path):
     rows = [("e1", "c1", "2024-01-01 10:05:00"), ("e1", "c1", "2024-01-01 10:05:00"), ("e2", "c2", "2024-01-01 10:59:00"), ("e3", "c3", "2024-01-01 12:30:00")]
     events = spark.createDataFrame(rows, "event_id string, payload_checksum string, at string").withColumn("ingested_at", F.col("at").cast("timestamp"))

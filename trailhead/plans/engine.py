@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,10 +47,11 @@ class Engine:
 
     # --- writing
 
-    def ingest(self, files: DataFrame, project: str, snapshot: str, language: str = "", trust: str = "project") -> dict[str, int]:
+    def ingest(self, files: DataFrame, project: str, snapshot: str, language: str = "", trust: str = "project", enrich: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
         """Parse, chunk, hash and write a snapshot, then make it active; counts of sources by change.
 
-        files: relative_path, content, media_type, source_type. Nothing becomes active before all is written.
+        files: relative_path, content, media_type, source_type. enrich may fill the chunks' metadata columns. Nothing
+        becomes active before all is written.
         """
         before = self.workspace.load().get(project)
         leaves = S.source_leaves(files, project).withColumns({"project_id": F.lit(project), "snapshot_id": F.lit(snapshot)})
@@ -62,7 +63,7 @@ class Engine:
         for name in ("register", "region", "time_period", "lexicon_source_id", "source_authority"):
             c = c.withColumn(name, F.lit("").cast("string"))
         c = c.withColumn("temporal", F.lit(None).cast("struct<start:timestamp,end:timestamp,basis:string,ingested_at:timestamp>"))
-        ST.put(c, self.table("chunks"))
+        ST.put(enrich(c) if enrich else c, self.table("chunks"))
         now = ST.scan(self.spark, self.table("leaves"), project, snapshot)
         old = ST.scan(self.spark, self.table("leaves"), project, before) if before else now.limit(0)
         self.workspace.activate(project, snapshot)
@@ -73,6 +74,19 @@ class Engine:
         c = self.chunks(project).select(*ST.SCOPE, "chunk_id", V.embed(F.col("text"), kind).alias("embedding"))
         ST.put_vectors(c, self.table("vectors"), version)
 
+    def repair(self, project: str, target: str = "all", version: str = "local-hash-v1", kind: str = "digest") -> int:
+        """Write vectors (dense) or postings (sparse) of the active snapshot again; it stays active. Number of chunks."""
+        if target not in ("all", "dense", "sparse"):
+            raise ValueError(f"unknown target {target}")
+        n = self.chunks(project).count()
+        if not n:
+            raise LookupError("the active snapshot has no chunks")
+        if target != "sparse":
+            self.embed(project, version, kind)
+        if target != "dense":
+            ST.put_postings(self.chunks(project), self.table("postings"))
+        return n
+
     # --- reading
 
     def active(self, project: str) -> str:
@@ -148,3 +162,19 @@ class Engine:
     def replay(self, packs: DataFrame, project: str) -> DataFrame:
         store = self.chunks(project).select("source_id", F.col("text_checksum").alias("checksum"), F.col("text").alias("surface"))
         return K.replay(packs, store)
+
+    def inspect(self, packs: DataFrame, project: str) -> DataFrame:
+        """A pack as a report: one row for each item, chosen or rejected, with a short redacted preview and its file's key."""
+        taken = packs.select("pack_id", F.posexplode("evidence").alias("place", "item")).withColumn("reason", F.lit(None).cast("string"))
+        refused = packs.select("pack_id", F.posexplode("rejected").alias("place", "r")).select("pack_id", "place", F.col("r.item").alias("item"), F.col("r.reason").alias("reason"))
+        each = taken.unionByName(refused)
+        keys = self.chunks(project).select(F.col("chunk_id").alias("id"), "path_key")
+        flat = each.select("pack_id", F.col("reason").isNull().alias("chosen"), "place", "item.*", "reason")
+        preview = X.redact(X.truncate(F.col("surface"), 240))["text"]
+        rows = flat.join(keys, "id", "left").withColumn("preview", preview)
+        return rows.select("pack_id", "chosen", "place", "id", "class", "trust_level", "source_id", "path_key", "span_start", "span_end", "checksum", "score", "reason", "preview", F.length("surface").alias("n_chars"))
+
+    def metrics(self, project: str) -> dict[str, int]:
+        """Counters of the active snapshot."""
+        c = self.chunks(project).agg(F.count("*").alias("chunks"), F.count_distinct("source_id").alias("sources"), F.sum(F.length("text")).alias("chars")).first()
+        return c.asDict()
