@@ -7,6 +7,7 @@ follows the labels: toxic is quarantined, good is project, other labelled ones a
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -649,3 +650,97 @@ def eval_reasons(spark, sf_dir):
     r = F.array(F.lit("exact_phrase"), F.when(F.col("text").contains("password"), "token_term").otherwise("exact_phrase"))
     each = d.select("source", F.explode(r).alias("reason"))
     return each.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+# --- more of the inventory
+
+
+@_query("SELECT event_id, user_id FROM events WHERE ts < TIMESTAMP '2024-01-10 12:00:00' AND ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-10'")
+def temporal_filter(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").withColumn("start", F.col("ts").cast("timestamp"))
+    t = F.struct("start", (F.col("start") + F.expr("INTERVAL 1 HOUR")).alias("end"), F.lit("occurred").alias("basis"))
+    w = FI.Window(datetime(2024, 1, 10, tzinfo=UTC), datetime(2024, 1, 10, 12, tzinfo=UTC))
+    return e.where(FI.in_window(t, w)).select("event_id", "user_id")
+
+
+@_query("""
+    WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR, true) AS opens FROM events),
+    s AS (SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT user_id, min(ts) AS session_start, CAST(count(*) AS BIGINT) AS n_events FROM s GROUP BY user_id, n
+""")
+def stream_sessions(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    s = ST.sessions(e, "at", "6 hours", by=("user_id",))
+    return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n_events")
+
+
+@_query("""
+    WITH w AS (SELECT event_type, ts, unnest([0, 1]) AS k FROM events)
+    SELECT date_trunc('hour', ts) - (INTERVAL 1 HOUR) * k AS window_start, event_type, CAST(count(*) AS BIGINT) AS n_events FROM w GROUP BY ALL
+""")
+def stream_sliding_windows(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    w = ST.window_counts(e, "at", "2 hours", "1 hour", by=("event_type",))
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events")
+
+
+@_query("""
+    WITH d AS (SELECT lang AS pack_id, sha256(text) AS checksum, doc_id, CAST((doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS score, doc_id % 13 = 0 AS required FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY pack_id, checksum ORDER BY required DESC, score DESC, doc_id) AS n, min(doc_id) OVER (PARTITION BY pack_id, checksum) AS place FROM d)
+    SELECT pack_id, doc_id, place FROM r WHERE n = 1
+""")
+def pack_dedup(spark, sf_dir):
+    d = _docs(spark, sf_dir).select(
+        F.col("lang").alias("pack_id"), F.lit("s").alias("source_id"), F.lit(0).alias("span_start"), F.lit(1).alias("span_end"), H.sha256(F.col("text")).alias("checksum"),
+        "doc_id", (((F.col("doc_id") * 7919) % 1000).cast("double") / 1000).alias("score"), (F.col("doc_id") % 13 == 0).alias("required"), F.col("doc_id").alias("place"),
+    )
+    return K.dedup(d).select("pack_id", "doc_id", "place")
+
+
+@_query("""SELECT doc_id, CAST(row_number() OVER (ORDER BY strlen(text) + 100 * contains(lower(text), 'license')::INT DESC, doc_id) AS INTEGER) AS rank
+    FROM documents WHERE contains(text, 'of the') ORDER BY rank LIMIT 20""")
+def rerank_order(spark, sf_dir):
+    c = plain_chunks(spark, sf_dir).withColumn("chunk_id", F.col("doc_id")).where(F.col("text").contains("of the"))
+    best = M.rerank(c.select("chunk_id", "text"), V.overlap_score(F.col("text"), "license")).limit(20)
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("merged_score"), "chunk_id"))
+    return best.select(F.col("chunk_id").alias("doc_id"), rank.alias("rank"))
+
+
+@_query(r"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_-]+')) AS token, doc_id FROM documents),
+    p AS (SELECT token, doc_id, count(*) AS tf FROM t GROUP BY ALL)
+    SELECT token, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY token""")
+def posting_stats(spark, sf_dir):
+    d = _docs(spark, sf_dir).select(F.lit("p").alias("project_id"), F.lit("s1").alias("snapshot_id"), F.col("doc_id").alias("chunk_id"), "text")
+    return R.postings(d).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@_query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS safe FROM pages")
+def safe_ids(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", X.safe_id(F.col("url")).alias("safe"))
+
+
+@_query("""WITH m AS (SELECT doc_id, text, strlen(split_part(text, 'de la', 1)) AS s, length(split_part(text, 'de la', 1)) AS c FROM documents WHERE contains(text, 'de la'))
+    SELECT doc_id, CAST(s AS BIGINT) AS byte_start, CAST(c AS BIGINT) AS rune_start FROM m""")
+def rune_spans(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("s", X.byte_position(F.col("text"), "de la")).where("s >= 0")
+    return d.select("doc_id", F.col("s").alias("byte_start"), X.rune_span(F.col("text"), F.col("s"), F.col("s"))["start"].alias("rune_start"))
+
+
+@_query("SELECT conv_id, max_by(text, turn) AS last_text, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
+def last_wins(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last_text"), F.count("*").alias("n"))
+
+
+@_query("""SELECT path_key, status FROM (
+        SELECT sha256('p' || chr(0) || source || '/' || doc_id || '.txt') AS path_key, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'changed' END AS status FROM documents
+    ) WHERE status IS NOT NULL""")
+def changed_sources(spark, sf_dir):
+    d = manifest_diff(spark, sf_dir)
+    return d.join(S.to_process(d), "path_key", "left_semi")
+
+
+@_query()
+def hash_embeddings(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", V.embed(F.col("text")).alias("v"))
+    return d.select("doc_id", F.size("v").alias("dimension"), F.round(V.dot(F.col("v"), F.col("v")), 4).alias("norm"))
