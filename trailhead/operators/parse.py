@@ -169,7 +169,8 @@ def chunk(docs: DataFrame, project: str, snapshot: str, path: str = "relative_pa
     found = found.withColumn("_spans", F.when(F.size("_titled") > 0, F.col("_titled")).otherwise(plain))
     found = found.withColumn("chunker", F.when(F.col(media) == "text/markdown", SECTIONS).otherwise(PARAGRAPHS))
     found = found.withColumn("path_key", H.path_key(project, F.col(path)))
-    each = found.withColumn("_s", F.explode("_spans")).drop("_titled", "_spans")
+    # explode() would put a filter on the spans below, which would compute them again
+    each = found.withColumn("_s", F.explode_outer("_spans")).drop("_titled", "_spans").where("_s is not null")
     each = each.withColumn("_text", X.byte_slice(F.col(text), F.col("_s.start"), F.col("_s.end")).cast("string"))
     each = each.withColumn("chunk_hash", H.chunk_hash(F.col("chunker"), F.col("path_key"), F.col("_s.start"), F.col("_s.end"), F.col("_text")))
     kept = [c for c in docs.columns if c not in (text, "project_id", "snapshot_id")]
@@ -193,7 +194,7 @@ def chunk(docs: DataFrame, project: str, snapshot: str, path: str = "relative_pa
 def index_tokens(chunks: DataFrame) -> DataFrame:
     """Tokens between white space, with absolute byte spans: chunk_id, token_id (chunk:number), surface, start, end."""
     segments = F.regexp_extract_all("text", F.lit(r"(\S+|\s+)"), F.lit(1))
-    each = chunks.select("chunk_id", "span_start", F.posexplode(segments).alias("i", "part"))
+    each = chunks.select("chunk_id", "span_start", F.posexplode_outer(segments).alias("i", "part")).where("part is not null")
     w = Window.partitionBy("chunk_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     words = F.count_if(~F.col("part").rlike(r"^\s")).over(w)
     at = F.col("span_start") + F.coalesce(F.sum(F.octet_length("part")).over(w), F.lit(0))

@@ -57,7 +57,7 @@ def sparse(chunks: DataFrame, query: str, limit: int = 20, f: FI.Filters = FI.Fi
 def postings(chunks: DataFrame) -> DataFrame:
     """One row for each word of a chunk: project_id, snapshot_id, token, chunk_id, tf, n_tokens."""
     t = chunks.withColumn("tokens", X.tokens(F.col("text")))
-    each = t.select("project_id", "snapshot_id", "chunk_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
+    each = t.select("project_id", "snapshot_id", "chunk_id", F.size("tokens").alias("n_tokens"), F.explode_outer("tokens").alias("token")).where("token is not null")
     return each.groupBy("project_id", "snapshot_id", "token", "chunk_id").agg(F.count("*").alias("tf"), F.first("n_tokens").alias("n_tokens"))
 
 
