@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from trailhead import catalogue
 from trailhead.operators import pack as K
 
 SCHEMA = "pack_id string, id string, class string, trust_level string, source_id string, span_start long, span_end long, checksum string, surface string, score double, required boolean, place long"
@@ -92,3 +93,42 @@ def test_checksum_flags_and_replay(spark):
     sum_of = hashlib.sha256(b"text").hexdigest()
     store = spark.createDataFrame([("s0", sum_of, "text"), ("s1", sum_of, "altered")], "source_id string, checksum string, surface string")
     assert {r["id"]: r["ok"] for r in K.replay(packs, store).collect()} == {"a": True, "b": False, "c": False, "d": False, "e": False, "f": False}
+
+
+def plain_packs(rows, items, chars):
+    """pack: [(id, used after)] by a plain loop over (pack, id, score, text)."""
+    out = {}
+    for pack, i, _, text in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        taken = out.setdefault(pack, [])
+        used = taken[-1][1] if taken else 0
+        if len(taken) < items and used + len(text.encode()) <= chars:
+            taken.append((str(i), used + len(text.encode())))
+    return out
+
+
+def test_registered_packs_read_every_document(spark, tmp_path):
+    rnd = random.Random(3)
+    docs = [(i, "é" * rnd.randrange(1, 900), rnd.choice(["en", "en", "de"]), "s") for i in rnd.sample(range(3000), 1500)] + [(5000, "x" * 5000, "fr", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    want = plain_packs([(lang, i, (i * 7919) % 1000 / 1000, text) for i, text, lang, _ in docs], 8, 4000)
+    got = {}
+    for r in catalogue.pack_greedy(spark, str(tmp_path)).collect():
+        got.setdefault(r["pack_id"], []).append((r["id"], r["used_after"]))
+    assert {k: sorted(v, key=lambda x: x[1]) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    assert any(int(i) >= 400 for v in want.values() for i, _ in v)
+    assert {r["pack_id"] for r in catalogue.verify_flags(spark, str(tmp_path)).collect()} == {"en", "de", "fr"}
+    assert {r["pack_id"]: r["n_ok"] for r in catalogue.pack_replay(spark, str(tmp_path)).collect()} == {k: len(v) for k, v in want.items() if v}
+    assert {r["pack_id"] for r in catalogue.pack_checksum(spark, str(tmp_path)).collect()} == {"en", "de"}
+
+
+def test_few_drafts_of_a_large_pack_meet():
+    rnd = random.Random(9)
+    for _ in range(60):
+        # ranks repeat, sizes too
+        rows = [(rnd.choice("ab"), rnd.randrange(40) / 40, i, rnd.randrange(1, 60)) for i in range(400)]
+        items, chars = rnd.choice([(3, 90), (8, 0), (0, 100), (5, 400)])
+        left = K._survivors([(p, -s, i, n) for p, s, i, n in rows], K.Budget(max_items=items, max_chars=chars))
+        some = [(p, i, s, "x" * n) for p, s, i, n in (rows[k] for k in left)]
+        every = [(p, i, s, "x" * n) for p, s, i, n in rows]
+        assert plain_packs(some, items or 10**9, chars or 10**9) == plain_packs(every, items or 10**9, chars or 10**9)
+        assert len(left) < len(rows) / 2

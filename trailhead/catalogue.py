@@ -548,7 +548,7 @@ _DRAFTS = """drafts AS (
 
 
 def _drafts(spark, sf_dir):
-    d = _docs(spark, sf_dir).where("doc_id < 400")
+    d = _docs(spark, sf_dir)
     return d.select(
         F.col("lang").alias("pack_id"), F.col("doc_id").cast("string").alias("id"), F.lit("source_text").alias("class"), F.lit("project").alias("trust_level"),
         F.concat(F.lit("s"), "doc_id").alias("source_id"), F.lit(0).cast("long").alias("span_start"), F.octet_length("text").cast("long").alias("span_end"),
@@ -571,7 +571,7 @@ _GREEDY = """WITH RECURSIVE %s, ranked AS (
 
 @_query(_GREEDY % _DRAFTS + " SELECT pack_id, CAST(doc_id AS VARCHAR) AS id, used AS used_after FROM pick WHERE doc_id IS NOT NULL")
 def pack_greedy(spark, sf_dir):
-    packs = K.select(_drafts(spark, sf_dir), K.Budget(max_items=8, max_chars=4000))
+    packs = K.select(_drafts(spark, sf_dir), K.Budget(max_items=8, max_chars=4000), rejects=False)
     each = packs.select("pack_id", F.posexplode("evidence").alias("i", "x"))
     used = F.sum(F.octet_length("x.surface")).over(Window.partitionBy("pack_id").orderBy("i"))
     return each.select("pack_id", F.col("x.id").alias("id"), used.alias("used_after"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +54,91 @@ def dedup(drafts: DataFrame, pack: str = "pack_id", place: str = "place") -> Dat
     return drafts.withColumns({"_n": best, "_p": F.min(place).over(w)}).where("_n = 1").drop("_n", place).withColumnRenamed("_p", place)
 
 
-def select(drafts: DataFrame, budget: Budget, pack: str = "pack_id", place: str = "place") -> DataFrame:
+def _gate(x) -> Column:
+    """Why an item may not be evidence at all, else null."""
+    return F.when(x["class"].isin(NOT_EVIDENCE), "instruction_or_policy_not_evidence").when(x["trust_level"] == "quarantined", "quarantined")
+
+
+def _survivors(rows: list[tuple], budget: Budget) -> list[int]:
+    """Numbers of the rows (pack, rank, place, size) that can still be taken.
+
+    A row is taken only if it fits when its turn comes, and then every earlier row that is no larger did fit and was
+    taken too. So it can't be if those before it fill the budget. Rows of equal rank and place don't count as earlier.
+    """
+    out, chars = [], budget.chars()
+    pack, before, sizes, waiting = object(), None, [], []
+    for i in sorted(range(len(rows)), key=lambda i: ((rows[i][0] is not None, rows[i][0]), *rows[i][1:3])):
+        p, rank, place, size = rows[i]
+        if p != pack:
+            pack, sizes, waiting = p, [], []
+        elif before != (rank, place):
+            for x in waiting:
+                sizes.insert(bisect_right(sizes, x), x)
+            waiting = []
+        before = (rank, place)
+        n = bisect_right(sizes, size)
+        if budget.max_items > 0 and n >= budget.max_items:
+            continue
+        if chars is not None or budget.max_tokens > 0:
+            used = sum(sizes[:n]) + size
+            if (chars is not None and used > chars) or (budget.max_tokens > 0 and used // 4 > budget.max_tokens):
+                continue
+        out.append(i)
+        waiting.append(size)
+    return sorted(out)
+
+
+def _pruned(drafts: DataFrame, budget: Budget, rejects: bool, pack: str, place: str, held_rows: int = 50_000) -> DataFrame:
+    """Drafts without those that can neither be taken nor are listed as rejected, as far as one task sees.
+
+    What is left of a pack in a task has a bound by the budget, whatever the number of its drafts.
+    """
+    if budget.max_items <= 0 and budget.chars() is None and budget.max_tokens <= 0:
+        return drafts
+    low = schema.trust_rank(F.col("trust_level")) < schema.TRUST_RANK.get(budget.required_trust, -1)
+    gated = _gate(drafts).isNotNull() | F.coalesce(low, F.lit(False))
+    plain = ~F.col("required") & ~gated & ~F.isnan("score") & F.col(place).isNotNull() & F.col("surface").isNotNull()
+    silent = F.col("score") < budget.reject_floor if rejects else F.lit(True)
+    names = drafts.columns
+    marks = (plain.alias("_plain"), silent.alias("_silent"), (gated & F.lit(not rejects)).alias("_gone"), F.octet_length("surface").alias("_size"))
+    marked = drafts.select(*names, *marks)
+
+    def run(batches):
+        held, rows = [], 0
+
+        def pruned() -> pa.Table:
+            t = pa.Table.from_batches(held)
+            packs, plain, silent, gone = (t[c].to_pylist() for c in (pack, "_plain", "_silent", "_gone"))
+            at = [i for i, x in enumerate(plain) if x]
+            some = t.take(pa.array(at, pa.int64()))
+            ranks = [-x for x in some["score"].to_pylist()]
+            live = {at[i] for i in _survivors(list(zip(some[pack].to_pylist(), ranks, some[place].to_pylist(), some["_size"].to_pylist())), budget)}
+            # one row of each pack stays, as a pack that takes nothing has a row too
+            live.update({p: i for i, p in enumerate(packs)}.values())
+            return t.take(pa.array([i for i in range(len(t)) if i in live or not (gone[i] or plain[i] and silent[i])], pa.int64()))
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= held_rows:
+                left = pruned()
+                if len(left) > held_rows // 2:
+                    yield from left.select(names).to_batches()
+                    left = left.slice(0, 0)
+                held, rows = left.to_batches(), len(left)
+        if rows:
+            yield from pruned().select(names).to_batches()
+
+    return marked.mapInArrow(run, drafts.schema)
+
+
+def select(drafts: DataFrame, budget: Budget, pack: str = "pack_id", place: str = "place", rejects: bool = True) -> DataFrame:
     """One row for each pack: evidence and rejected items, bytes used, error.
 
     Drafts are taken required first, then by score, each if it still fits, so a later smaller one may follow one that
-    doesn't. A required one that doesn't fit ends the pack with the error budget_exhausted_required. A pack's drafts
-    are folded in one row; packs are small by their budget's nature, being built of the top of a search.
+    doesn't. A required one that doesn't fit ends the pack with the error budget_exhausted_required. What can't be in
+    the result is dropped before a pack's drafts meet in one row, so a row is bounded by the budget and by the rejected
+    items; without rejects none of these are listed.
     """
     item = F.struct(
         (~F.col("required")).alias("later"),
@@ -65,7 +146,7 @@ def select(drafts: DataFrame, budget: Budget, pack: str = "pack_id", place: str
         F.col(place).alias("place"),
         F.struct("id", "class", "trust_level", "source_id", "span_start", "span_end", "checksum", "surface", "score", "required").cast(ITEM).alias("item"),
     )
-    packs = dedup(drafts, pack, place).groupBy(pack).agg(F.array_sort(F.collect_list(item)).alias("drafts"))
+    packs = _pruned(dedup(drafts, pack, place), budget, rejects, pack, place).groupBy(pack).agg(F.array_sort(F.collect_list(item)).alias("drafts"))
     none = F.array().cast(f"array<{ITEM}>")
     bad = F.array().cast("array<struct<item:" + ITEM + ",reason:string>>")
     start = F.struct(none.alias("taken"), bad.alias("rejected"), F.lit(0).cast("bigint").alias("used"), F.lit(None).cast("string").alias("error"))
@@ -73,11 +154,7 @@ def select(drafts: DataFrame, budget: Budget, pack: str = "pack_id", place: str
     def step(s: Column, d: Column) -> Column:
         x = d["item"]
         size = F.octet_length(x["surface"])
-        gate = (
-            F.when(x["class"].isin(NOT_EVIDENCE), "instruction_or_policy_not_evidence")
-            .when(x["trust_level"] == "quarantined", "quarantined")
-            .when(schema.trust_rank(x["trust_level"]) < schema.TRUST_RANK.get(budget.required_trust, -1), "trust_below_required")
-        )
+        gate = _gate(x).when(schema.trust_rank(x["trust_level"]) < schema.TRUST_RANK.get(budget.required_trust, -1), "trust_below_required")
         room = F.lit(True)
         if budget.max_items > 0:
             room = room & (F.size(s["taken"]) < budget.max_items)
@@ -99,10 +176,10 @@ def select(drafts: DataFrame, budget: Budget, pack: str = "pack_id", place: str
 
         return (
             F.when(s["error"].isNotNull(), s)
-            .when(gate.isNotNull(), state(rejected=note(gate)))
+            .when(gate.isNotNull(), state(rejected=note(gate)) if rejects else s)
             .when(fits, state(taken=F.concat(s["taken"], F.array(x)), used=s["used"] + size))
             .when(x["required"], state(error=F.lit("budget_exhausted_required")))
-            .when(x["score"] >= budget.reject_floor, state(rejected=note(F.lit("budget_trim"))))
+            .when(F.lit(rejects) & (x["score"] >= budget.reject_floor), state(rejected=note(F.lit("budget_trim"))))
             .otherwise(s)
         )
 
