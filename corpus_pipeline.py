@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailhead.llm import bpe, common, decontaminate, langid, pii, queries, simhash
+from trailhead.llm import bpe, common, decontaminate, langid, near, pii, queries
 from trailhead.sources.tables import spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,9 +19,6 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A document goes if its language's probability is under this, or if it has no letter.
 LEAST_SCORE = 0.3
 
-#: Near-duplicates: shingles of five words, 256 bits, and the distance that a similarity of 0.8 gives with some room.
-NEAR = {"shingle": 5, "seeds": (42, 43, 44, 45), "radius": 46, "tables": 64, "key_bits": 16}
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known."""
@@ -38,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     row = common.free(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    groups = simhash.cluster(numbered, row, "text", **NEAR, carry=("doc_id",))
+    groups = near.cluster(numbered, row, "text", carry=("doc_id",))
     order = F.struct(F.col("carried.doc_id").isNull(), "carried.doc_id", F.col("doc_id").alias("row"))
     first = groups.groupBy("component_id").agg(F.min(order)["row"].alias(row)).select(row)
     return numbered.join(first, row, "left_semi").drop(row)
