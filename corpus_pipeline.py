@@ -31,10 +31,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near-duplicates the document of the smallest id (null ids last).
 
-    Rows are numbered as they are stored, so that rows of one id, or without one, are documents of their own.
+    Rows are numbered as they are stored, so that rows of one id, or without one, are documents of their own. The
+    numbers are written once, as another scan could deal the files in another way.
     """
     row = common.free(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = common.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     groups = near.cluster(numbered, row, "text", carry=("doc_id",))
     order = F.struct(F.col("carried.doc_id").isNull(), "carried.doc_id", F.col("doc_id").alias("row"))
     first = groups.groupBy("component_id").agg(F.min(order)["row"].alias(row)).select(row)

@@ -67,10 +67,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    dealt = spread(docs)
-    # rows are numbered by several scans, so a table that was dealt anew is written first
-    got = substrings.remove_repeats(docs if dealt is docs else common.materialize(dealt, "documents"), length=100)
+    got = substrings.remove_repeats(_documents(spark, sf_dir, "doc_id", "text"), length=100)
     return got.select("doc_id", *substrings.digests())
 
 

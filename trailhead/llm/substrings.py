@@ -16,7 +16,7 @@ judged, exactly, in these steps:
    but the first place of each such group are removed.
 4. The removed ranges are joined with the rows, merged and cut out.
 
-Rows are numbered by a scan, so the table must give the same rows in the same order to each scan, as files do.
+Rows are numbered by one scan and written with their numbers; every later scan reads those.
 
 Defined results: null text is empty; texts under `length` bytes stay whole; texts of any length are read whole; rows
 whose id is null come after all others; repeated rows are rows of one id; an empty table gives no rows; other columns
@@ -441,7 +441,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per input row: doc_id, n_bytes, spans (maximal removed ranges of bytes) and kept (the bytes that stay)."""
     if length < 2 * GRAM:
         raise ValueError(f"strings under {2 * GRAM} bytes aren't supported")
-    numbered = _numbered(docs, doc_id, text)
+    numbered = common.materialize(_numbered(docs, doc_id, text), "numbered")
     stats = numbered.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     frequent = frequent_grams(numbered, stats["n"])
     n_ranges = 1 << min(16, max(4, ((stats["bytes"] or 0) // RANGE_BYTES).bit_length()))
