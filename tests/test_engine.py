@@ -103,3 +103,11 @@ def test_streams(spark, tmp_path):
     known = spark.createDataFrame([("s", 1), ("s", 2)], "source_id string, version int")
     late = spark.createDataFrame([("s", 0), ("t", 0)], "source_id string, version int")
     assert {(r["source_id"], r["version"]) for r in SE.late_version(known, late).collect()} == {("s", 3), ("t", 1)}
+
+
+def test_conflicts_are_exact(spark):
+    events = spark.range(4000).selectExpr("id AS event_id", "explode(array(sha2(concat('a', id), 256), sha2(concat('b', id), 256))) AS payload_checksum")
+    more = spark.range(4000, 4100).selectExpr("id AS event_id", "'same' AS payload_checksum")
+    got = SE.conflicts(events.unionByName(more).unionByName(more))
+    assert got.columns == ["event_id", "versions"] and sorted(r["event_id"] for r in got.collect()) == list(range(4000))
+    assert got.where("versions < 2").count() == 0

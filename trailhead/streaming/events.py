@@ -15,8 +15,10 @@ def distinct_events(events: DataFrame, delay: str = "10 minutes", at: str = "ing
 
 
 def conflicts(events: DataFrame) -> DataFrame:
-    """Ids with more than one payload, and how many."""
-    return events.groupBy("event_id").agg(F.approx_count_distinct("payload_checksum").alias("versions")).where("versions > 1")
+    """Ids with more than one payload, exactly, and about how many (2 at least)."""
+    differ = F.min("payload_checksum") != F.max("payload_checksum")
+    versions = F.greatest(F.approx_count_distinct("payload_checksum"), F.lit(2).cast("long"))
+    return events.groupBy("event_id").agg(versions.alias("versions"), differ.alias("_differ")).where("_differ").drop("_differ")
 
 
 def window_counts(events: DataFrame, at: str, size: str = "1 hour", slide: str | None = None, delay: str | None = "10 minutes", by: tuple[str, ...] = ()) -> DataFrame:
