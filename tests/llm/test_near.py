@@ -50,6 +50,33 @@ def test_components_equal_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_a_large_group_of_near_copies_in_small_parts(spark):
+    """Copies of one text, of which some are under the bound to all others and some reach it by others only."""
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(240)]
+    texts = [edited(rnd, base, rnd.choice([0, 1, 2, 3, 4, 5, 6, 7, 8, 10])) for _ in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near.cluster(docs, part_rows=10).collect()}
+    want = groups(texts)
+    assert 2 < len(set(want)) < 150
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_counts_of_common_shingles(monkeypatch):
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(0, 300, k).astype(np.uint64)) for k in (0, 1, 50, 200, 200, 300)]
+    monkeypatch.setattr(near, "COLUMNS", 7)
+    got = near.common_counts(sets)
+    assert (got == [[len(np.intersect1d(a, b)) if i != j else got[i, i] for j, b in enumerate(sets)] for i, a in enumerate(sets)]).all()
+
+
+def test_keys_and_tables_grow_with_the_corpus():
+    sizes = [near.tables_for(n) for n in (0, 1, 10**5, 10**7, 10**10)]
+    assert sizes == sorted(sizes) and sizes[0][0] == 10
+    for bits, tables in sizes:
+        assert (1 - near.AGREE**bits) ** tables <= near.MISSED
+
+
 def test_the_stage_keeps_documents_under_the_similarity(spark):
     texts = corpus()
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")

@@ -74,8 +74,8 @@ def test_links_in_small_large_and_split_buckets(spark):
     want = brute_components(range(len(fps)), fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     nodes = spark.createDataFrame(list(zip(range(len(fps)), signed)), "node long, fp0 long")
-    for limit, batch in ((4096, 100_000), (20, 50)):
-        pairs = simhash.near_pairs(nodes, bucket_rows=limit, batch_rows=batch)
+    for limit, batch, agree in ((4096, 100_000, 2), (20, 50, 2), (4096, 100_000, 3)):
+        pairs = simhash.near_pairs(nodes, bucket_rows=limit, batch_rows=batch, agree=agree)
         found = {r["node"]: r["component"] for r in simhash.components(pairs).collect()}
         assert [found.get(i, i) for i in range(len(fps))] == want
 
@@ -116,5 +116,25 @@ def test_long_chain_settles(spark):
     assert {r["component"] for r in simhash.components(pairs).collect()} == {0}
 
 
+def test_rows_without_an_id_link_others(spark):
+    """A row without an id lies within the radius of two rows that aren't near each other."""
+    rnd = random.Random(12)
+    for _ in range(200):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        x, y = list(w), list(w)
+        x[5], y[150] = "x", "y"
+        texts = [" ".join(t) for t in (x, w, y)]
+        a, b, c = map(brute_fingerprint, texts)
+        if (a ^ b).bit_count() <= 4 and (b ^ c).bit_count() <= 4 < (a ^ c).bit_count():
+            break
+    else:
+        raise AssertionError("no bridge drawn")
+    rows = [(1, texts[0]), (None, texts[1]), (2, texts[2]), (None, "alone " * 3), (None, "alone " * 3), (7, "other words here")]
+    got = simhash.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r["doc_id"], r["component_id"])) for r in got) == sorted(
+        map(str, [(1, 1), (None, 1), (2, 1), (None, None), (None, None), (7, 7)])
+    )
+
+
 def test_empty_table(spark):
     assert simhash.cluster(spark.createDataFrame([], "doc_id long, text string")).count() == 0

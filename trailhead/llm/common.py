@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -16,21 +18,58 @@ FOLDS = 5
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir.
 
-    Where that is unset (tests, a laptop), a folder under the warehouse is set and used.
+    Where that is unset, a folder under the warehouse is set and used, if the session is a local one (tests, a laptop);
+    a cluster has to name a folder that all machines see.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
+    """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing.
+
+    The tables are deleted by discard(), or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_discard_all, spark)
+    _WRITTEN.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+_WRITTEN: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder, whatever store that is in."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote; nothing that will still be computed may read it."""
+    path = getattr(df, "scratch_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def _discard_all(spark: SparkSession) -> None:
+    """At the driver's end: what is still there, if the session still is."""
+    with contextlib.suppress(Exception):
+        if spark.sparkContext._jsc and not spark.sparkContext._jsc.sc().isStopped():
+            for path in list(_WRITTEN):
+                _delete(spark, path)
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -60,10 +99,13 @@ def with_columns(
     """Add columns that a Python function computes from Arrow arrays of the input columns.
 
     make() runs once in each task and returns the function. keep names the columns that stay (all, if None);
-    one of the same name as a new column is replaced.
+    one of the same name as a new column, in whatever case, is replaced.
     """
-    names = {f.name for f in fields}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    names = {f.name.lower() for f in fields}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
+    # an input is found in any case, and sent once
+    have = {c.lower(): c for c in reversed(df.columns)}
+    inputs = [have.get(c.lower(), c) for c in inputs]
     both = list(dict.fromkeys([*kept, *inputs]))
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
     k, at = len(kept), [both.index(c) for c in inputs]

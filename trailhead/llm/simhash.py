@@ -5,7 +5,8 @@ A fingerprint has a bit set where more than half of the text's shingle hashes ha
 
 1. Rows are reduced to distinct fingerprints, each with its smallest id, before anything is compared.
 2. The 64 bits are cut into radius + 2 blocks. Fingerprints within the radius agree in at least two blocks, so each
-   goes to one bucket for each pair of blocks, and no link is missed.
+   goes to one bucket for each pair of blocks, and no link is missed. Beyond MANY fingerprints there is one block
+   more, and a bucket for each three, so that buckets stay small; the links are the same.
 3. Buckets of one task lie side by side in order. Bit planes are stored vertically: one plane of 64-bit words holds
    one bit of 64 neighbours. For each distance d in that order, the planes and the planes shifted by d are combined;
    carry-save counters in bit-sliced form (one word per counter digit) add up 64 distances at a time, and words whose
@@ -17,8 +18,8 @@ A fingerprint has a bit set where more than half of the text's shingle hashes ha
    pointer jumping over tables in the shared folder. Nothing is gathered on the driver.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, linked like any other; texts
-of fewer words than a shingle hash the whole sequence; rows whose id is null have a null component of their own only
-if no other row is linked; repeated rows give repeated rows; an empty table gives no rows; columns beyond id and text
+of fewer words than a shingle hash the whole sequence; rows whose id is null link others like any row, and have a
+null component only if no row with an id is reachable; repeated rows give repeated rows; an empty table gives no rows; columns beyond id and text
 are ignored.
 """
 
@@ -39,6 +40,7 @@ BITS = 64
 SEED = 42
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 ONE = np.uint64(1)
+MANY = 1 << 28
 
 
 def fingerprint(text: bytes, shingle: int = 4, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
@@ -50,16 +52,18 @@ def fingerprint(text: bytes, shingle: int = 4, seeds: tuple[int, ...] = (SEED,))
     line = b" ".join(words)
     k = min(shingle, len(words))
     parts = [line[a + 1 : b] for a, b in zip(ends, ends[k:])]
-    digest, out = xxhash.xxh64_intdigest, []
-    for seed in seeds:
-        hashes = np.array([digest(p, seed) for p in parts], np.uint64)
-        counts = np.zeros(BITS, np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            part = hashes[at : at + (1 << 16)]
-            bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
-            counts += bits.sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0]))
-    return out
+    digest = xxhash.xxh64_intdigest
+    return [majority(np.array([digest(p, seed) for p in parts], np.uint64)) for seed in seeds]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes, as a signed number."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
+        counts += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def names(n: int) -> list[str]:
@@ -85,18 +89,20 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def bucket_keys(fp: Column, radius: int) -> Column:
-    """One key for each pair of blocks of bits."""
-    n = radius + 2
+def bucket_keys(fp: Column, radius: int, agree: int = 2) -> Column:
+    """One key for each choice of `agree` of radius + agree blocks of bits: fingerprints within the radius share one."""
+    n = radius + agree
     edges = [BITS * i // n for i in range(n + 1)]
     blocks = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
     widths = [b - a for a, b in zip(edges, edges[1:])]
-    return F.array(
-        *(
-            F.shiftleft(blocks[i], widths[j]).bitwiseOR(blocks[j]).bitwiseOR(F.lit(number << 40))
-            for number, (i, j) in enumerate(combinations(range(n), 2))
-        )
-    )
+
+    def key(number: int, chosen: tuple[int, ...]) -> Column:
+        out, place = F.lit(number << 40), 0
+        for i in chosen:
+            out, place = out.bitwiseOR(F.shiftleft(blocks[i], place)), place + widths[i]
+        return out
+
+    return F.array(*(key(number, chosen) for number, chosen in enumerate(combinations(range(n), agree))))
 
 
 def sampled_keys(nodes: DataFrame, n_words: int, tables: int, key_bits: int) -> DataFrame:
@@ -241,7 +247,7 @@ def _search(radius: int, batch_rows: int):
     return run
 
 
-def near_pairs(nodes: DataFrame, radius: int = 4, n_words: int = 1, tables: int = 0, key_bits: int = 20, bucket_rows: int = 4096, batch_rows: int = 100_000) -> DataFrame:
+def near_pairs(nodes: DataFrame, radius: int = 4, n_words: int = 1, tables: int = 0, key_bits: int = 20, agree: int = 2, bucket_rows: int = 4096, batch_rows: int = 100_000) -> DataFrame:
     """Links (a, b) that span each component of nodes (node, fp0, ...), one row for each distinct fingerprint.
 
     With tables = 0 (one word only) no link is missed; else two fingerprints meet if they agree in all key_bits of a
@@ -251,7 +257,7 @@ def near_pairs(nodes: DataFrame, radius: int = 4, n_words: int = 1, tables: int
     if tables:
         keyed = sampled_keys(nodes, n_words, tables, key_bits)
     elif n_words == 1:
-        keyed = nodes.select(F.explode(bucket_keys(F.col("fp0"), radius)).alias("key"), "node", "fp0")
+        keyed = nodes.select(F.explode(bucket_keys(F.col("fp0"), radius, agree)).alias("key"), "node", "fp0")
     else:
         raise ValueError("fingerprints of several words need tables")
     large = keyed.groupBy("key").count().where(F.col("count") > bucket_rows)
@@ -277,7 +283,9 @@ def _followed(up: DataFrame, rounds: int) -> DataFrame:
         further = up.select(F.col("node").alias("to"), F.col("to").alias("further"))
         new = up.join(further, "to", "left").select("node", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved"))
         new = common.materialize(new, "pointers")
+        common.discard(up)
         up = new.select("node", "to")
+        up.scratch_path = new.scratch_path
         if not new.where("moved").limit(1).count():
             return up
     raise RuntimeError("pointers didn't settle")
@@ -325,7 +333,14 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried)
     own = ["doc_id", *(["carried"] if carry else [])]
     prints = common.materialize(fingerprints(picked, shingle=shingle, seeds=seeds, keep=own), "fingerprints")
-    nodes = common.materialize(prints.groupBy(*cols).agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(near_pairs(nodes.where("node is not null"), radius, len(seeds), tables, key_bits))
-    whole = nodes.join(found, "node", "left").select(*cols, F.coalesce("component", "node").alias("component_id"))
+    # numbers of their own, as an id may be null
+    each = prints.groupBy(*cols).agg(F.min("doc_id").alias("least"))
+    nodes = common.materialize(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    agree = 2 if nodes.count() < MANY else 3
+    found = components(near_pairs(nodes, radius, len(seeds), tables, key_bits, agree))
+    known = nodes.join(found, "node", "left").select(*cols, "least", F.coalesce("component", "node").alias("component"))
+    known = common.materialize(known, "known")
+    # all but the groups of one fingerprint; the minimum is taken before rows are dealt
+    least = common.materialize(known.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    whole = known.join(least, "component").select(*cols, "component_id")
     return prints.join(whole, cols).select(*own, *cols, "component_id")
