@@ -31,8 +31,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near-duplicates the document of the smallest id (null ids last).
 
-    Rows are numbered as they are stored, so that rows of one id, or without one, are documents of their own. The
-    numbers are written once, as another scan could deal the files in another way.
+    Candidates come from the SimHash operator's bit-sliced comparison; each link is checked by the exact similarity of
+    five-word shingles. Rows are numbered as they are stored, so that rows of one id, or without one, are documents of
+    their own. The numbers are written once, as another scan could deal the files in another way.
     """
     row = common.free(docs, "row")
     numbered = common.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
