@@ -81,7 +81,7 @@ def test_checksum_flags_and_replay(spark):
     packs = packs.withColumn("checksum", K.checksum(F.col("evidence"), F.col("rejected"), F.col("pack_id"), "p", "plan"))
     r = packs.first()
     body = "".join("\0".join([x["id"], x["class"], x["trust_level"], x["source_id"], f"{x['span_start']}:{x['span_end']}", x["checksum"], x["surface"]]) + "\0" for x in r["evidence"])
-    assert r["checksum"] == hashlib.sha256(f"context/context-pack/v1\0k\0p\0\0plan\0\0chars-div4-v1\0{body}".encode()).hexdigest()
+    assert r["checksum"] == hashlib.sha256(f"trailhead/evidence-pack/v1\0k\0p\0\0plan\0\0chars-div4-v1\0{body}".encode()).hexdigest()
     claimed = F.array(*map(F.lit, "bcd"))
     found = packs.select(K.flags(F.col("evidence"), F.col("checksum"), F.lit("other"), claimed).alias("f")).first()["f"]
     assert {(x["code"], x["evidence_id"]) for x in found} == {

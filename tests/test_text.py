@@ -95,10 +95,10 @@ def test_chunks_hashes_and_one_edit(spark):
     assert set(got) == {"hello", "world", "\nSection body."}
     key = sha("p", "a.txt")
     w = got["world"]
-    want = hashlib.sha256(b"\0".join([b"context/chunk/v1", b"paragraph-v1", key.encode(), (7).to_bytes(8, "big") + (12).to_bytes(8, "big"), hashlib.sha256(b"world").digest()])).hexdigest()
+    want = hashlib.sha256(b"\0".join([b"trailhead/chunk/v1", b"paragraph-v1", key.encode(), (7).to_bytes(8, "big") + (12).to_bytes(8, "big"), hashlib.sha256(b"world").digest()])).hexdigest()
     assert (w["path_key"], w["chunk_hash"], w["chunk_id"], w["source_id"]) == (key, want, f"chk_p_{want[:16]}", key[:16])
     leaf = {r["path_key"]: r["leaf"] for r in leaves.collect()}
-    assert leaf[key] == sha("context/source-leaf/v1", key, "file", hashlib.sha256(b"hello\n\nworld\n").hexdigest())
+    assert leaf[key] == sha("trailhead/source-leaf/v1", key, "file", hashlib.sha256(b"hello\n\nworld\n").hexdigest())
     root = S.source_root(leaves).first()["source_root"]
     assert root == hashlib.sha256(("source_merkle_v1\0" + "".join(f"{k}\0{v}\0" for k, v in sorted(leaf.items()))).encode()).hexdigest()
     assert S.source_root(of(files[::-1])[1]).first()["source_root"] == root
@@ -137,9 +137,9 @@ def test_events(spark, tmp_path):
     once = SF.batch_checksum(ids).first()
     both = SF.batch_checksum(SF.identities(ev.unionByName(ev).select("event_id", "payload_checksum"))).first()
     sums = sorted((json.loads(x)["event_id"], hashlib.sha256(x.strip().encode()).hexdigest()) for x in lines if x)
-    assert once == both and once["checksum"] == hashlib.sha256(("context/event-batch/v1" + "".join(f"\0{i}\0{c}" for i, c in sums)).encode()).hexdigest()
+    assert once == both and once["checksum"] == hashlib.sha256(("trailhead/event-batch/v1" + "".join(f"\0{i}\0{c}" for i, c in sums)).encode()).hexdigest()
     w = SF.window_checksum(ids, F.lit("2026-07-13 10:00:00").cast("timestamp"), F.lit("2026-07-13 11:30:00.5").cast("timestamp")).first()["checksum"]
-    assert w == hashlib.sha256(("context/event-window/v1\x002026-07-13T10:00:00Z\x002026-07-13T11:30:00.5Z\0occurred" + "".join(f"\0{i}\0{c}" for i, c in sums)).encode()).hexdigest()
+    assert w == hashlib.sha256(("trailhead/event-window/v1\x002026-07-13T10:00:00Z\x002026-07-13T11:30:00.5Z\0occurred" + "".join(f"\0{i}\0{c}" for i, c in sums)).encode()).hexdigest()
     clash = ev.unionByName(ev.withColumn("payload_checksum", F.lit("other")))
     with pytest.raises(Exception, match="conflicting payload"):
         SF.identities(clash).collect()

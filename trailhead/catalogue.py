@@ -90,7 +90,7 @@ CHUNKS = r"""
         WHERE doc_text <> '' AND trim(doc_text, chr(10) || ' ' || chr(9)) = ''
     ), hashed AS (
         SELECT *, span_start + strlen(text) AS span_end, sha256(text) AS text_checksum, path_key[1:16] AS source_id,
-               sha256(encode('context/chunk/v1') || '\x00'::BLOB || encode('paragraph-v1') || '\x00'::BLOB || encode(path_key) || '\x00'::BLOB
+               sha256(encode('trailhead/chunk/v1') || '\x00'::BLOB || encode('paragraph-v1') || '\x00'::BLOB || encode(path_key) || '\x00'::BLOB
                       || unhex(printf('%016x', span_start)) || unhex(printf('%016x', CAST(span_start + strlen(text) AS BIGINT))) || '\x00'::BLOB
                       || unhex(sha256(text))) AS chunk_hash
         FROM body
@@ -129,7 +129,7 @@ def chunk_set_hash(spark, sf_dir):
 _LEAVES = """leaf AS (
         SELECT source, sha256('p' || chr(0) || source || '/' || doc_id || '.txt') AS path_key, text FROM documents
     ), leaves AS (
-        SELECT source, path_key, sha256('context/source-leaf/v1' || chr(0) || path_key || chr(0) || 'file' || chr(0) || sha256(text)) AS leaf FROM leaf
+        SELECT source, path_key, sha256('trailhead/source-leaf/v1' || chr(0) || path_key || chr(0) || 'file' || chr(0) || sha256(text)) AS leaf FROM leaf
     )"""
 
 
@@ -516,12 +516,12 @@ def event_identity(spark, sf_dir):
     return SF.identities(e.unionByName(e))
 
 
-@_query(f"WITH {_EVENT_IDS} SELECT sha256('context/event-batch/v1' || string_agg(chr(0) || id || chr(0) || c, '' ORDER BY id)) AS checksum, CAST(count(*) AS BIGINT) AS n_events FROM ids")
+@_query(f"WITH {_EVENT_IDS} SELECT sha256('trailhead/event-batch/v1' || string_agg(chr(0) || id || chr(0) || c, '' ORDER BY id)) AS checksum, CAST(count(*) AS BIGINT) AS n_events FROM ids")
 def event_batch_checksum(spark, sf_dir):
     return SF.batch_checksum(SF.identities(_event_rows(spark, sf_dir)))
 
 
-@_query(f"""WITH {_EVENT_IDS} SELECT event_type, sha256('context/event-window/v1' || chr(0) || '2024-01-01T00:00:00Z' || chr(0) || '2024-01-15T12:30:00.25Z' || chr(0) || 'occurred'
+@_query(f"""WITH {_EVENT_IDS} SELECT event_type, sha256('trailhead/event-window/v1' || chr(0) || '2024-01-01T00:00:00Z' || chr(0) || '2024-01-15T12:30:00.25Z' || chr(0) || 'occurred'
         || string_agg(chr(0) || id || chr(0) || c, '' ORDER BY id)) AS checksum, CAST(count(*) AS BIGINT) AS n_events
     FROM ids WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-15 12:30:00.25' GROUP BY event_type""")
 def event_window_checksum(spark, sf_dir):
@@ -543,7 +543,7 @@ def stream_events_window(spark, sf_dir):
 _DRAFTS = """drafts AS (
         SELECT lang AS pack_id, doc_id, strlen(text) AS size, text, CAST((doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS score,
                row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place
-        FROM documents WHERE doc_id < 400
+        FROM documents
     )"""
 
 
@@ -583,7 +583,7 @@ def _packed(spark, sf_dir):
 
 
 @_query(_GREEDY % _DRAFTS + """
-    SELECT p.pack_id, sha256('context/context-pack/v1' || chr(0) || p.pack_id || chr(0) || 'p' || chr(0) || '' || chr(0) || 'plan1' || chr(0) || '' || chr(0) || 'chars-div4-v1' || chr(0)
+    SELECT p.pack_id, sha256('trailhead/evidence-pack/v1' || chr(0) || p.pack_id || chr(0) || 'p' || chr(0) || '' || chr(0) || 'plan1' || chr(0) || '' || chr(0) || 'chars-div4-v1' || chr(0)
         || string_agg(d.doc_id || chr(0) || 'source_text' || chr(0) || 'project' || chr(0) || 's' || d.doc_id || chr(0) || '0:' || d.size || chr(0) || sha256(d.text) || chr(0) || d.text || chr(0), '' ORDER BY p.n)) AS checksum
     FROM pick p JOIN drafts d ON d.doc_id = p.doc_id GROUP BY p.pack_id
 """)

@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The label that begins each kind of hash.
-SOURCE_LEAF = "context/source-leaf/v1"
+SOURCE_LEAF = "trailhead/source-leaf/v1"
 SOURCE_ROOT = "source_merkle_v1"
-CHUNK = "context/chunk/v1"
+CHUNK = "trailhead/chunk/v1"
 CHUNK_SET = "chunk_set_merkle_v1"
-EVENT_BATCH = "context/event-batch/v1"
-EVENT_WINDOW = "context/event-window/v1"
+EVENT_BATCH = "trailhead/event-batch/v1"
+EVENT_WINDOW = "trailhead/event-window/v1"
 
 
 def _bytes(x: Column | str) -> Column:

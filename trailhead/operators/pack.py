@@ -13,7 +13,7 @@ from .. import schema
 from ..functions import hashing as H
 
 #: The checksum's label, the estimator's name, classes that aren't evidence or are facts by themselves.
-LABEL = "context/context-pack/v1"
+LABEL = "trailhead/evidence-pack/v1"
 ESTIMATOR = "chars-div4-v1"
 NOT_EVIDENCE = ["instruction", "policy"]
 FACTUAL = ["source_text", "attestation"]

@@ -12,7 +12,7 @@ from ..functions import hashing as H
 from ..functions import text as X
 
 #: Folders that are never read.
-IGNORED = [".git/", ".context/", "vendor/", "node_modules/", "dist/", "build/", "target/", "bin/"]
+IGNORED = [".git/", ".trailhead/", "vendor/", "node_modules/", "dist/", "build/", "target/", "bin/"]
 DOCUMENTS = ["text/markdown", "text/plain", "text/html", "application/pdf"]
 
 EVENT = "event_id string, occurred_start timestamp, occurred_end timestamp, ingested_at timestamp, message string, trust string"
