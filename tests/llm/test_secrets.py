@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from trailhead.llm import secrets
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -43,5 +45,61 @@ def test_ownership_tells_copied_values_from_own_ones(spark):
     assert [(s["kind"], s["n_repos"], s["n_owners"]) for s in out[103][0]] == [("assign", 2, 2)] and len(out[104]) == 2
 
 
+def brute_keylike(rows, max_owners=2):
+    """The spans that the method adds, by plain loops: (doc_id, start, end) of key-like values of few owners."""
+    key = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    found, owners = [], {}
+    for row, (d, text, owner) in enumerate(rows):
+        text, at = text or "", 0
+        plain = [(m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        plain += [(m.start(), m.end(), m[0]) for p, k in ((r"AKIA[A-Z0-9]+", 20), (r"[0-9a-f]+", 24)) for m in re.finditer(p, text) if len(m[0]) >= k]
+        for _, _, v in plain:
+            owners.setdefault(v, set()).add(owner)
+        while at < len(text):
+            if text[at] not in key:
+                at += 1
+                continue
+            end = at
+            while end < len(text) and text[end] in key:
+                end += 1
+            body = end - at
+            for _ in range(2):
+                if end < len(text) and text[end] == "=":
+                    end += 1
+            free = (at == 0 or text[at - 1] != "=") and (end == len(text) or text[end] not in key + "=")
+            if body >= 20 and free and not any(s < end and at < e for s, e, _ in plain):
+                owners.setdefault(text[at:end], set()).add(owner)
+                found.append((d, at, end, text[at:end]))
+            at = max(end, at + 1)
+    return sorted((d, s, e) for d, s, e, v in found if len(owners[v]) <= max_owners and secrets.looks_random(v))
+
+
+def test_added_spans_equal_brute_force(spark):
+    rnd = random.Random(8)
+    values = ["q7Rk2LmX9vTz4BnC8wYd1", "Zx81kPq93LmVn27RtYw05==", "aB3" * 9, "exampleKey1234567890abc", "pw-77Gh/kk+Lm90QrsT2x", "g" * 30]
+    rows = []
+    for i in range(400):
+        some = [rnd.choice(values[:2] if i % 9 == 0 else values) for _ in range(rnd.randrange(3))] + [f"u{i}Kq93LmVn27RtYw05x"] * (i % 3 == 0)
+        rows.append((i, rnd.choice([" ", ", ", "\n", "password="]).join(["x", *some, "y"]), f"o{rnd.randrange(3)}" if i % 5 else "o9"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (1, 2):
+        got = sorted((r["doc_id"], s["start"], s["end"]) for r in secrets.scan(docs, max_owners=most).collect() for s in r["spans"] if s["kind"] == "keylike")
+        assert got == brute_keylike(rows, most) and len(got) > 50
+
+
+def test_a_value_that_most_rows_hold(spark, monkeypatch):
+    """Hot values take the broadcast way, all others the join; both have the same counts."""
+    monkeypatch.setattr(secrets, "HOT_VALUES", 3)
+    rows = [(i, "password=changeme1 " + (f"token=abc{i}xyz" if i % 2 else ""), f"s{i % 4}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.scan(docs).select(F.explode("spans").alias("s")).groupBy("s.n_repos", "s.n_owners").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1500), (3000, 4, 3000)]
+
+
+def test_many_spans_in_one_text():
+    text = " ".join(f"token=abcdef{i} q7Rk2LmX9vTz4BnC8wYd{i}" for i in range(30_000))
+    assert len(secrets.candidates(text)) == 60_000
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

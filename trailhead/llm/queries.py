@@ -35,7 +35,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_documents(spark, sf_dir, "doc_id", "text", "source"))
-    return found.select("doc_id", *secrets.digests())
+    return found.select("doc_id", *secrets.digests(), *secrets.findings())
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -35,6 +36,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24, "keylike": 20}
 WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 
+HOT_VALUES = 10_000
+
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 LONG_ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
@@ -57,6 +60,14 @@ def looks_random(value: str) -> bool:
     )
 
 
+def _reach(spans):
+    """(start, furthest end so far) of spans, in order of start."""
+    end = 0
+    for s, e in sorted(spans):
+        end = max(end, e)
+        yield s, end
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """(kind, start, end, value) of all spans in order of start, then kind; kind as an index of KINDS."""
     found = []
@@ -68,9 +79,10 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
     if max(map(len, text.split()), default=0) >= 20:
         found += [(1, m.start(), m.end(), m[0]) for m in LONG_ACCESS.finditer(text)]
         found += [(2, m.start(), m.end(), m[0]) for m in LONG_HEX.finditer(text)]
-        plain = sorted((s, e) for _, s, e, _ in found)
+        starts, furthest = zip(*_reach((s, e) for _, s, e, _ in found)) if found else ((), ())
         for m in KEYLIKE.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in plain):
+            before = bisect_left(starts, m.end())
+            if not before or furthest[before - 1] <= m.start():
                 found.append((3, m.start(), m.end(), m[0]))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
@@ -105,13 +117,29 @@ def _find():
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of each value: value_sha256, n_repos, n_owners.
+    """Distinct repositories and owners of each value, and its occurrences: value_sha256, n_repos, n_owners, n.
 
     Counted in three steps, so that no step gathers the rows of a value that a large part of the corpus holds.
     """
-    places = found.groupBy("value_sha256", "owner", "repo").agg(F.lit(1).alias("one"))
-    owners = places.groupBy("value_sha256", "owner").agg(F.count("*").alias("n"))
-    return owners.groupBy("value_sha256").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    places = found.groupBy("value_sha256", "owner", "repo").agg(F.count("*").alias("n"))
+    owners = places.groupBy("value_sha256", "owner").agg(F.count("*").alias("n_repos"), F.sum("n").alias("n"))
+    return owners.groupBy("value_sha256").agg(F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n"))
+
+
+def with_ownership(found: DataFrame) -> DataFrame:
+    """found with n_repos and n_owners of its values.
+
+    Values that hold more than one of HOT_VALUES parts of all occurrences (so at most HOT_VALUES of them) are
+    broadcast, and their occurrences don't move; the others are joined, none of which is a hot key.
+    """
+    known = common.materialize(ownership(found), "ownership")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    many = F.col("n") > max(1000, total // HOT_VALUES)
+    hot = F.broadcast(known.where(many).select("value_sha256", F.struct("n_repos", "n_owners").alias("hot")))
+    both = found.join(hot, "value_sha256", "left")
+    at_hand = both.where("hot is not null").select(*found.columns, "hot.n_repos", "hot.n_owners")
+    rest = both.where("hot is null").drop("hot").join(known.where(~many).select("value_sha256", "n_repos", "n_owners"), "value_sha256")
+    return at_hand.unionByName(rest)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
@@ -128,7 +156,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str
     none = F.array().cast("array<struct<start:int,kind:string,end:int,value_sha256:string,n_repos:bigint,n_owners:bigint,live:boolean>>")
     each = rows.where(F.size("found") > 0).select("row", "doc_id", "repo", "owner", F.explode("found").alias("s"))
     each = each.select("row", "doc_id", "repo", "owner", "s.*")
-    known = each.join(ownership(each), "value_sha256")
+    known = with_ownership(each)
     live = F.col("random") & (F.col("n_owners") <= max_owners)
     names = F.array(*map(F.lit, KINDS))
     span = F.struct("start", "kind", "end", "value_sha256", "n_repos", "n_owners", live.alias("live"))
@@ -146,14 +174,22 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str
     return rows.where(F.size("found") == 0).select("doc_id", none.alias("spans")).unionByName(kept)
 
 
+def _line(some: Column) -> Column:
+    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def digests(spans: str = "spans") -> list[Column]:
     """n_assign, n_access, n_hex, base_sha256 and spans as text."""
 
-    def line(some: Column) -> Column:
-        return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter(spans, lambda s: s["kind"].isin(BASE))
-    return [*map(count, BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col(spans)).alias("spans")]
+    return [*map(count, BASE), F.sha2(_line(base), 256).alias("base_sha256"), _line(F.col(spans)).alias("spans")]
+
+
+def findings(spans: str = "spans") -> list[Column]:
+    """What the corpus says: live spans as text, and how many repositories and owners hold the value that most hold."""
+    live = F.filter(spans, lambda s: s["live"])
+    most = lambda name: F.coalesce(F.array_max(F.transform(spans, lambda s: s[name])), F.lit(0)).cast("long")
+    return [_line(live).alias("live"), most("n_repos").alias("most_repos"), most("n_owners").alias("most_owners")]
