@@ -1,6 +1,11 @@
+import datetime
+import hashlib
+import random
 import re
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from trailhead.llm import pii
@@ -95,6 +100,94 @@ def test_network_is_a_permutation(spark):
         assert len(got) == high and all(len(x) == width for x in got)
 
 
+def test_nothing_stays_itself(spark):
+    strings = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
+    assert strings.where(pii.feistel(F.col("s"), KEY, "t") == F.col("s")).count() == 0
+
+
+def plain_network(text, key, kind):
+    """The network in plain Python."""
+    where = {c: (a, a.index(c)) for a in pii.ALPHABETS for c in a}
+    at = [i for i, c in enumerate(text) if c in where]
+    x = [where[text[i]] for i in at]
+    half = -(-len(x) // 2)
+    a, b = x[:half], x[half:]
+
+    def moved(xs, other, number, sign, least):
+        place = lambda p: str(pii.LETTERS.index(p[0][p[1]].lower()) + 1)
+        line = "\x1f".join([key, kind, number, str(len(x)), ",".join(map(place, other)), key])
+        seed, out = xxhash.xxh64_intdigest(hashlib.sha256(line.encode()).hexdigest().encode(), 42), []
+        for i, (alphabet, p) in enumerate(xs):
+            h = struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<i", i), seed)))[0]
+            n = len(alphabet)
+            out.append((alphabet, (p + sign * (h % (n - least) + least)) % n))
+        return out
+
+    a = moved(a, b, "1", 1, 0)
+    b = moved(b, a, "2", 1, 0)
+    a = moved(a, b, "3", 1, 1)
+    b = moved(b, a, "2", -1, 0)
+    a = moved(a, b, "1", -1, 0)
+    out = list(text)
+    for i, (alphabet, p) in zip(at, a + b):
+        out[i] = alphabet[p]
+    return "".join(out)
+
+
+def test_network_equals_plain_python(spark):
+    rnd = random.Random(2)
+    pool = "aZ09.éÉŽжЖλ-_ß中 "
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randrange(14))) for _ in range(300)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", pii.feistel(F.col("t"), KEY, "t").alias("s")).collect()
+    assert {r["i"]: r["s"] for r in got} == {i: plain_network(t, KEY, "t") for i, t in enumerate(texts)}
+
+
+LEAKS = [
+    ("Mr. James Smith called. Smith said yes. Later James left.", ["James", "Smith"]),
+    ("Thorvald Johnson and Mr O'Brien came; JAMES SMITH, too.", ["Thorvald", "Johnson", "Brien", "JAMES", "SMITH"]),
+    ("Ask Mary-Jane Watson or Mrs. de la Cruz.", ["Mary", "Jane", "Watson", "Cruz"]),
+    ("Łukasz Wąsik sat beside Dr. Łukasz Wąsik; WĄSIK nodded to Žižka, that is, to Mr. Žižka.", ["Łukasz", "Wąsik", "WĄSIK", "Žižka"]),
+    ("call +49 30 1234567 or 030 1234567 or (030) 1234567", ["1234567"]),
+    ("hosts 2001:db8::1, fe80::1ff:fe23:4567:890a and 2001:0DB8:0000:0000:0000:FF00:0042:8329.", ["2001", "fe80", "0DB8", "8329"]),
+    ("born 1980-02-29, DOB: 03/04/1980, geboren am 13.4.1975, born on March 12, 1980", ["1980-02-29", "03/04/1980", "13.4.1975", "March 12, 1980"]),
+    ("My name is Xenia Zorn. Regards, Xenia", ["Xenia", "Zorn"]),
+    ("FRAU MÜLLER met Prof. J. R. R. Tolkien", ["MÜLLER", "Tolkien"]),
+]
+
+
+def test_what_must_not_stay(spark):
+    for (text, gone), (after, found) in zip(LEAKS, swap(spark, [t for t, _ in LEAKS])):
+        assert found and not [g for g in gone if re.search(rf"(?<!\w){re.escape(g)}(?!\w)", after)], (text, after)
+
+
+def test_mentions_in_one_text_agree(spark):
+    ((after, _),) = swap(spark, ["Dr. Anna Novák wrote. Novák, NOVÁK and Anna again; Nováks isn't it, nor anna."])
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) wrote\. (\w+), (\w+) and (\w+) again; Nováks isn't it, nor anna\.", after)
+    assert m and m[2] == m[3] == m[4].title() and m[1] == m[5] and m[1] in pii.NAMES["female"].split() and m[2] != "Novák"
+
+
+def test_texts_without_entities_stay(spark):
+    texts = ["The Old Bridge. Over It The River Runs", "std::dec a::b 12:30:45 ::1 v1.2.3.4.5 0123 45 555-1234", "Version 2.0 of March 12, 1980; 12.03.1980", "Miss. Dr. Mr", "Season Ten. A Berg"]
+    assert [a for a, _ in swap(spark, texts)] == texts
+
+
+def test_birth_dates_stay_valid_and_apart(spark):
+    days = [datetime.date(1980, 1, 1) + datetime.timedelta(i) for i in range(366 * 5)]
+    for layout in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y"):
+        given = [d.strftime(layout) for d in days if layout != "%d/%m/%Y" or d.day > 12]
+        docs = spark.createDataFrame([(i, f"born {x}") for i, x in enumerate(given)], "doc_id long, text string")
+        got = [r["text"].removeprefix("born ") for r in pii.pseudonymize(docs, KEY).orderBy("doc_id").collect()]
+        assert len(set(got)) == len(given) and not any(a == b for a, b in zip(given, got))
+        assert all(1980 <= datetime.datetime.strptime(x, layout).year < 2000 for x in got)
+
+
+def test_given_names_go_round_by_key():
+    one, two = pii.given_names("k1"), pii.given_names("k2")
+    assert one != two and set(one) == set(one.values()) and all(k != v for k, v in one.items())
+    offsets = {(group.split().index(one[n]) - i) % len(group.split()) for group in pii.NAMES.values() for i, n in enumerate(group.split())}
+    assert len(offsets) > 5 and one["JAMES"] == one["James"].upper()
+
+
 def test_no_collisions(spark):
     rows = [(i, f"a{i}@mail{i % 7}.example.com 12.34.{i // 256}.{i % 256} +1 (212) 555-{i:04d}") for i in range(600)]
     docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
