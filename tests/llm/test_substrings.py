@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,23 @@ def test_equals_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, out.collect())) == [(i, *r) for i, r in enumerate(brute(rows))]
 
 
+def test_frequent_pieces_are_settled_over_a_task():
+    """A passage that every chunk holds is sent once by a task; an earlier place is sent again."""
+    rnd = random.Random(6)
+    passage = bytes(rnd.randrange(97, 123) for _ in range(400))
+    texts_of = [bytes(rnd.randrange(97, 123) for _ in range(300)) + passage for _ in range(40)]
+    grams = substrings.gram_hashes(np.frombuffer(passage, np.uint8))
+    pieces = substrings.Pieces(100, grams)
+    sent = removed = 0
+    for i, t in enumerate(texts_of):
+        for p in pieces.of_rows([t], np.array([100 - i if i == 39 else i]), np.array([i])):
+            first, again = pieces.settled(p)
+            inner = lambda x: int((x["start"] >= 300).sum())
+            sent, removed = sent + inner(first), removed + inner(again)
+    each = sent + removed
+    assert sent * 40 <= each * 3 and removed
+
+
 def test_repeated_ids_and_null_ids(spark):
     base = texts(4, 1)[0] + "q" * 130
     docs = spark.createDataFrame([(None, base), (7, base), (7, base), (3, base)], "doc_id long, text string")

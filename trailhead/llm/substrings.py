@@ -9,7 +9,9 @@ judged, exactly, in these steps:
    no anchor stands for very many different windows; this moves work about and changes no result.
 2. Windows in a row that pick the same anchor form a piece. Pieces go, as hashes, to ranges of anchor hashes. A piece
    that equals an earlier one (all bytes, same anchor) has all of its windows removed; one piece of each kind stays.
-   Equal pieces of one batch are settled before they are sent.
+   Equal pieces of one batch are settled before they are sent; those of frequent strings over a whole task, so that a
+   passage that very many rows share sends a few pieces a task and not one a row. Ranges go by the bytes of the table
+   and keep their size at any scale.
 3. If the pieces that stay have an anchor in common with others that differ, their bytes go to shards by anchor hash
    (an anchor of very many kinds is dealt out by the hash of each window instead). Each shard gets a suffix array by
    induced sorting and permuted common prefixes up to `length`; suffixes that share that much stand side by side, all
@@ -20,7 +22,8 @@ Rows are numbered by one scan and written with their numbers; every later scan r
 
 Defined results: null text is empty; texts under `length` bytes stay whole; texts of any length are read whole; rows
 whose id is null come after all others; repeated rows are rows of one id; an empty table gives no rows; other columns
-are ignored. Two different pieces with one 64-bit content hash and one anchor hash would count as equal.
+are ignored. Pieces are equal if the 64-bit hashes of their anchors and 96 bits of hashes of their bytes
+and the anchor's place are.
 """
 
 from __future__ import annotations
@@ -48,8 +51,12 @@ SYMBOL = _RNG.integers(0, 1 << 63, 256, np.uint64) << np.uint64(1) | np.uint64(1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
-#: A piece: anchor hash, content hash, id and number of its row, first window's start, number of windows.
-PIECE = np.dtype([("key", "<u8"), ("kind", "<u8"), ("id", "<i8"), ("row", "<i8"), ("start", "<i4"), ("n", "<i4")])
+#: Frequent pieces that a task remembers.
+REMEMBERED = 100_000
+
+#: A piece: anchor hash, 96 bits of content hash, id and number of its row, first window's start, number of windows.
+PIECE = np.dtype([("key", "<u8"), ("kind", "<u8"), ("more", "<u4"), ("id", "<i8"), ("row", "<i8"), ("start", "<i4"), ("n", "<i4")])
+HASHES = ("key", "kind", "more")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,15 +82,6 @@ def least_ahead(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
-class Powers:
-    """Powers of BASE and of its inverse, for content hashes by prefix sums."""
-
-    def __init__(self, n: int):
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE)]), dtype=np.uint64)
-        self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]), dtype=np.uint64)
-
-
 class Pieces:
     """Cuts rows into pieces."""
 
@@ -92,7 +90,7 @@ class Pieces:
         self.frequent = np.zeros(1 << 22, bool)
         self.frequent[(frequent >> np.uint64(42)).astype(np.int64)] = True
         self.any = bool(len(frequent))
-        self.powers = Powers(CHUNK + length)
+        self.seen: dict[tuple, tuple] = {}
 
     def cut(self, text: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, rows: np.ndarray, offset: int) -> np.ndarray:
         """Pieces of rows that lie side by side in text, in their order; offset is that of text in a lone row."""
@@ -116,16 +114,34 @@ class Pieces:
             return np.zeros(0, PIECE)
         total = np.concatenate([[0], np.cumsum(valid)])
         count = np.diff(np.append(total[start], total[-1]))
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(SYMBOL[text] * self.powers.up[:n], dtype=np.uint64, out=prefix[1:])
-        content = (prefix[start + count - 1 + self.length] - prefix[start]) * self.powers.down[start]
+        raw, digest = memoryview(text), xxhash.xxh3_128_digest
+        ends = start + count - 1 + self.length
+        content = np.frombuffer(b"".join(digest(raw[x:y]) for x, y in zip(start.tolist(), ends.tolist())), "<u8").reshape(-1, 2)
         out = np.zeros(len(start), PIECE)
         a, o = anchor[start], owner[start]
-        out["key"] = grams[a]
-        out["kind"] = mixed(content ^ mixed((a - start).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)))
+        out["key"], out["kind"] = grams[a], content[:, 0]
+        out["more"] = (content[:, 1] ^ mixed((a - start).astype(np.uint64) + np.uint64(1))) >> np.uint64(32)
         out["id"], out["row"], out["start"], out["n"] = ids[o], rows[o], start - firsts[o] + offset, count
         return out
 
+    def settled(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first piece of each kind, the others); of frequent kinds also those that an earlier call has sent an earlier one of."""
+        first, again = settle(p)
+        hot = np.flatnonzero(self.frequent[(first["key"] >> np.uint64(42)).astype(np.int64)])
+        if not len(hot):
+            return first, again
+        late = np.zeros(len(first), bool)
+        for i, *values in zip(hot.tolist(), *(first[c][hot].tolist() for c in (*HASHES, "id", "row", "start"))):
+            kind, place = tuple(values[:3]), tuple(values[3:])
+            before = self.seen.get(kind)
+            if before is not None and before < place:
+                late[i] = True
+                continue
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[kind] = place
+        return first[~late], np.concatenate([again, first[late]])
+
     def of_rows(self, texts: list[bytes], ids: np.ndarray, rows: np.ndarray):
         """Arrays of pieces, of about CHUNK bytes of rows each; longer rows are read in overlapping parts."""
         held: list[int] = []
@@ -160,9 +176,11 @@ def places(p: np.ndarray, *before: np.ndarray) -> np.ndarray:
 
 def settle(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first piece of each kind, the others)."""
-    p = p[places(p, p["key"], p["kind"])]
+    p = p[places(p, *(p[c] for c in HASHES))]
     first = np.ones(len(p), bool)
-    first[1:] = (p["key"][1:] != p["key"][:-1]) | (p["kind"][1:] != p["kind"][:-1])
+    first[1:] = False
+    for c in HASHES:
+        first[1:] |= p[c][1:] != p[c][:-1]
     return p[first], p[~first]
 
 
@@ -241,7 +259,7 @@ def _cut_into_pieces(length: int, frequent: np.ndarray, n_ranges: int):
             for p in pieces.of_rows([texts[i] for i in order], ids[order], rows[order]):
                 if not len(p):
                     continue
-                first, again = settle(p)
+                first, again = pieces.settled(p)
                 r = (first["key"] & low_bits).astype(np.int64)
                 by_range = np.argsort(r, kind="stable")
                 first, r = first[by_range], r[by_range]
@@ -262,15 +280,18 @@ def _packed(p: np.ndarray) -> bytes:
     order = places(p)
     p = p[order]
     rest = b"".join(np.diff(p[c], prepend=p[c][:1] * 0).tobytes() for c in ("id", "row", "start", "n"))
-    head = p["key"].tobytes() + p["kind"].tobytes()
+    head = b"".join(p[c].tobytes() for c in HASHES)
     return np.int64(len(p)).tobytes() + head + zstandard.ZstdCompressor(level=1).compress(rest)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     p = np.zeros(n, PIECE)
-    p["key"], p["kind"] = np.frombuffer(blob, np.uint64, 2 * n, 8).reshape(2, n)
-    rest, at = zstandard.ZstdDecompressor().decompress(blob[8 + 16 * n :]), 0
+    at = 8
+    for c in HASHES:
+        p[c] = np.frombuffer(blob, PIECE[c], n, at)
+        at += n * PIECE[c].itemsize
+    rest, at = zstandard.ZstdDecompressor().decompress(blob[at:]), 0
     for c in ("id", "row", "start", "n"):
         size = n * PIECE[c].itemsize
         p[c] = np.cumsum(np.frombuffer(rest[at : at + size], PIECE[c]), dtype=PIECE[c])
@@ -444,7 +465,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     numbered = common.materialize(_numbered(docs, doc_id, text), "numbered")
     stats = numbered.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     frequent = frequent_grams(numbered, stats["n"])
-    n_ranges = 1 << min(16, max(4, ((stats["bytes"] or 0) // RANGE_BYTES).bit_length()))
+    n_ranges = 1 << max(4, ((stats["bytes"] or 0) // RANGE_BYTES).bit_length())
     parts = numbered.select("row", "id", "text").mapInArrow(_cut_into_pieces(length, frequent, n_ranges), PARTS)
     dealt = parts.repartition("range").sortWithinPartitions("range")
     flags = common.materialize(dealt.mapInArrow(_judge(length), FLAGS), "repeats")
