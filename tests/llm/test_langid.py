@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trailhead.llm import common, langid
@@ -65,3 +67,39 @@ def test_features_agree_with_the_scorer(spark):
     t = "the schung eau"
     where, share = langid.features(t, model.settings.bits)
     assert abs((model.weights[:, where] * share).sum(1) - langid.Scorer(model).sums([t])[0]).max() < 1e-5
+
+
+def test_document_frequencies_are_those_of_all_texts(spark, monkeypatch):
+    docs = data(spark, 120).unionByName(spark.createDataFrame([(7001, "", "en", "en"), (7002, "the ing " * 300, "en", "en"), (7002, "the ing " * 300, "en", "en")], "doc_id long, text string, lang string, truth string"))
+    rows = langid.labelled(docs, "lang")
+    monkeypatch.setattr(langid, "STRIDE", 50)
+    df, n = langid.document_frequencies(rows, 10)
+    want = np.zeros(3 << 10, np.int64)
+    texts = [r["text"] for r in rows.collect()]
+    for t in texts:
+        want[langid.features(t, 10)[0]] += 1
+    assert n == len(texts) and (df == want).all()
+    assert langid.document_frequencies(rows.limit(0), 10)[1] == 0
+
+
+def test_predictions_equal_plain_python(spark):
+    """Each text's n-grams looked up one by one, its language by softmax; ties and clashing columns included."""
+    docs = data(spark, 300)
+    model = langid.train(docs)
+    rnd = random.Random(9)
+    texts = [text(rnd, rnd.choice(["en", "de", "fr"]), rnd.choice([1, 2, 5, 40])) for _ in range(60)] + ["x", "ÀÉ", "1 a"]
+    table = spark.createDataFrame([(i, t, "c", 0) for i, t in enumerate(texts)], "doc_id long, text string, LANG_PRED string, Score int")
+    got = {r["doc_id"]: r for r in langid.predict(table, model).collect()}
+    for i, t in enumerate(texts):
+        where, share = langid.features(t, model.settings.bits)
+        z = [sum(float(w[b]) * s for b, s in zip(where, share)) + float(bias) for w, bias in zip(model.weights, model.bias)]
+        p = [math.exp(x / model.temperature - max(z) / model.temperature) for x in z]
+        assert abs(got[i]["score"] - max(p) / sum(p)) < 1e-4
+        best = sorted(p)[-2:]
+        assert best[1] - best[0] < 1e-4 or got[i]["lang_pred"] == model.languages[p.index(max(p))]
+
+
+def test_ties_go_to_the_first_language():
+    s = langid.Settings()
+    model = langid.Model(["a", "b"], np.zeros((2, 3 << s.bits), np.float32), np.zeros(2), 1.0, s)
+    assert langid.Scorer(model)(["some text"])[0] == ["a"]

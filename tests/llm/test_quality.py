@@ -1,6 +1,8 @@
+import math
 import random
 import zlib
 
+import zstandard
 from pyspark.sql import functions as F
 
 from trailhead.llm import common, quality
@@ -60,3 +62,28 @@ def test_edge_rows(spark):
     assert {r["score"] for r in quality.score(docs.limit(3), none).collect()} == {0.5}
     only = quality.train(docs, labels.where("quality = 1"))
     assert quality.score(docs.limit(1), only).first()["score"] > 0.99
+
+
+def test_scores_equal_plain_python(spark):
+    """Compressed sizes of each block under either dictionary, then the logistic curve; columns in another case are replaced."""
+    docs, labels = data(spark)
+    model = quality.train(docs, labels)
+    rnd = random.Random(4)
+    texts = [rnd.choice([good, bad])(rnd) * rnd.choice([1, 5]) for _ in range(40)] + ["", "é" * 2000]
+    table = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, SCORE int")
+    level, block = model.settings.level, model.settings.block_bytes
+    for r in quality.score(table, model).collect():
+        b, sizes = texts[r["doc_id"]].encode(), []
+        for dictionary in (model.good, model.bad):
+            z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(z.compress(b[i : i + block])) for i in range(0, len(b), block)))
+        x = (sizes[1] - sizes[0]) / sum(sizes) if sum(sizes) else 0.0
+        assert abs(r["score"] - 1 / (1 + math.exp(-(model.slope * x + model.intercept)))) < 1e-9
+
+
+def test_repeated_and_conflicting_labels(spark):
+    docs, labels = data(spark)
+    again = labels.unionByName(labels.where("quality = 1"))
+    assert quality.train(docs, again).good == quality.train(docs, labels).good
+    both = labels.unionByName(spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, quality int"))
+    assert quality.train(docs, both).good == quality.train(docs, labels.where("doc_id <> 1")).good

@@ -6,8 +6,9 @@ frequency. Weights are trained by follow-the-regularised-leader (proximal, one l
 elastic-net penalty: the absolute part keeps them sparse, the squared part small. A temperature fitted on rows kept
 back from training calibrates the probabilities.
 
-Training reads a bounded sample: about per_language rows of each language, by a threshold on the hash of the id, and
-of each a window of at most window characters at a hashed place. These are parameters; prediction reads whole texts.
+Document frequencies are counted over all labelled whole texts that aren't held out, each task's in one array. The fit
+reads a bounded sample: about per_language rows of each language, by a threshold on the hash of the id, and of each a
+window of at most window characters at a hashed place. These are parameters; prediction reads whole texts.
 
 Defined results: a null text or one without a letter is `und` with score 0; texts of any length are read in full;
 with no labelled rows everything is `und`; ties go to the language that sorts first; repeated rows give repeated
@@ -81,9 +82,40 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return where, n / max(1, n.sum())
 
 
+def labelled(docs: DataFrame, lang: str) -> DataFrame:
+    """Rows to learn from: with a language and a text, and not of the held-out fold."""
+    return docs.where(~common.held_out(F.col("doc_id")) & F.col(lang).isNotNull() & F.col("text").isNotNull())
+
+
+def document_frequencies(rows: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """In how many texts each bucket occurs, and the number of texts: counted in each task, added up by bucket."""
+    size = ORDERS << bits
+
+    def run(batches):
+        df, n, seen = np.zeros(size, np.int64), 0, np.zeros(size, bool)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                points = np.concatenate([code_points(text), np.full(ORDERS - 1, 0x20, np.uint32)])
+                for at in range(0, len(points) - ORDERS + 1, STRIDE):
+                    for k, b in enumerate(buckets(points[at : at + STRIDE + ORDERS - 1], bits)):
+                        seen[b + (k << bits)] = True
+                where = np.flatnonzero(seen)
+                df[where] += 1
+                seen[where] = False
+                n += 1
+        if n:
+            where = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(where, size)), pa.array(np.append(df[where], n))], names=["bucket", "n"])
+
+    found = rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1, np.int64)
+    df[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return df[:size], int(df[size])
+
+
 def sample(docs: DataFrame, lang: str, settings: Settings) -> list[tuple[str, str]]:
     """(language, text) of the training rows in a fixed order; never of the held-out fold."""
-    rows = docs.where(~common.held_out(F.col("doc_id")) & F.col(lang).isNotNull() & F.col("text").isNotNull())
+    rows = labelled(docs, lang)
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang)).count().collect()}
     if not counts:
         return []
@@ -102,17 +134,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], settings: Settings) -> Model:
-    """Train on (language, text) rows."""
+def fit(rows: list[tuple[str, str]], settings: Settings, df: np.ndarray | None = None, n_texts: int = 0) -> Model:
+    """Train on (language, text) rows, with document frequencies of n_texts texts (of the rows themselves, if None)."""
     s = settings
     languages = sorted({k for k, _ in rows})
     size, n_lang = ORDERS << s.bits, len(languages)
     x = [features(t, s.bits) for _, t in rows]
     y = [languages.index(k) for k, _ in rows]
-    df = np.zeros(size)
-    for where, _ in x:
-        df[where] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    if df is None:
+        df, n_texts = np.zeros(size), len(rows)
+        for where, _ in x:
+            df[where] += 1
+    idf = np.log((1 + n_texts) / (1 + df)) + 1
     back = [i for i in range(len(rows)) if i % s.kept_back == s.kept_back - 1] if len(rows) >= 10 * s.kept_back else []
     kept = set(back)
     fore = [i for i in range(len(rows)) if i not in kept]
@@ -155,7 +188,7 @@ def fit(rows: list[tuple[str, str]], settings: Settings) -> Model:
 def train(docs: DataFrame, lang: str = "lang", settings: Settings = Settings()) -> Model | None:
     """A model from the labelled rows of docs (doc_id, text and the label column); None without any."""
     rows = sample(docs, lang, settings)
-    return fit(rows, settings) if rows else None
+    return fit(rows, settings, *document_frequencies(labelled(docs, lang), settings.bits)) if rows else None
 
 
 class Scorer:
