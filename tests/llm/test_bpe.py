@@ -3,7 +3,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
-from trailhead.llm import bpe
+from trailhead.llm import bpe, common
 from trailhead.llm.queries import tokenizer_file
 
 PARTS = ["a", "b", "the", " ", "  ", "\n", "\t", "'s", "'ll", "é", "ß", "中", "😀", "1", "23", "٣", "½", "<|endoftext|>", "<|", "　", "\xa0", "\x85", "\x1c", "!", "??", "_", "\r\n", "aaaa", "İ", "'", "ll", "Ⅷ"]
@@ -25,11 +25,24 @@ def test_equals_the_library_on_random_texts(reference):
 
 
 def test_caches_stay_bounded(monkeypatch):
-    for name in ("CACHED_CHUNKS", "CACHED_PIECES", "CACHED_PAIRS"):
-        monkeypatch.setattr(bpe, name, 5)
+    for name, most in (("CACHED_CHUNK_BYTES", 2000), ("CACHED_PIECE_BYTES", 2000), ("CACHED_PAIRS", 5)):
+        monkeypatch.setattr(bpe, name, most)
     e = bpe.Encoder(bpe.Vocabulary(tokenizer_file()))
-    e.encode(" ".join(f"word{i}" for i in range(100)))
-    assert max(len(e.chunks.young), len(e.chunks.old), len(e.pieces.young), len(e.pieces.old), len(e.pairs)) <= 5
+    for k in range(3):
+        e.encode(" ".join(f"word{i},{k}" for i in range(100)))
+        for cache in (e.chunks, e.pieces):
+            for half in (cache.young, cache.old):
+                assert sum(bpe.ENTRY_BYTES + len(a) + len(b) for a, b in half.items()) <= 2000
+        assert len(e.pairs) <= 5 and e.chunks.young
+
+
+def test_caches_go_when_other_work_begins():
+    e = bpe.encoder(tokenizer_file())
+    e.encode("some words to keep")
+    common.begin(f"bpe {tokenizer_file()}")
+    assert e.chunks.young
+    common.begin()
+    assert not e.chunks.young and not e.pieces.young and not e.pairs
 
 
 def test_invalid_utf8_is_replaced_as_the_library_does(reference):

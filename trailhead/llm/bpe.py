@@ -14,12 +14,7 @@ the caches); repeated rows give repeated results; an input column named like an
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import json
-import threading
-import time
 from array import array
 
 import ahocorasick
@@ -36,15 +31,12 @@ from . import common
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-#: Entries of each cache's younger half; the older half holds as many at most.
-CACHED_CHUNKS = 150_000
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 500_000
+#: Bytes of each cache's younger half, entries' overheads included; the older half holds as many at most.
+CACHED_CHUNK_BYTES, CACHED_PIECE_BYTES = 32 << 20, 64 << 20
+ENTRY_BYTES = 200
+CACHED_PAIRS = 300_000
 LONGEST_CACHED = 64
 
-#: Seconds after which a worker that encodes nothing gives the caches' memory back; other work may share the process.
-IDLE_S = 3.0
-
 
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else one from 256 up."""
@@ -113,14 +105,16 @@ class Vocabulary:
 
 
 class Cache:
-    """A bounded map: when the young half is full it becomes the old one, and what is used again returns to the young."""
+    """A map bounded in bytes: when the young half is full it becomes the old one, and what is used again returns to the young."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.young, self.old, self.room = most, {}, {}, most
 
     def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.most:
-            self.young, self.old = {}, self.young
+        size = ENTRY_BYTES + len(key) + len(value)
+        if size > self.room:
+            self.young, self.old, self.room = {}, self.young, self.most
+        self.room -= size
         self.young[key] = value
 
     def again(self, key: str) -> bytes | None:
@@ -144,8 +138,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Empty the caches."""
-        self.used = time.monotonic()
-        self.chunks, self.pieces = Cache(CACHED_CHUNKS), Cache(CACHED_PIECES)
+        self.chunks, self.pieces = Cache(CACHED_CHUNK_BYTES), Cache(CACHED_PIECE_BYTES)
         self.pairs: dict[int, bool] = {}
 
     def piece(self, text: str) -> list[int]:
@@ -195,20 +188,24 @@ class Encoder:
             parts = self.inner_space.split(text)
         else:
             parts = text.split(" ")
-        chunks = self.chunks
-        out = [self.chunk(parts[0])]
-        for part in parts[1:]:
-            got = chunks.young.get(part) or chunks.again(part)
-            if got is None:
-                got = self.chunk(" " + part)
-                if len(part) <= LONGEST_CACHED:
-                    chunks.put(part, got)
-            out.append(got)
-        return b"".join(out)
+        first, chunks = self.chunk(parts[0]) if parts[0] else b"", self.chunks
+        del parts[0]
+        out = list(map(chunks.young.get, parts))
+        if None in out:
+            for i, got in enumerate(out):
+                if got is None:
+                    part = parts[i]
+                    # another miss of the same text may have put it
+                    got = chunks.young.get(part) or chunks.again(part)
+                    if got is None:
+                        got = self.chunk(" " + part)
+                        if len(part) <= LONGEST_CACHED:
+                            chunks.put(part, got)
+                    out[i] = got
+        return first + b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as an int32 array; the strings of special tokens become these tokens."""
-        self.used = time.monotonic()
         if not self.cut or not self.cut.search(text):
             return np.frombuffer(self.plain(text), np.int32)
         out, at = [], 0
@@ -227,25 +224,15 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _tidy() -> None:
-    """Empty the caches of encoders that have been idle, for as long as the process lives."""
-    while True:
-        time.sleep(IDLE_S / 2)
-        for e in list(_ENCODERS.values()):
-            if e.pairs and time.monotonic() - e.used > IDLE_S:
-                e.forget()
-                gc.collect()
-                pa.default_memory_pool().release_unused()
-                with contextlib.suppress(AttributeError, OSError):
-                    ctypes.CDLL(None).malloc_trim(0)
+def _owner(path: str) -> str:
+    return f"bpe {path}"
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; a process makes it once."""
+    """The worker's encoder for a tokenizer file. Its caches serve many tasks, and go when the worker turns to other work."""
     if path not in _ENCODERS:
-        if not _ENCODERS:
-            threading.Thread(target=_tidy, daemon=True).start()
         _ENCODERS[path] = Encoder(Vocabulary(path))
+    common.hold(_owner(path), _ENCODERS[path].forget)
     return _ENCODERS[path]
 
 
@@ -273,7 +260,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
         return fn
 
-    return common.with_columns(df, [text], fields, make, keep)
+    return common.with_columns(df, [text], fields, make, keep, _owner(path))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text", keep=None) -> DataFrame:
@@ -287,7 +274,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text", keep=
 
         return fn
 
-    return common.with_columns(df, [ids], [T.StructField(text, T.StringType())], make, keep)
+    return common.with_columns(df, [ids], [T.StructField(text, T.StringType())], make, keep, _owner(path))
 
 
 def digests(ids: str = "ids", decoded: str = "decoded") -> list[Column]:

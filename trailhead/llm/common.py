@@ -89,16 +89,32 @@ def held_out(column: Column) -> Column:
     return F.coalesce(crc_fold(column) == 0, F.lit(True))
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """Say that an owner holds caches in this worker, and how they are released."""
+    _HELD[owner] = release
+
+
+def begin(owner: str = "") -> None:
+    """A task of an owner begins in this worker: the caches of all others are released."""
+    for other in [k for k in _HELD if k != owner]:
+        _HELD.pop(other)()
+
+
 def with_columns(
     df: DataFrame,
     inputs: Sequence[str],
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[..., Sequence[pa.Array]]],
     keep: Sequence[str] | None = None,
+    owner: str = "",
 ) -> DataFrame:
     """Add columns that a Python function computes from Arrow arrays of the input columns.
 
-    make() runs once in each task and returns the function. keep names the columns that stay (all, if None);
+    make() runs once in each task and returns the function; caches that others than the owner hold in the worker are released
+    before. keep names the columns that stay (all, if None);
     one of the same name as a new column, in whatever case, is replaced.
     """
     names = {f.name.lower() for f in fields}
@@ -112,6 +128,7 @@ def with_columns(
     out_names = [f.name for f in schema]
 
     def run(batches):
+        begin(owner)
         fn = make()
         for batch in batches:
             if batch.num_rows:

@@ -131,6 +131,7 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def _verify(batches):
     """Links of each (component, part) of rows that come in order."""
+    common.begin()
     now, nodes, sets = None, [], []
 
     def found():

@@ -219,6 +219,7 @@ def _search(radius: int, batch_rows: int):
     """Links within the runs of (key, part) of rows that come in order: node pairs."""
 
     def run(batches):
+        common.begin()
         held: list[list[np.ndarray]] = []
         rows = 0
 
