@@ -1,5 +1,7 @@
+import math
+
 import pytest
-from fixtures import GOLDEN, QUERY, at, chunks
+from fixtures import MARKS, TOWN, at, chunks, plain_answer
 from pyspark.sql import functions as F
 
 from trailhead.functions import languages as L
@@ -11,13 +13,8 @@ from trailhead.plans.compile import compile_query
 
 
 @pytest.fixture(scope="module")
-def golden(spark):
-    return FI.scope(chunks(spark, GOLDEN), "p_eval", "snap_eval").cache()
-
-
-@pytest.fixture(scope="module")
-def words(spark):
-    return FI.scope(chunks(spark, [(c, f"s-{c}", t, "ru", {}) for c, t in QUERY], "p_ql", "snap_ql"), "p_ql", "snap_ql").cache()
+def town(spark):
+    return FI.scope(chunks(spark, TOWN), "town", "first").cache()
 
 
 def ids(df):
@@ -32,83 +29,80 @@ def asked(c, text, language="ru", **how):
     return ids(compile_query(c, text, language, **how).candidates)
 
 
-def test_golden_cases(golden, spark):
-    e = golden.select("chunk_id", V.embed(F.col("text"), "rune").alias("embedding"))
-    window = FI.Filters(window=FI.Window(at(12), at(14)))
-    found = {
-        "exact-runners": ids(R.exact(golden, "runners")),
-        "sparse-park": ids(R.sparse(golden, "park runners")),
-        "dense-run": ids(R.dense(e, V.rune_embedding("runners run in the park"))),
-        "hybrid-run-expand": ids(hybrid(golden, "run")),
-        "multilingual": ids(hybrid(golden, "run", f=FI.Filters(language="en"))),
-        "lexicon": ids(hybrid(golden, "runners", f=FI.Filters("sense-run-sport", "concept-running", "att-runners-1", "sport", "us", "2020s", "lex-proof-1", "proof-fixture"))),
-        "event-window": ids(hybrid(golden, "deploy", f=window)),
-        "ru-inflection": ids(hybrid(golden, "дорога", "ru")),
-        "ru-verb": ids(hybrid(golden, "бежать", "ru")),
-        "and-not": asked(golden, "дорога -железной"),
-        "morph-phrase": asked(golden, '~"железная дорога"'),
-        "token-boundary": asked(golden, "дом"),
-        "yo": asked(golden, "ёлка"),
-        "or-group": asked(golden, "(ёлка OR дом) -реки"),
-    }
-    want = {
-        "exact-runners": ("c-run", ""), "sparse-park": ("c-run", ""), "dense-run": ("c-run", ""), "hybrid-run-expand": ("c-run", ""),
-        "multilingual": ("c-en", "c-ru"), "lexicon": ("c-lex", "c-bank"), "event-window": ("c-evt-in", "c-evt-out"),
-        "ru-inflection": ("c-ru-rail c-ru-road", ""), "ru-verb": ("c-ru-run", ""), "and-not": ("c-ru-road", "c-ru-rail"),
-        "morph-phrase": ("c-ru-rail", "c-ru-road"), "token-boundary": ("c-ru-dom", "c-ru-home"), "yo": ("c-ru-yo", ""), "or-group": ("c-ru-yo", "c-ru-dom"),
-    }
-    for name, (some, none) in want.items():
-        assert set(some.split()) <= set(found[name]) and not set(none.split()) & set(found[name]), name
-
-
-def test_sense_filter_leaves_its_reason(golden):
-    out = M.scored(R.exact(golden, "runners", FI.Filters(attestation_id="att-runners-1"))).collect()
-    assert {r["chunk_id"] for r in out} == {"c-run", "c-lex"} and all(r["reasons"] == ["attestation_filter", "exact_phrase"] for r in out)
-    assert ids(R.exact(golden, "runners", FI.Filters(graph_node_id="n"))) == ids(R.exact(golden, "runners"))
-    assert ids(R.exact(golden, "  ")) == []
-
-
-@pytest.mark.parametrize(
-    "text, want",
-    [
-        ("дорога", "c-road c-road2"), ("дом", "c-dom"), ("память чат", "c-memchat"), ("память OR чат", "c-chat c-mem c-memchat"),
-        ("память -чат", "c-mem"), ('"память проекта"', "c-mem"), ('~"железная дорога"', "c-road"), ('~"дорога железная"', ""),
-        ("(память OR переписка) -диалога", "c-chat c-mem"), ("lang:ru дорога", "c-road c-road2"),
-    ],
-)
-def test_queries(words, text, want):
-    assert sorted(asked(words, text)) == want.split()
-
-
-def test_query_scores_snippets_and_explain(words, spark):
-    plan = compile_query(words, "память чат", "ru")
-    r = plan.candidates.first()
-    assert r["merged_score"] == pytest.approx(1.9) and [c["retriever"] for c in r["contributions"]] == ["term", "term"]
-    data = r["text"].encode()[r["match_span"]["start"] : r["match_span"]["end"]]
-    assert data.decode() == "память"
-    assert [(x["kind"], x["matches"]) for x in plan.explain().orderBy("leaf").collect()] == [("term", 2), ("term", 2)]
-    assert plan.canonical == "(AND память чат)"
-    none = compile_query(words, "дорога", "")
-    assert ids(none.candidates) == ["c-road2"]
-    m = compile_query(words, '~"железная дорога"', "ru").candidates.first()
-    assert m["text"].encode()[m["match_span"]["start"] : m["match_span"]["end"]].decode() == "железной дороги"
+def test_searches(town):
+    e = town.select("chunk_id", V.embed(F.col("text"), "rune").alias("embedding"))
+    texts = {c: t for c, _, t, *_ in TOWN}
+    assert set(ids(R.exact(town, "boats"))) == {c for c, t in texts.items() if "boats" in t}
+    assert ids(R.sparse(town, "Bridge runners"))[0] == "race"
+    assert ids(R.dense(e, V.rune_embedding(texts["quay"])))[0] == "quay"
+    assert ids(hybrid(town, "running")) == ["race"] and ids(R.exact(town, "running")) == []
+    french = ids(hybrid(town, "pont", f=FI.Filters(language="fr")))
+    assert french == ["course"]
+    one = FI.Filters(**{f"{k}_id": MARKS[f"{k}_ids"][0] for k in ("sense", "concept", "attestation")}, **{k: v for k, v in MARKS.items() if not k.endswith("_ids")})
+    assert set(ids(hybrid(town, "boats", f=one))) == {"quay", "hull"} and ids(hybrid(town, "grain", f=one)) == []
+    morning = FI.Filters(window=FI.Window(at(9), at(9, 30)))
+    assert ids(hybrid(town, "alarm", f=morning)) == ["alarm"]
+    assert {"lane", "repair"} <= set(ids(hybrid(town, "улица", "ru")))
+
+
+def test_sense_filter_leaves_its_reason(town):
+    out = M.scored(R.exact(town, "boats", FI.Filters(sense_id="hull"))).collect()
+    assert {r["chunk_id"] for r in out} == {"quay", "hull"} and all(r["reasons"] == ["exact_phrase", "sense_filter"] for r in out)
+    assert ids(R.exact(town, "boats", FI.Filters(graph_node_id="any"))) == ids(R.exact(town, "boats"))
+    assert ids(R.exact(town, "  ")) == []
+
+
+QUERIES = ["улица", "сад", "птица", "сад | роза", "улица -ремонт", '"узкой улице"', '~"узкая улица"', '~"улица узкая"', "(сад OR ель) -мельница", "зелёная", "~улица играли", "тихое озеро"]
+
+
+@pytest.mark.parametrize("text", QUERIES)
+def test_queries_equal_a_plain_walk(town, text):
+    assert sorted(asked(town, text)) == plain_answer(TOWN, text, "ru")
+
+
+def test_the_queries_find_something_and_not_all(town):
+    answers = {q: plain_answer(TOWN, q, "ru") for q in QUERIES}
+    assert answers["улица"] == ["lane", "repair"] and answers['~"узкая улица"'] == ["lane"] and answers['~"улица узкая"'] == []
+    assert answers["зелёная"] == ["spruce"] and "roses" not in answers["сад"] and sum(map(bool, answers.values())) >= 9
+
+
+def test_query_scores_snippets_and_explain(town):
+    plan = compile_query(town, "улица играли", "ru")
+    (r,) = plan.candidates.collect()
+    assert r["chunk_id"] == "lane" and [c["retriever"] for c in r["contributions"]] == ["term", "term"]
+    assert r["merged_score"] == pytest.approx(sum(c["weight"] * c["norm"] for c in r["contributions"]))
+    span = r["match_span"]
+    assert r["text"].encode()[span["start"] : span["end"]].decode() in ("улице", "играли")
+    counts = [(x["kind"], x["matches"]) for x in plan.explain().orderBy("leaf").collect()]
+    assert counts == [("term", len(plain_answer(TOWN, w, "ru"))) for w in ("улица", "играли")]
+    assert plan.canonical == "(AND улица играли)"
+    # without a language words are only lower-cased
+    assert ids(compile_query(town, "улица", "").candidates) == plain_answer(TOWN, "улица", "") == ["repair"]
+    m = compile_query(town, '~"узкая улица"', "ru").candidates.first()
+    assert m["text"].encode()[m["match_span"]["start"] : m["match_span"]["end"]].decode() == "узкой улице"
     assert m["reasons"] == ["lemma_match", "morph_phrase"]
-    rejected = compile_query(words, "дорога", "ru", rejected=["дороги"])
-    assert "дороги" in rejected.leaves[0].rejected and ids(rejected.candidates) == ["c-road2"]
+    refused = compile_query(town, "улица", "ru", rejected=["улице"])
+    assert "улице" in refused.leaves[0].rejected and ids(refused.candidates) == ["repair"]
+
+
+def test_sparse_terms_add_a_contribution(town):
+    plain, more = (compile_query(town, "quay", "en", sparse_terms=x).candidates.first() for x in (False, True))
+    assert [c["retriever"] for c in plain["contributions"]] == ["term"] and [c["retriever"] for c in more["contributions"]] == ["term", "sparse"]
+    assert more["merged_score"] == plain["merged_score"]
 
 
-def test_query_is_one_scan(spark, tmp_path, golden):
-    golden.write.parquet(f"{tmp_path}/c")
+def test_query_is_one_scan(spark, tmp_path, town):
+    town.write.parquet(f"{tmp_path}/c")
     c = spark.read.parquet(f"{tmp_path}/c")
     plan = compile_query(c, '(run OR "the park") -bank', "en").candidates._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan and "Python" not in plan
 
 
 def test_tombstones(spark):
-    c = FI.scope(chunks(spark, GOLDEN, tombstoned=("c-run",)), "p_eval", "snap_eval")
-    assert "c-run" not in ids(R.exact(c, "runners"))
-    gone = spark.createDataFrame([("s-lex",)], "source_id string")
-    assert ids(R.exact(FI.without_tombstones(c, gone), "runners")) == []
+    c = FI.scope(chunks(spark, TOWN, tombstoned=("quay",)), "town", "first")
+    assert ids(R.exact(c, "boats")) == ["hull"]
+    gone = spark.createDataFrame([("w5",)], "source_id string")
+    assert ids(R.exact(FI.without_tombstones(c, gone), "boats")) == []
 
 
 def test_merge_and_normalise(spark):
@@ -123,13 +117,14 @@ def test_merge_and_normalise(spark):
     assert len(r) == 1 and r[0]["merged_score"] == 1.75 and r[0]["priority"] == 0 and len(r[0]["contributions"]) == 2
 
 
-def test_sparse_cuts_before_it_filters(golden):
-    assert len(ids(R.sparse(golden, "runners", limit=1, f=FI.Filters(language="ru")))) == 0
+def test_sparse_cuts_before_it_filters(town):
+    assert ids(R.sparse(town, "boats pont", limit=1, f=FI.Filters(language="ru"))) == []
 
 
-def test_full_text(golden):
-    hits = R.full_text(R.postings(golden), "park runners").collect()
-    assert [r["chunk_id"] for r in hits] == ["c-en", "c-run"] and hits[0]["raw"] == pytest.approx(2 / (1 + 1.6094379))
+def test_full_text(town):
+    hits = R.full_text(R.postings(town), "Boats boats").collect()
+    assert [r["chunk_id"] for r in hits] == ["hull", "quay"]
+    assert [r["raw"] for r in hits] == [pytest.approx(1 / (1 + math.log(n))) for n in (1, 6)]
 
 
 def test_overlap_join_equals_all_pairs(spark):
