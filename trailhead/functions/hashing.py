@@ -55,34 +55,10 @@ def chunk_id(project: Column | str, digest: Column) -> Column:
     return F.concat(F.lit("chk_"), F.lit(project) if isinstance(project, str) else project, F.lit("_"), F.substring(digest, 1, 16))
 
 
-def _terminated(parts: Column) -> Column:
-    """Each string with a NUL behind it."""
-    return F.array_join(F.transform(parts, lambda p: F.concat(p, F.lit("\0"))), "")
-
-
-def source_root(pairs: Column) -> Column:
-    """Of an array of struct<key, leaf>, in order of the key."""
-    flat = F.flatten(F.transform(F.array_sort(pairs), lambda p: F.array(p["key"], p["leaf"])))
-    return sha256(F.concat(F.lit(SOURCE_ROOT + "\0"), _terminated(flat)))
-
-
-def chunk_set(hashes: Column) -> Column:
-    """Of an array of chunk hashes, as a sorted multiset."""
-    return sha256(F.concat(F.lit(CHUNK_SET + "\0"), _terminated(F.array_sort(hashes))))
-
-
 def source_id(key: Column) -> Column:
     return F.substring(key, 1, 16)
 
 
-def events(label: str, identities: Column, *window: Column | str) -> Column:
-    """Of an array of struct<id, checksum>, in order of the id; the window's fields go before them."""
-    flat = F.flatten(F.transform(F.array_sort(identities), lambda e: F.array(e["id"], e["checksum"])))
-    text = F.concat(*(F.concat(F.lit("\0"), F.lit(w) if isinstance(w, str) else w) for w in window)) if window else F.lit("")
-    body = F.array_join(F.transform(flat, lambda x: F.concat(F.lit("\0"), x)), "")
-    return sha256(F.concat(F.lit(label), text, body))
-
-
 def utc_text(ts: Column) -> Column:
     """RFC 3339 in UTC with as many decimals as the value has; the session time zone is UTC."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

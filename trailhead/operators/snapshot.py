@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import digests as D
 from ..functions import hashing as H
 
 
@@ -17,13 +18,15 @@ def source_leaves(files: DataFrame, project: str, path: str = "relative_path", s
 
 
 def source_root(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The root over a manifest's leaves; leaves are 130 bytes each and meet in one row, as a flat root is defined."""
-    pairs = F.collect_list(F.struct(F.col("path_key").alias("key"), "leaf"))
-    return leaves.groupBy(*by).agg(H.source_root(pairs).alias("source_root"))
+    """The root over a manifest's leaves in order of their keys."""
+    line = F.concat("path_key", F.lit("\0"), "leaf", F.lit("\0"))
+    return D.in_order(leaves, by, ["path_key", "leaf"], line, F.lit(H.SOURCE_ROOT + "\0"), "source_root").drop("n")
 
 
 def chunk_set(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return chunks.groupBy(*by).agg(H.chunk_set(F.collect_list("chunk_hash")).alias("chunk_set_hash"))
+    """The hash of a sorted multiset of chunk hashes."""
+    line = F.concat("chunk_hash", F.lit("\0"))
+    return D.in_order(chunks, by, ["chunk_hash"], line, F.lit(H.CHUNK_SET + "\0"), "chunk_set_hash").drop("n")
 
 
 def diff_sources(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import digests as D
 from ..functions import hashing as H
 from ..functions import text as X
 
@@ -108,14 +109,18 @@ def identities(found: DataFrame, event_id: str = "event_id", checksum: str = "pa
     return each.select("id", same.alias("checksum"))
 
 
+def _identity_line() -> Column:
+    return F.concat(F.lit("\0"), "id", F.lit("\0"), "checksum")
+
+
 def batch_checksum(ids: DataFrame) -> DataFrame:
     """The checksum of a batch of identities, whatever their order; an empty batch has none."""
-    all_ids = ids.agg(F.collect_list(F.struct("id", "checksum")).alias("e")).where(F.size("e") > 0)
-    return all_ids.select(H.events(H.EVENT_BATCH, F.col("e")).alias("checksum"), F.size("e").cast("long").alias("n_events"))
+    found = D.in_order(ids, [], ["id", "checksum"], _identity_line(), F.lit(H.EVENT_BATCH), "checksum")
+    return found.where("n > 0").withColumnRenamed("n", "n_events")
 
 
 def window_checksum(ids: DataFrame, start: Column, end: Column, basis: str = "occurred", by: tuple[str, ...] = ()) -> DataFrame:
     """The checksum of the identities of a window."""
-    found = ids.groupBy(*by).agg(F.collect_list(F.struct("id", "checksum")).alias("e"), F.first(start).alias("s"), F.first(end).alias("t"))
-    found = found.where(F.size("e") > 0)
-    return found.select(*by, H.events(H.EVENT_WINDOW, F.col("e"), H.utc_text(F.col("s")), H.utc_text(F.col("t")), basis).alias("checksum"), F.size("e").cast("long").alias("n_events"))
+    fields = (F.concat(F.lit("\0"), x) for x in (H.utc_text(start), H.utc_text(end), F.lit(basis)))
+    found = D.in_order(ids, by, ["id", "checksum"], _identity_line(), F.concat(F.lit(H.EVENT_WINDOW), *fields), "checksum")
+    return found.where("n > 0").withColumnRenamed("n", "n_events")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..operators import retrieve as R
+from ..operators import snapshot as S
 
 SCOPE = ["project_id", "snapshot_id"]
 
@@ -122,8 +123,9 @@ def bundle_faults(chunks: DataFrame, snapshot: str, status: str, chunk_set_hash:
         F.count("*").alias("n"),
         F.count_if(F.col("snapshot_id") != snapshot).alias("foreign"),
         F.count_if((F.coalesce("chunk_id", F.lit("")) == "") | ~F.coalesce("chunk_hash", F.lit("")).rlike("^[0-9a-f]{64}$")).alias("incomplete"),
-        H.chunk_set(F.collect_list("chunk_hash")).alias("hash"),
-    ).crossJoin(F.broadcast(by_id.agg(F.count_if(F.col("n") > 1).alias("twice"))))
+    )
+    # one row each
+    sums = sums.crossJoin(F.broadcast(by_id.agg(F.count_if(F.col("n") > 1).alias("twice")))).crossJoin(F.broadcast(S.chunk_set(chunks).withColumnRenamed("chunk_set_hash", "hash")))
     found = F.array_compact(
         F.array(
             F.when(F.lit(status) != "ready", F.lit("snapshot_not_ready")),
@@ -142,7 +144,7 @@ def export_snapshot(spark: SparkSession, table: str, project: str, snapshot: str
     rows = spark.read.parquet(table).where((F.col("project_id") == project) & (F.col("snapshot_id") == snapshot))
     rows.write.mode("overwrite").parquet(f"{out}/chunks")
     kept = spark.read.parquet(f"{out}/chunks")
-    digest = kept.agg(H.chunk_set(F.collect_list("chunk_hash")).alias("h")).first()["h"]
+    digest = S.chunk_set(kept).first()["chunk_set_hash"]
     manifest = spark.createDataFrame([(project, snapshot, status, digest, kept.count())], "project_id string, snapshot_id string, status string, chunk_set_hash string, n_chunks long")
     manifest.write.mode("overwrite").json(f"{out}/manifest")
     return digest
