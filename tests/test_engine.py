@@ -43,6 +43,48 @@ def test_filters_and_tombstones(engine, spark):
     assert engine.chunks("p", gone).count() == 0
 
 
+def files(spark, texts):
+    rows = [(k, v if isinstance(v, bytes) else v.encode(), "text/plain", "file") for k, v in texts.items()]
+    return spark.createDataFrame(rows, "relative_path string, content binary, media_type string, source_type string")
+
+
+def test_states_names_and_activation(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    assert e.state("p", "s1") is None
+    e.ingest(files(spark, {"a": "one"}), "p", "s1")
+    assert e.state("p", "s1")["status"] == "ready" and all(e.state("p", "s1")[k] for k in ("source_root", "chunk_set_hash"))
+    with pytest.raises(ValueError):
+        e.ingest(files(spark, {"a": "two"}), "p", "s1")
+    # bytes that aren't UTF-8 are named and stop the ingest; what was active stays
+    with pytest.raises(Exception, match="can't read b"):
+        e.ingest(files(spark, {"a": "one", "b": b"\xff\xfe\xfa"}), "p", "s2")
+    assert e.state("p", "s2")["status"] == "failed" and "can't read b" in e.state("p", "s2")["reason"] and e.active("p") == "s1"
+    for name in ("s2", "s9"):
+        with pytest.raises(ValueError):
+            e.activate("p", name)
+    e.ingest(files(spark, {"a": "one"}), "p", "s3")
+    assert e.state("p", "s1")["status"] == "superseded" and e.active("p") == "s3"
+    assert e.state("p", "s1")["source_root"] == e.state("p", "s3")["source_root"]
+    with pytest.raises(ValueError):
+        e.activate("p", "s1")
+
+
+def test_removed_sources_are_hidden_until_they_are_back(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.ingest(files(spark, {"a": "red boat", "b": "blue boat"}), "p", "s1")
+    found = lambda: sorted(r["text"] for r in e.search("p", "boat", "full-text").collect())
+    assert found() == ["blue boat", "red boat"] and e.tombstones("p").count() == 0
+    e.remove(e.chunks("p").where("text = 'red boat'"), "p")
+    assert found() == ["blue boat"] and e.metrics("p")["sources"] == 1
+    assert e.query("p", "boat").candidates.count() == 1
+    e.ingest(files(spark, {"b": "blue boat"}), "p", "s2")
+    assert e.tombstones("p").count() == 1
+    e.ingest(files(spark, {"a": "red boat", "b": "blue boat"}), "p", "s3")
+    assert found() == ["blue boat", "red boat"] and e.tombstones("p").count() == 0
+    ranked = e.search("p", "red boat", "sparse", rerank=True).collect()
+    assert [r["merged_score"] for r in ranked] == [108.0, 9.0]
+
+
 def test_pack_verify_replay(engine):
     packs = engine.pack("p", "bank", Budget(max_items=2, max_chars=400))
     assert len(packs.first()["evidence"]) == 2

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import _DRAFTS, _GREEDY, CHUNKS, ORACLE_SQL, QUERIES, _docs, _drafts, _query, _table, plain_chunks
+from .functions import hashing as H
 from .functions import languages as L
 from .functions import russian
 from .functions import text as X
@@ -433,3 +434,76 @@ def quota_decisions(spark, sf_dir):
     both = F.array(S.quota(F.col("n"), F.lit(52)), S.quota(F.col("longest"), F.lit(9000)), S.quota(F.lit(5), F.lit(0)))
     return u.select("source", S.decide(both).alias("decision"))
 
+
+
+# --- the engine
+
+
+def _files(spark, sf_dir, keep: Column) -> DataFrame:
+    d = _docs(spark, sf_dir).where(keep)
+    return d.select("relative_path", F.col("text").cast("binary").alias("content"), "media_type", F.lit("file").alias("source_type"))
+
+
+def _engine(spark) -> Engine:
+    return Engine(spark, _folder(spark, "engine").removeprefix("file:"))
+
+
+@_query("SELECT * FROM (VALUES ('s1', 'superseded', true, ''), ('s2', 'ready', true, ''), ('s3', 'failed', false, 'broken')) t(snapshot_id, status, sealed, reason)")
+def snapshot_states(spark, sf_dir):
+    def broken(c: DataFrame) -> DataFrame:
+        raise RuntimeError("broken")
+
+    engine = _engine(spark)
+    for snapshot, n in (("s1", 3), ("s2", 4)):
+        engine.ingest(_files(spark, sf_dir, F.col("doc_id") % n != 0), "p", snapshot)
+    try:
+        engine.ingest(_files(spark, sf_dir, F.lit(True)), "p", "s3", enrich=broken)
+    except RuntimeError:
+        pass
+    rows = [(k, engine.state("p", k)) for k in ("s1", "s2", "s3")]
+    found = [(k, x["status"], bool(x.get("source_root") and x.get("chunk_set_hash")), x.get("reason", "").rpartition(": ")[2]) for k, x in rows]
+    return spark.createDataFrame(found, "snapshot_id string, status string, sealed boolean, reason string")
+
+
+@_query("""
+    SELECT sha256('p' || chr(0) || source || '/' || doc_id || '.txt')[1:16] AS source_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 's2' ELSE 'requested' END AS why
+    FROM documents WHERE (doc_id % 3 <> 0 AND doc_id % 4 = 0) OR (doc_id % 4 <> 0 AND doc_id % 5 = 1)
+""")
+def tombstones(spark, sf_dir):
+    engine = _engine(spark)
+    for snapshot, n in (("s0", 4), ("s1", 3), ("s2", 4)):
+        # what s1 drops is back in s2, and what s2 drops was back in s1
+        engine.ingest(_files(spark, sf_dir, F.col("doc_id") % n != 0), "p", snapshot)
+    d = _docs(spark, sf_dir).where("doc_id % 4 <> 0 AND doc_id % 5 = 1")
+    engine.remove(d.select(F.substring(H.path_key("p", F.col("relative_path")), 1, 16).alias("source_id")), "p")
+    return engine.tombstones("p").select("source_id", "why")
+
+
+@_query(f"""WITH {CHUNKS} SELECT chunk_id FROM chunk WHERE contains(text, 'of the') AND doc_id % 4 <> 0 AND doc_id % 5 <> 1 ORDER BY chunk_id LIMIT 20""")
+def tombstone_search(spark, sf_dir):
+    engine = _engine(spark)
+    engine.ingest(_files(spark, sf_dir, F.col("doc_id") % 4 != 0), "p", "s1")
+    d = _docs(spark, sf_dir).where("doc_id % 5 = 1")
+    engine.remove(d.select(F.substring(H.path_key("p", F.col("relative_path")), 1, 16).alias("source_id")), "p")
+    return engine.search("p", "of the", "exact").select("chunk_id")
+
+
+@_query(f"""
+    WITH {CHUNKS}, t AS (SELECT chunk_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}_-]+') AS w FROM chunk),
+    e AS (SELECT chunk_id, text, len(w) AS n, len(list_filter(w, lambda x: x = 'of')) AS f, len(list_filter(w, lambda x: x = 'the')) AS g FROM t),
+    s AS (SELECT chunk_id, text, f / (1 + ln(n)) + g / (1 + ln(n)) AS raw FROM e WHERE f > 0 AND g > 0 ORDER BY raw DESC, chunk_id LIMIT 20)
+    SELECT chunk_id, (strlen(text) + CASE WHEN contains(lower(text), 'the of') THEN 100 ELSE 0 END)::DOUBLE AS score FROM s
+""")
+def full_text_reranked(spark, sf_dir):
+    engine = _engine(spark)
+    engine.ingest(_files(spark, sf_dir, F.lit(True)), "p", "s1")
+    return engine.search("p", "the of", "full-text", rerank=True).select("chunk_id", F.col("merged_score").alias("score"))
+
+
+@_query(f"""WITH {CHUNKS} SELECT chunk_id, 'sparse,term' AS retrievers FROM (
+        SELECT chunk_id FROM chunk WHERE list_contains(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}_-]+'), 'und') ORDER BY chunk_id LIMIT 20)""")
+def sparse_reinforced(spark, sf_dir):
+    engine = _engine(spark)
+    engine.ingest(_files(spark, sf_dir, F.lit(True)), "p", "s1")
+    found = engine.search("p", "und", "query")
+    return found.select("chunk_id", F.array_join(F.array_sort(F.transform("contributions", lambda c: c["retriever"])), ",").alias("retrievers"))

@@ -19,6 +19,7 @@ PARAGRAPHS = "paragraph-v1"
 SECTIONS = "markdown-section-v1"
 WHITESPACE = "whitespace-v1"
 
+#: Tags that end a line.
 BREAKS = {"br", "p", "div", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6"}
 _TAG = re.compile(r"<([^>]*)(>|$)")
 _SPACES = re.compile(r"[^\S\n]+")
@@ -95,6 +96,17 @@ def parse(files: DataFrame, content: str = "content", media: str = "media_type")
     return out.withColumns({"confidence": sure, "low_confidence": F.coalesce(is_pdf, F.lit(False))})
 
 
+def readable(parsed: DataFrame, path: str = "relative_path") -> DataFrame:
+    """Parsed files; one without text (bytes that aren't UTF-8, a PDF without its header) stops the job and is named."""
+    text = F.when(F.col("text").isNotNull(), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("can't read "), F.col(path))))
+    return parsed.withColumn("text", text)
+
+
+def unreadable(parsed: DataFrame, path: str = "relative_path") -> DataFrame:
+    """Paths of files without text, to look at them before."""
+    return parsed.where("text is null").select(path)
+
+
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,10 @@ from ..sources import tables as ST
 from .compile import Plan, compile_query
 
 
-MODES = ("exact", "sparse", "hybrid", "dense", "hybrid-dense", "query")
+MODES = ("exact", "sparse", "full-text", "hybrid", "dense", "hybrid-dense", "query")
+
+
+ROOTS = ("source_root", "chunk_set_hash")
 
 
 def plan_id(query: str) -> str:
@@ -30,44 +34,104 @@ def plan_id(query: str) -> str:
     return "plan_" + hashlib.sha256(query.encode()).hexdigest()[:16]
 
 
-
-
 @dataclass
 class Engine:
-    """Tables under root: chunks, leaves, vectors; the workspace file names each project's active snapshot."""
+    """Tables under root: chunks, leaves, postings, vectors, tombstones; the states of snapshots are metadata documents.
+
+    A snapshot is building until all of it is written, then ready with its roots, or failed with a reason; the one that
+    becomes active supersedes the one before. The workspace file names each project's active snapshot.
+    """
 
     spark: SparkSession
     root: str
 
     def __post_init__(self):
         self.workspace = ST.Workspace(self.root)
+        self.states = ST.Metadata(self.spark, self.table("states"))
 
     def table(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     # --- writing
 
+    def state(self, project: str, snapshot: str) -> dict | None:
+        """A snapshot's state: status, roots, reason; None of an unknown one."""
+        try:
+            return self.states.get("snapshot", project, snapshot)
+        except AnalysisException:  # nothing was ever written
+            return None
+
+    def _move(self, project: str, snapshot: str, to: str, reason: str = "", **roots: str) -> None:
+        known = self.state(project, snapshot)
+        S.move(known["status"], to, roots=all({**known, **roots}.get(k) for k in ROOTS), reason=reason)
+        self.states.put("snapshot", project, snapshot, known | roots | {"status": to, "reason": reason})
+
     def ingest(self, files: DataFrame, project: str, snapshot: str, language: str = "", trust: str = "project", enrich: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
         """Parse, chunk, hash and write a snapshot, then make it active; counts of sources by change.
 
         files: relative_path, content, media_type, source_type. enrich may fill the chunks' metadata columns. Nothing
-        becomes active before all is written.
+        becomes active before all is written; a snapshot's name is used once. Sources that the snapshot before had and
+        this one hasn't get tombstones; those that are back lose theirs. A file whose text can't be read stops it.
         """
-        before = self.workspace.load().get(project)
-        leaves = S.source_leaves(files, project).withColumns({"project_id": F.lit(project), "snapshot_id": F.lit(snapshot)})
-        ST.put(leaves, self.table("leaves"))
-        c = P.chunk(P.parse(files).select("relative_path", "text", "media_type"), project, snapshot)
-        c = c.withColumns({"trust_level": F.lit(trust), "language": F.lit(language), "tombstoned": F.lit(False)})
-        for name in ("sense_ids", "concept_ids", "attestation_ids"):
-            c = c.withColumn(name, F.array().cast("array<string>"))
-        for name in ("register", "region", "time_period", "lexicon_source_id", "source_authority"):
-            c = c.withColumn(name, F.lit("").cast("string"))
-        c = c.withColumn("temporal", F.lit(None).cast("struct<start:timestamp,end:timestamp,basis:string,ingested_at:timestamp>"))
-        ST.put(enrich(c) if enrich else c, self.table("chunks"))
-        now = ST.scan(self.spark, self.table("leaves"), project, snapshot)
-        old = ST.scan(self.spark, self.table("leaves"), project, before) if before else now.limit(0)
-        self.workspace.activate(project, snapshot)
-        return {r["status"]: r["n"] for r in S.diff_sources(old, now).groupBy("status").agg(F.count("*").alias("n")).collect()}
+        if self.state(project, snapshot):
+            raise ValueError(f"there is a snapshot {snapshot} of project {project}")
+        self.states.put("snapshot", project, snapshot, {"status": "building"})
+        try:
+            before = self.workspace.load().get(project)
+            leaves = S.source_leaves(files, project).withColumns({"project_id": F.lit(project), "snapshot_id": F.lit(snapshot)})
+            ST.put(leaves, self.table("leaves"))
+            parsed = P.readable(P.parse(files).select("relative_path", "text", "media_type"))
+            c = P.chunk(parsed, project, snapshot)
+            c = c.withColumns({"trust_level": F.lit(trust), "language": F.lit(language), "tombstoned": F.lit(False)})
+            for name in ("sense_ids", "concept_ids", "attestation_ids"):
+                c = c.withColumn(name, F.array().cast("array<string>"))
+            for name in ("register", "region", "time_period", "lexicon_source_id", "source_authority"):
+                c = c.withColumn(name, F.lit("").cast("string"))
+            c = c.withColumn("temporal", F.lit(None).cast("struct<start:timestamp,end:timestamp,basis:string,ingested_at:timestamp>"))
+            ST.put(enrich(c) if enrich else c, self.table("chunks"))
+            written = self._scan("chunks", project, snapshot)
+            ST.put_postings(written, self.table("postings"))
+            now = self._scan("leaves", project, snapshot)
+            old = self._scan("leaves", project, before) if before else now.limit(0)
+            changes = S.diff_sources(old, now)
+            self._mark(changes, project, snapshot)
+            roots = {"source_root": S.source_root(now).first()["source_root"], "chunk_set_hash": S.chunk_set(written).first()["chunk_set_hash"]}
+        except Exception as e:
+            self._move(project, snapshot, "failed", f"{type(e).__name__}: {e}"[:500])
+            raise
+        self._move(project, snapshot, "ready", **roots)
+        self.activate(project, snapshot)
+        return {r["status"]: r["n"] for r in changes.groupBy("status").agg(F.count("*").alias("n")).collect()}
+
+    def activate(self, project: str, snapshot: str) -> None:
+        """Make a ready snapshot the active one; the one before is superseded."""
+        known = self.state(project, snapshot)
+        if not known or known["status"] != "ready":
+            raise ValueError(f"snapshot {snapshot} isn't ready")
+        before = self.workspace.activate(project, snapshot)
+        if before and before != snapshot and self.state(project, before):
+            self._move(project, before, "superseded")
+
+    # --- tombstones
+
+    def _mark(self, changes: DataFrame, project: str, snapshot: str) -> None:
+        """Write tombstones of removed sources, and take back those of sources that are there again."""
+        removed = F.when(F.col("status") == "removed", True).when(F.col("status") == "added", False)
+        rows = changes.select(F.substring("path_key", 1, 16).alias("source_id"), removed.alias("removed")).where("removed is not null")
+        self._write_marks(rows, project, snapshot)
+
+    def _write_marks(self, rows: DataFrame, project: str, why: str) -> None:
+        rows.select("source_id", "removed", F.lit(project).alias("project_id"), F.lit(why).alias("why"), F.current_timestamp().alias("at")).write.mode("append").partitionBy("project_id").parquet(self.table("tombstones"))
+
+    def remove(self, sources: DataFrame, project: str, why: str = "requested") -> None:
+        """Hide sources (source_id) from all reading until an ingest brings them back."""
+        self._write_marks(sources.select("source_id").distinct().withColumn("removed", F.lit(True)), project, why)
+
+    def tombstones(self, project: str) -> DataFrame:
+        """Sources that are removed now: the last mark of each counts."""
+        rows = self.spark.read.schema("source_id string, removed boolean, why string, at timestamp, project_id string").parquet(self.table("tombstones")).where(F.col("project_id") == project)
+        last = rows.groupBy("source_id").agg(F.max_by(F.struct("removed", "why"), F.struct("at", "removed")).alias("x"))
+        return last.where("x.removed").select("source_id", "x.why")
 
     def embed(self, project: str, version: str = "local-hash-v1", kind: str = "digest") -> None:
         """Write vectors of the active snapshot's chunks."""
@@ -95,12 +159,19 @@ class Engine:
             raise LookupError(f"project {project} has no active snapshot")
         return snapshot
 
+    def _scan(self, name: str, project: str, snapshot: str) -> DataFrame:
+        return ST.scan(self.spark, self.table(name), project, snapshot)
+
     def chunks(self, project: str, tombstones: DataFrame | None = None) -> DataFrame:
-        c = ST.scan(self.spark, self.table("chunks"), project, self.active(project))
+        """Chunks of the active snapshot without those of removed sources, and without those of further tombstones."""
+        c = FI.without_tombstones(self._scan("chunks", project, self.active(project)), self.tombstones(project))
         return FI.without_tombstones(c, tombstones) if tombstones is not None else c
 
-    def search(self, project: str, query: str, mode: str = "hybrid", limit: int = 20, language: str = "", f: FI.Filters = FI.Filters(), rejected: Sequence[str] = (), embedding: tuple[str, str] = ("local-hash-v1", "digest")) -> DataFrame:
-        """Scored candidates in order, with a snippet's span where the query stands in the text."""
+    def search(self, project: str, query: str, mode: str = "hybrid", limit: int = 20, language: str = "", f: FI.Filters = FI.Filters(), rejected: Sequence[str] = (), embedding: tuple[str, str] = ("local-hash-v1", "digest"), rerank: bool = False) -> DataFrame:
+        """Scored candidates in order, with a snippet's span where the query stands in the text.
+
+        full-text reads the postings; rerank orders the candidates anew by the overlap of text and query.
+        """
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode}")
         if not query.strip():
@@ -115,7 +186,10 @@ class Engine:
             fn = V.digest_embedding if kind == "digest" else V.rune_embedding
             v = ST.scan(self.spark, self.table("vectors"), project, self.active(project)).where(F.col("embedding_version") == version)
             hits = R.dense(v, fn(query), limit)
-        if mode == "dense":
+        if mode == "full-text":
+            hits = R.full_text(self._scan("postings", project, self.active(project)), query, limit)
+            found = M.scored(R.of_hits(c, hits, "sparse", ["full_text"], f))
+        elif mode == "dense":
             found = M.scored(R.of_hits(c, hits, "dense", ["dense_similarity"], f))
         elif mode == "exact":
             found = M.scored(R.exact(c, query, f))
@@ -124,7 +198,8 @@ class Engine:
         else:
             found = R.hybrid(c, terms, limit, f, rejected, hits)
         best = M.top(found, limit)
-        return M.top(self._with_snippets(best, c, query), limit)
+        out = self._with_snippets(best, c, query)
+        return M.rerank(out, V.overlap_score(F.col("text"), query)) if rerank else M.top(out, limit)
 
     @staticmethod
     def _with_snippets(best: DataFrame, chunks: DataFrame, query: str) -> DataFrame:
@@ -135,7 +210,7 @@ class Engine:
         return both.withColumn("snippet", F.when(F.col("_at") >= 0, span)).drop("_at")
 
     def query(self, project: str, query: str, language: str = "", f: FI.Filters = FI.Filters(), rejected: Sequence[str] = ()) -> Plan:
-        return compile_query(self.chunks(project), query, language, f, list(rejected))
+        return compile_query(self.chunks(project), query, language, f, list(rejected), sparse_terms=True)
 
     # --- packs
 
