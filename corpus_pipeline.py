@@ -16,16 +16,23 @@ from trailhead.sources.tables import spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A document goes if its language's probability is under this, or if it has no letter.
-LEAST_SCORE = 0.3
+#: A document goes if its language's probability is no more than this above what a guess among the languages has.
+LEAST_MARGIN = 0.05
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is known."""
+    """Keep documents whose language is known.
+
+    Documents without a text or a letter go, whatever their lang says, and so do those that no learned language stands
+    out for; with one learned language only the former. Without labelled rows nothing is known, and all go. Repeated
+    rows are judged alike; an empty table stays empty.
+    """
     model = langid.train(docs.select("doc_id", "text", "lang"))
     lang, score = common.free(docs, "predicted"), common.free(docs, "probability")
     known = langid.predict(docs, model, lang=lang, score=score)
-    return known.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
+    languages = len(model.languages) if model else 0
+    least = 1 / languages + LEAST_MARGIN if languages > 1 else 0.0
+    return known.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Candidates come from the SimHash operator's bit-sliced comparison; each link is checked by the exact similarity of
     five-word shingles. Rows are numbered as they are stored, so that rows of one id, or without one, are documents of
-    their own. The numbers are written once, as another scan could deal the files in another way.
+    their own. The numbers are written once, as another scan could deal the files in another way. Texts that are null
+    or have no words are alike, so one of them stays; of rows of one id the first as stored.
     """
     row = common.free(docs, "row")
     numbered = common.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
@@ -44,7 +52,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the benchmark doesn't contaminate."""
+    """Keep documents that the benchmark doesn't contaminate: with hit words, and one in twenty words hit or more.
+
+    Documents without a text or words stay, and so do all if the benchmark is empty; repeated rows are judged alike.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     own = common.free(docs, "own_")
     found = decontaminate.find(docs, benchmark, prefix=own)
@@ -53,14 +64,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts; n_chars follows the text."""
+    """Replace personal data in the texts; n_chars, if there, follows the text.
+
+    All rows stay, null and empty texts as they are; the same entity gets the same surrogate in all of them.
+    """
     entities = common.free(docs, "entities")
     done = pii.pseudonymize(docs, queries.PII_KEY, out=entities).drop(entities)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the token ids of each text."""
+    """doc_id, n_tokens and the token ids of each text; none for a null or empty one. All rows stay, repeated ones too."""
     ids = bpe.encode(docs, queries.tokenizer_file(), ids="ids", keep=["doc_id"])
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
