@@ -32,7 +32,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 #: Bytes of each cache's younger half, entries' overheads included; the older half holds as many at most.
-CACHED_CHUNK_BYTES, CACHED_PIECE_BYTES = 32 << 20, 64 << 20
+CACHED_CHUNK_BYTES, CACHED_PIECE_BYTES = 24 << 20, 48 << 20
 ENTRY_BYTES = 200
 CACHED_PAIRS = 300_000
 LONGEST_CACHED = 64

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FOLDS = 5
+PORTION_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -101,6 +102,14 @@ def begin(owner: str = "") -> None:
     """A task of an owner begins in this worker: the caches of all others are released."""
     for other in [k for k in _HELD if k != owner]:
         _HELD.pop(other)()
+    pa.default_memory_pool().release_unused()
+
+
+def portions(batch: pa.RecordBatch, most: int = PORTION_BYTES):
+    """The batch in parts of about so many bytes, so that few texts at a time become Python objects."""
+    rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def with_columns(
@@ -131,9 +140,9 @@ def with_columns(
         begin(owner)
         fn = make()
         for batch in batches:
-            if batch.num_rows:
+            for part in portions(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:k], *fn(*(batch.column(i) for i in at))], names=out_names
+                    [*part.columns[:k], *fn(*(part.column(i) for i in at))], names=out_names
                 )
 
     return df.select(*(F.col(f"`{c}`") for c in both)).mapInArrow(run, schema)
