@@ -32,7 +32,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 #: Bytes of each cache's younger half, entries' overheads included; the older half holds as many at most.
-CACHED_CHUNK_BYTES, CACHED_PIECE_BYTES = 24 << 20, 48 << 20
+CACHED_CHUNK_BYTES, CACHED_PIECE_BYTES = 64 << 20, 8 << 20
 ENTRY_BYTES = 200
 CACHED_PAIRS = 300_000
 LONGEST_CACHED = 64
@@ -77,8 +77,9 @@ class Vocabulary:
             self.left[t], self.right[t] = x, y
             self.merged[x << 32 | y] = t
         self.automaton = ahocorasick.Automaton()
-        for i in ids.values():
-            self.automaton.add_word(self.token_bytes[i].decode("latin-1"), (len(self.token_bytes[i]), i))
+        self.whole = {self.token_bytes[i].decode("latin-1"): i for i in ids.values()}
+        for token, i in self.whole.items():
+            self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
 
     def compatible(self, a: int, b: int) -> bool:
@@ -143,15 +144,18 @@ class Encoder:
 
     def piece(self, text: str) -> list[int]:
         """Ids of one pre-token."""
-        s = text.encode().decode("latin-1")
-        n = len(s)
-        last, before, pairs, compatible = [-1] * (n + 1), [0] * (n + 1), self.pairs, self.v.compatible
+        s = text if text.isascii() else text.encode().decode("latin-1")
+        whole = self.v.whole.get(s)
+        if whole is not None:
+            # the longest match of its last prefix, with nothing before it
+            return [whole]
+        # by the prefix's last place: its last token, and the last place before that token
+        last, before, pairs = [-1] * len(s), [-1] * len(s), self.pairs
         for end, (size, t) in self.v.automaton.iter(s):
-            end += 1
             if last[end] >= 0:
                 continue
             start = end - size
-            if start:
+            if start >= 0:
                 p = last[start]
                 if p < 0:
                     continue
@@ -159,21 +163,26 @@ class Encoder:
                 if ok is None:
                     if len(pairs) >= CACHED_PAIRS:
                         pairs.clear()
-                    ok = pairs[k] = compatible(p, t)
+                    ok = pairs[k] = self.v.compatible(p, t)
                 if not ok:
                     continue
-            last[end], before[end] = t, start
-        ids = []
-        while n:
-            ids.append(last[n])
-            n = before[n]
+                before[end] = start
+            last[end] = t
+        ids, at = [], len(s) - 1
+        while at >= 0:
+            ids.append(last[at])
+            at = before[at]
         ids.reverse()
         return ids
 
     def chunk(self, text: str) -> bytes:
         """Ids, as int32 bytes, of a run of text that begins and ends where pre-tokens do."""
+        found = self.split(text)
+        if len(found) == 1:
+            # kept with the chunks
+            return array("i", self.piece(text)).tobytes()
         out = []
-        for p in self.split(text):
+        for p in found:
             got = self.pieces.young.get(p) or self.pieces.again(p)
             if got is None:
                 got = array("i", self.piece(p)).tobytes()
