@@ -738,9 +738,3 @@ def last_wins(spark, sf_dir):
 def changed_sources(spark, sf_dir):
     d = manifest_diff(spark, sf_dir)
     return d.join(S.to_process(d), "path_key", "left_semi")
-
-
-@_query()
-def hash_embeddings(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", V.embed(F.col("text")).alias("v"))
-    return d.select("doc_id", F.size("v").alias("dimension"), F.round(V.dot(F.col("v"), F.col("v")), 4).alias("norm"))
