@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from . import bpe, chat, common, decontaminate, langid, pii, quality, secrets, simhash, substrings, topk
+from . import bpe, chat, common, decontaminate, langid, periodic, pii, quality, secrets, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,31 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
 
 
+def planted(doc_id: Column, text: Column) -> Column:
+    """The text, which for one id in ten goes over to repeating a part of itself: from word a on, with period p.
+
+    A row without an id stays as it is.
+    """
+    h = F.crc32(doc_id.cast("string"))
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+
+    def periodic_tail(s: Column) -> Column:
+        n, g = F.size(s["w"]), s["g"]
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: s["w"][F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")]), " ")
+
+    # a value that is bound once
+    bound = F.transform(F.array(F.struct(words.alias("w"), F.floor(h / 10).alias("g"))), lambda s: F.when(F.size(s["w"]) > 0, periodic_tail(s)).otherwise(""))[0]
+    return F.when((h % 10 == 0) & text.isNotNull(), bound).otherwise(text)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    got = periodic.find(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")), keep=["doc_id"])
+    return got.select("doc_id", *periodic.digests())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -101,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
+    "op13_runs": op13_runs,
 }
 
 _WORDS = (
@@ -108,6 +134,40 @@ _WORDS = (
 )
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_runs": r"""
+        WITH tab AS (
+            SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+        ), crc AS (
+            SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+            FROM documents, tab
+        ), cut AS (
+            SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, (h // 10) % 8 AS e FROM crc
+        ), d AS (
+            SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+                THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + e)) + 1] END) ELSE w END AS w FROM cut
+        ), g AS (
+            SELECT rid, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM (SELECT rid, w, unnest(range(n - 5)) AS i FROM d WHERE n >= 12)
+        ), pair AS (
+            SELECT x.rid, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.rid = y.rid AND x.s = y.s AND x.i < y.i
+        ), stretch AS (
+            SELECT rid, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM pair) GROUP BY rid, q, k
+        ), run AS (
+            SELECT rid, start, length, min(q) AS period FROM stretch WHERE length >= greatest(12, 2 * q) GROUP BY rid, start, length
+        ), per AS (
+            SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+                   min({'l': -length, 's': start, 'p': period}) AS top FROM run GROUP BY rid
+        ), word AS (
+            SELECT rid, w, unnest(range(n)) AS i FROM d
+        ), gone AS (
+            SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM run
+        ), kept AS (
+            SELECT rid, string_agg(w[i + 1], ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (rid, i) GROUP BY rid
+        )
+        SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(-top.l AS BIGINT) AS length, CAST(top.p AS BIGINT) AS period,
+               CAST(-1000 * top.l // top.p AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+        FROM d LEFT JOIN per USING (rid) LEFT JOIN kept USING (rid)
+    """,
     "op5_decontaminate": f"""
         WITH d AS (
             SELECT doc_id, row_number() OVER () AS rid, {_WORDS.format(x="text")} AS w FROM documents
