@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from . import bpe, chat, common, decontaminate, langid, periodic, pii, quality, secrets, simhash, substrings, topk
+from . import bpe, chat, codes, common, decontaminate, langid, periodic, pii, quality, secrets, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = codes.blocks(spread(_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")))
+    books = codes.train(packed)
+    got = codes.with_label_errors(codes.encode(packed, books))
+    return got.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 def planted(doc_id: Column, text: Column) -> Column:
     """The text, which for one id in ten goes over to repeating a part of itself: from word a on, with period p.
 
@@ -126,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
+    "op11_codes": op11_codes,
     "op13_runs": op13_runs,
 }
 
@@ -134,6 +142,44 @@ _WORDS = (
 )
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_codes": """
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), part AS (
+            SELECT vec_id, p, q[p * (len(q) // 16) + 1:(p + 1) * (len(q) // 16)] AS x FROM (SELECT vec_id, q, unnest(range(16)) AS p FROM v)
+        ), b0 AS (
+            SELECT p, CAST(dense_rank() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS e, x AS y FROM part WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)
+        )
+        , a0 AS (
+            SELECT vec_id, p, any_value(x) AS x, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) * 64 + e) AS best FROM part JOIN b0 USING (p) GROUP BY vec_id, p
+        ), s0 AS (
+            SELECT p, best % 64 AS e, i, sum(x[i]) AS s, count(*) AS c FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a0) GROUP BY ALL
+        ), m0 AS (
+            SELECT p, e, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS y FROM s0 GROUP BY p, e
+        ), b1 AS (
+            SELECT p, e, coalesce(m0.y, b0.y) AS y FROM b0 LEFT JOIN m0 USING (p, e)
+        )
+        , a1 AS (
+            SELECT vec_id, p, any_value(x) AS x, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) * 64 + e) AS best FROM part JOIN b1 USING (p) GROUP BY vec_id, p
+        ), s1 AS (
+            SELECT p, best % 64 AS e, i, sum(x[i]) AS s, count(*) AS c FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a1) GROUP BY ALL
+        ), m1 AS (
+            SELECT p, e, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS y FROM s1 GROUP BY p, e
+        ), b2 AS (
+            SELECT p, e, coalesce(m1.y, b1.y) AS y FROM b1 LEFT JOIN m1 USING (p, e)
+        )
+        , a2 AS (
+            SELECT vec_id, p, any_value(x) AS x, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) * 64 + e) AS best FROM part JOIN b2 USING (p) GROUP BY vec_id, p
+        )
+        , coded AS (
+            SELECT vec_id, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id
+        ), book AS (
+            SELECT sha256(string_agg(v, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(range(1, len(y) + 1)) AS i, CAST(unnest(y) AS VARCHAR) AS v FROM b2)
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN v USING (vec_id), book
+    """,
     "op13_runs": r"""
         WITH tab AS (
             SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
