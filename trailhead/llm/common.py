@@ -31,16 +31,22 @@ def scratch(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted when the driver ends."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_discard_all, spark)
+    _WRITTEN.add(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing.
 
     The tables are deleted by discard(), or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_discard_all, spark)
-    _WRITTEN.add(path)
+    path = folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path

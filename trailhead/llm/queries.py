@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from . import bpe, chat, codes, common, decontaminate, langid, periodic, pii, quality, secrets, simhash, substrings, topk
+from . import bpe, chat, codes, common, decontaminate, langid, periodic, pii, quality, secrets, simhash, substrings, tokenfiles, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,12 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.folder(spark, "token-files")
+    tokenfiles.write(_documents(spark, sf_dir, "doc_id", "text"), path, tokenizer_file(), end_id=2)
+    return tokenfiles.checksums(tokenfiles.read(spark, path))
+
+
 def planted(doc_id: Column, text: Column) -> Column:
     """The text, which for one id in ten goes over to repeating a part of itself: from word a on, with period p.
 
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
     "op11_codes": op11_codes,
+    "op12_token_files": op12_token_files,
     "op13_runs": op13_runs,
 }
 
