@@ -11,6 +11,9 @@ from trailhead.llm.queries import tokenizer_file
 PARTS = ["a", "b", "the", " ", " ", "  ", "\n", "\t", "'s", "'ll", "é", "ß", "中", "😀", "1", "23", "½", "<|endoftext|>", "<|", "　", "\xa0", "\x85", "\x1c", "!", "??", "_", "\r\n", "aaaa", "'", "\x1f"]
 
 
+PLAIN = ["a", "b", "the", " ", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "'", "é", "Ёж", "ſ", "1", "23", "!", "??", "_", "-", "S", "'S"]
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(tokenizer_file())
@@ -21,17 +24,22 @@ def test_parts_have_the_ids_of_whole_texts(library, monkeypatch):
     rnd, e = random.Random(3), tokenfiles.Encoder(tokenizer_file())
     assert e.split
     for _ in range(400):
-        texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 16))) for _ in range(10)]
-        got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)]
+        some = PARTS if rnd.random() < 0.5 else PLAIN
+        texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 16))) for _ in range(10)]
+        got = [np.frombuffer(e.encode(x), "<u4").tolist() for x in texts]
         assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)], texts
-        assert ["".join(tokenfiles.parts(x)) for x in texts] == texts
-        assert e.room > -20_000
+        assert ["".join(tokenfiles.units(x)) for x in texts] == texts
+        for known in (e.pieces, e.units):
+            assert known.room > -1000 and len(known) + len(known.old) < 20
+    assert e.pieces.old and e.units.old
+    e.forget()
+    assert not e.pieces and not e.pieces.old
 
 
 def test_other_vocabularies_are_not_split():
-    plain = {"pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}, "added_tokens": []}
+    plain = {"pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}, "added_tokens": [], "model": {"type": "BPE"}}
     assert tokenfiles.splittable(plain)
-    for change in ({"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [{"content": "<x>", "rstrip": True}]}):
+    for change in ({"model": {"type": "WordPiece"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [{"content": "<x>", "rstrip": True}]}):
         assert not tokenfiles.splittable(plain | change)
 
 

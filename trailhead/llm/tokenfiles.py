@@ -7,10 +7,11 @@ few rows (the row index), and Bloom filters of the document ids. A small table b
 row a file with the number of all ids before it; with it every row knows its place in the whole sequence, so that
 stripes can be read in any order, by any number of tasks. read() with ids reads the row groups that may hold them.
 
-Texts are encoded by the tokenizers library. A single space between two characters that aren't white space is always a
-boundary of the byte-level pre-tokenizer, so that a text's ids are those of its parts at such spaces, each with the
-space in front, one after another; parts come again and again, and a bounded cache keeps theirs. Where a vocabulary
-file has another pre-tokenizer, or one that could look over such a boundary, whole texts go to the library.
+Texts are encoded by the tokenizers library, in parts that its byte-level pre-tokenizer keeps apart, so that a text's ids
+are those of its parts one after another; parts come again and again, and a bounded cache keeps theirs. A plain text's
+parts are the pre-tokenizer's pieces; another's begin at single spaces between two characters that aren't white space.
+A text with a special token is one part. Where a vocabulary file has another pre-tokenizer, or one that could look over
+such a boundary, whole texts go to the library.
 
 Defined results: a null text counts as empty and has the end id alone; rows without an id come first; rows of one id
 are in order of the text's hash, then as stored; equal rows are each written; an empty table gives files without
@@ -21,8 +22,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +39,29 @@ from . import common
 STRIDE_ROWS = 1000
 STRIPE_BYTES = 32 << 20
 #: Bytes of parts and ids that a worker keeps at most.
-CACHED_BYTES = 48 << 20
+CACHED_BYTES = 320 << 20
 ENTRY_BYTES = 170
 
 #: A single space between two characters that aren't white space in any reading of the word.
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s|^\s|\s$")
 
+#: Letters that all tables of characters call letters: basic, Latin and Cyrillic ones. Of plain texts, which have these, and
+#: ASCII without most control characters, the pre-tokenizer's own pieces can be told.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0400-\u0481\u048a-\u052f"
+_NOT_PLAIN = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTER}]")
+_PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies have for each byte: its own if it is printable, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
 
 def splittable(vocabulary: dict) -> bool:
     """Whether texts may be encoded in parts that begin with a space."""
@@ -51,17 +69,42 @@ def splittable(vocabulary: dict) -> bool:
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
     added = vocabulary.get("added_tokens") or []
     alone = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or re.search(r"\s", t["content"]) for t in added)
-    return bool(plain and alone and not vocabulary.get("normalizer") and not vocabulary.get("post_processor"))
+    return bool(plain and alone and (vocabulary.get("model") or {}).get("type") == "BPE" and not vocabulary.get("normalizer") and not vocabulary.get("post_processor"))
 
 
-def parts(text: str) -> list[str]:
-    """The text in parts: each but the first begins with a space."""
+def units(text: str) -> list[str]:
+    """The text in parts, each but the first beginning with a space."""
     cut = text.split(" ") if not _ODD.search(text) else _BOUNDARY.split(text)
     return [cut[0], *[" " + x for x in cut[1:]]]
 
 
+class Known(dict):
+    """Ids of parts, found out when first asked for; bounded in bytes.
+
+    When the young half is full it becomes the old one, from which what comes again goes back.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+        self.renew()
+
+    def renew(self, old: dict[str, bytes] | None = None) -> None:
+        self.old, self.room = old or {}, CACHED_BYTES // 4
+        self.clear()
+
+    def __missing__(self, part: str) -> bytes:
+        if self.room < 0:
+            self.renew(self.copy())
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.encode(part)
+        self.room -= ENTRY_BYTES + len(part) + len(ids)
+        self[part] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, with a bounded cache of parts."""
+    """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,30 +114,31 @@ class Encoder:
         self.library = Tokenizer.from_str(json.dumps(vocabulary))
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.split = splittable(vocabulary)
-        self.forget()
+        self.special = [t["content"] for t in vocabulary.get("added_tokens") or []]
+        self.pieces, self.units = Known(self._piece), Known(self._text)
 
     def forget(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.room = CACHED_BYTES
+        for known in (self.pieces, self.units):
+            known.renew()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _text(self, text: str) -> bytes:
+        """Ids of a text, by the library's whole pipeline."""
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.split:
-            return self._encode(texts)
-        cut = [parts(x) if x else [] for x in texts]
-        if self.room < 0:
-            self.forget()
-        known = self.known
-        fresh = list(set().union(*cut) - known.keys())
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for part, ids in zip(some, self._encode(some)):
-                known[part] = ids
-                self.room -= ENTRY_BYTES + len(part) + len(ids)
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer, by the library's model alone."""
+        letters = (piece if piece.isascii() else piece.encode().decode("latin-1")).translate(_BYTE_LETTERS)
+        found = self.model.tokenize(letters)
+        return found[0].id.to_bytes(4, "little") if len(found) == 1 else struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def encode(self, text: str) -> bytes:
+        if not self.split or any(t in text for t in self.special):
+            return self._text(text)
+        if _NOT_PLAIN.search(text):
+            return b"".join(map(self.units.__getitem__, units(text)))
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -128,7 +172,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str =
         e, file, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in common.portions(batch):
-                ids = [x + end for x in e.encode(common.strings(some.column(1)))]
+                ids = [e.encode(x) + end for x in common.strings(some.column(1))]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
                 items = pa.array(np.frombuffer(b"".join(ids), "<i4"))
