@@ -43,6 +43,11 @@ def mapped_expansion(word: str) -> list[str]:
     return lemma + EXPAND_FORMS.get(w, [])
 
 
+def _russian_lemma_words(word: str) -> list[str]:
+    likely = (a.lemma for a in russian.analyze(word) if a.confidence >= LEAST_CONFIDENCE)
+    return list(dict.fromkeys([russian.fold(word), *likely]))[:MOST_LEMMAS]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _russian_lemmas(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known: dict[str, list[str]] = {}
@@ -52,8 +57,7 @@ def _russian_lemmas(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             if w not in known:
                 if len(known) > 200_000:
                     known.clear()
-                likely = [russian.fold(a.lemma) for a in russian.analyze(w or "") if a.confidence >= LEAST_CONFIDENCE]
-                known[w] = list(dict.fromkeys([russian.fold(w or ""), *likely]))[:MOST_LEMMAS]
+                known[w] = _russian_lemma_words(w or "")
             out.append(known[w])
         yield pd.Series(out)
 
@@ -91,7 +95,7 @@ RUSSIAN = Adapter(
     lambda c: F.replace(F.lower(c), F.lit("ё"), F.lit("е")),
     russian.fold,
     _russian_lemmas,
-    lambda w: list(dict.fromkeys([russian.fold(w), *(a.lemma for a in russian.analyze(w) if a.confidence >= LEAST_CONFIDENCE)]))[:MOST_LEMMAS],
+    _russian_lemma_words,
     lambda w: [f.form for f in russian.expand(w)],
 )
 

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _DRAFTS, _GREEDY, CHUNKS, ORACLE_SQL, QUERIES, _docs, _drafts, _query, _table, plain_chunks
+from .catalogue import _DRAFTS, _GREEDY, _LEMMA, _TOKENS, CHUNKS, ORACLE_SQL, QUERIES, _docs, _drafts, _n, _query, _table, plain_chunks
 from .functions import hashing as H
 from .functions import languages as L
 from .functions import russian
@@ -19,11 +19,15 @@ from .functions import vectors as V
 from .operators import filters as FI
 from .operators import pack as K
 from .operators import parse as P
+from .operators import ranking as RK
 from .operators import retrieve as R
 from .operators import snapshot as S
 from .plans import language as Q
+from .plans import seek as SK
+from .plans.compile import compile_query
 from .plans.engine import Engine
 from .sources import files as SF
+from .sources import postings as PO
 from .sources import tables as TB
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -507,3 +511,95 @@ def sparse_reinforced(spark, sf_dir):
     engine.ingest(_files(spark, sf_dir, F.lit(True)), "p", "s1")
     found = engine.search("p", "und", "query")
     return found.select("chunk_id", F.array_join(F.array_sort(F.transform("contributions", lambda c: c["retriever"])), ",").alias("retrievers"))
+
+
+# --- the positional index
+
+
+def _whole(spark, sf_dir) -> DataFrame:
+    """Documents as chunks of their own, named by their id."""
+    d = _docs(spark, sf_dir)
+    return d.select(
+        F.lit("p").alias("project_id"), F.lit("s1").alias("snapshot_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("relative_path").alias("source_id"),
+        F.lit(0).cast("long").alias("span_start"), F.octet_length("text").cast("long").alias("span_end"), "text", F.lit("").alias("text_checksum"), F.lit("external").alias("trust_level"), "doc_id",
+    )
+
+
+def _index(spark, sf_dir, *languages: str) -> PO.Index:
+    path = _folder(spark, "index")
+    PO.put(_whole(spark, sf_dir), path, languages)
+    return PO.Index(spark, path, "p", "s1")
+
+
+#: Queries, what they match in SQL, the score that a match adds up to, and its priority.
+_ASKED = [
+    ("License the", f"{_n('license')} > 0 AND {_n('the')} > 0", "1.9", 1),
+    ("password | License", f"{_n('password')} > 0 OR {_n('license')} > 0", f"CASE WHEN {_n('password')} > 0 THEN 0.95 ELSE 0 END + CASE WHEN {_n('license')} > 0 THEN 0.95 ELSE 0 END", 1),
+    ("the -of", f"{_n('the')} > 0 AND {_n('of')} = 0", "0.95", 1),
+    ('(the OR la) AND "and of" NOT hein', f"({_n('the')} > 0 OR {_n('la')} > 0) AND contains(text, 'and of') AND {_n('hein')} = 0", f"CASE WHEN {_n('the')} > 0 THEN 0.95 ELSE 0 END + CASE WHEN {_n('la')} > 0 THEN 0.95 ELSE 0 END + 1.0", 0),
+    ('"icense of"', "contains(text, 'icense of')", "1.0", 0),
+    ("lang:en that AND (running OR that)", f"{_n('that')} > 0", f"1.9 + CASE WHEN {_n('running', 'run')} > 0 THEN 0.95 ELSE 0 END", 1),
+]
+
+
+@_query(
+    f"WITH {_TOKENS}, e AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM tok), l AS (SELECT doc_id, i, t, {_LEMMA.format(x='t')} AS lemma FROM e) "
+    + " UNION ALL ".join(f"SELECT '{q}' AS query, doc_id, CAST(round({score}, 6) AS DOUBLE) AS merged_score, {p} AS priority FROM tok WHERE {where}" for q, where, score, p in _ASKED)
+    + """ UNION ALL SELECT DISTINCT '~"rights reserved"', a.doc_id, 0.9::DOUBLE, 1 FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+    WHERE (a.t IN ('rights', 'right') OR a.lemma IN ('rights', 'right')) AND (b.t = 'reserved' OR b.lemma = 'reserved')"""
+)
+def index_queries(spark, sf_dir):
+    index, c, out = _index(spark, sf_dir, "en"), _whole(spark, sf_dir), None
+    for query, language in [*((q, "") for q, *_ in _ASKED), ('~"rights reserved"', "en")]:
+        found = compile_query(c, query, language, index=index).candidates
+        rows = found.select(F.lit(query).alias("query"), F.col("chunk_id").cast("long").alias("doc_id"), F.round("merged_score", 6).alias("merged_score"), "priority")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@_query(r"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}_-]+') AS w FROM documents),
+    e AS (SELECT doc_id, len(w) AS n, unnest(w) AS token FROM t),
+    p AS (SELECT doc_id, token, count(*) AS tf, any_value(n) AS n FROM e WHERE token IN ('the', 'of', 'and') GROUP BY doc_id, token),
+    s AS (SELECT doc_id, round(sum(tf / (1 + ln(n))), 9) AS raw FROM p GROUP BY doc_id HAVING count(*) = 3)
+    SELECT doc_id, raw FROM s ORDER BY raw DESC, CAST(doc_id AS VARCHAR) LIMIT 20
+""")
+def index_top(spark, sf_dir):
+    best = RK.top(_index(spark, sf_dir), "The of AND", 20)
+    return best.select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("raw", 9).alias("raw"))
+
+
+@_query(r"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}_-]+') AS w FROM documents),
+    e AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS i FROM t),
+    last AS (
+        SELECT doc_id, i, max(i) FILTER (token = 'the') OVER o AS a, max(i) FILTER (token = 'of') OVER o AS b, max(i) FILTER (token = 'and') OVER o AS c
+        FROM e WHERE token IN ('the', 'of', 'and') WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+    ), cover AS (
+        SELECT doc_id, least(a, b, c) AS s, min(i) AS e FROM last WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY ALL
+    )
+    SELECT doc_id, CAST(count(*) AS INTEGER) AS covers, round(sum(3 / (e - s + 1)), 6) AS raw FROM cover GROUP BY doc_id
+""")
+def index_cover_density(spark, sf_dir):
+    found = RK.cover_density(_index(spark, sf_dir), "The of AND")
+    return found.select(F.col("chunk_id").cast("long").alias("doc_id"), "covers", F.round("raw", 6).alias("raw"))
+
+
+@_query("""
+    SELECT 'exact' AS kind, doc_id, 1.0::DOUBLE AS raw FROM documents WHERE contains(text, 'of the')
+    UNION ALL SELECT 'folded', doc_id, 1.0 FROM documents WHERE contains(lower(text), 'e of t')
+    UNION ALL SELECT 'overlap', doc_id, raw FROM (
+        SELECT doc_id, CAST(contains(lower(text), 'thing')::INT + contains(lower(text), 'ander')::INT + contains(lower(text), '@exa')::INT AS DOUBLE) AS raw FROM documents) WHERE raw > 0
+""")
+def index_substrings(spark, sf_dir):
+    index, c = _index(spark, sf_dir), _whole(spark, sf_dir)
+    exact = R.exact(SK.narrow(index, c, ["of the"]), "of the", extra=["doc_id"]).select("doc_id", F.lit(1.0).alias("raw"))
+    folded = R.folded(SK.narrow(index, c, ["E of T"]), "E of T").select("doc_id", F.lit(1.0).alias("raw"))
+    query = "thing Ander @exa"
+    some = SK.narrow(index, c, query.lower().split())
+    overlap = some.select("doc_id", R.overlap(F.col("text"), query).alias("raw")).where("raw > 0")
+    out = None
+    for kind, rows in (("exact", exact), ("folded", folded), ("overlap", overlap)):
+        rows = rows.select(F.lit(kind).alias("kind"), "doc_id", "raw")
+        out = rows if out is None else out.unionByName(rows)
+    return out

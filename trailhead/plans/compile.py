@@ -1,4 +1,8 @@
-"""A parsed query as one scan: every leaf is a column over the chunk's tokens, the tree a boolean over the leaves."""
+"""A parsed query as columns: every leaf is one over a chunk, the tree a boolean over the leaves.
+
+Without an index the leaves are computed from the chunks' tokens in one scan; with one they are looked up (seek), and
+only chunks that may match are joined to it.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,9 @@ from ..functions import languages as L
 from ..functions import text as X
 from ..operators import filters as FI
 from ..operators import merge as M
+from ..sources import postings as PO
 from . import language as Q
+from . import seek as SK
 
 MOST_EXPANSIONS = 24
 
@@ -34,7 +40,7 @@ class Plan:
     canonical: str
     language: str
     leaves: list[Leaf]
-    matched: DataFrame  # all chunks in scope with a column for each leaf's match
+    matched: DataFrame  # all chunks in scope, at least those that a leaf matches, with a column for each leaf's match
     candidates: DataFrame
 
     def explain(self) -> DataFrame:
@@ -70,6 +76,29 @@ def _term(words: dict[str, bool], reasons: list[str]) -> tuple[Column, Column, C
     return F.size(hits) > 0, F.array_position(F.col("norms"), first) - 1, F.lit(1), M.contribution("term", F.size(hits), F.lit(1.0), why)
 
 
+def _found_term(i: int, reasons: list[str]) -> tuple[Column, Column, Column, Column]:
+    """As _term, from what the index has of a leaf."""
+    why = F.concat(F.array(F.lit("token_term")), F.when(F.col(f"v{i}"), F.array(F.lit("wordform_expand"))).otherwise(F.array().cast("array<string>")), F.array(*map(F.lit, reasons)).cast("array<string>"))
+    return F.col(f"c{i}") > 0, F.col(f"f{i}"), F.lit(1), M.contribution("term", F.col(f"c{i}"), F.lit(1.0), why)
+
+
+def _seeks(index: PO.Index, nodes: list[Q.Node], terms: dict[int, tuple[dict[str, bool], Leaf]], adapter: L.Adapter) -> list[SK.Seek] | None:
+    """What each leaf asks the index for; None if one of them can only be found by a scan."""
+    out = []
+    for i, n in enumerate(nodes):
+        if isinstance(n, Q.Term):
+            s = SK.term(index, terms[i][0], adapter)
+        elif n.morph:
+            words = _split(n.text)
+            s = SK.morph_phrase(index, words, adapter) if words else SK.Seek((frozenset(),))
+        else:
+            s = SK.phrase(index, n.text)
+        if s is None:
+            return None
+        out.append(s)
+    return out
+
+
 def _sequence(lemmas: list[list[str]]) -> Column:
     """Number of the first token from which consecutive tokens share a lemma with each word; null without."""
     starts = F.sequence(F.lit(1), F.greatest(F.size("lemma_sets") - len(lemmas) + 1, F.lit(1)))
@@ -85,29 +114,38 @@ def _sequence(lemmas: list[list[str]]) -> Column:
     return F.when(enough, F.try_element_at(F.filter(starts, all_fit), F.lit(1)) - 1)
 
 
-def compile_query(chunks: DataFrame, query: str, language: str = "", f: FI.Filters = FI.Filters(), rejected: list[str] | None = None, most_expansions: int = MOST_EXPANSIONS, sparse_terms: bool = False) -> Plan:
-    """Candidates of a query over chunks in scope; one scan, no shuffle before the final order.
+def compile_query(
+    chunks: DataFrame, query: str, language: str = "", f: FI.Filters = FI.Filters(), rejected: list[str] | None = None, most_expansions: int = MOST_EXPANSIONS, sparse_terms: bool = False,
+    index: PO.Index | None = None,
+) -> Plan:
+    """Candidates of a query over chunks in scope.
 
     A directive in the query outranks the language given. With sparse_terms, a chunk that a word leaf matches gets a
-    sparse contribution for the word too.
+    sparse contribution for the word too. index is the positional index of the chunks' snapshot: the same rows, from
+    its blocks. Without it, or where a phrase can only be found by a scan (no words in it, or more words of the snapshot
+    hold a piece of it than seek.MOST_WORDS), the leaves are computed from the texts.
     """
     parsed = Q.parse(query)
     lang = parsed.language or language
     adapter = L.adapter(lang)
     nodes = Q.leaves(parsed.root)
     codes = f.reasons()
-    base = chunks.where(FI.condition(f)).withColumn("words", X.raw_tokens(F.col("text")))
-    base = base.withColumn("norms", F.transform("words", adapter.norm))
-    if any(isinstance(n, Q.Phrase) and n.morph for n in nodes):
-        base = _with_lemmas(base, adapter)
+    base = chunks.where(FI.condition(f))
+    terms = {i: term_words(n.text, adapter, rejected or [], most_expansions) for i, n in enumerate(nodes) if isinstance(n, Q.Term)}
+    seeks = _seeks(index, nodes, terms, adapter) if index else None
+    if seeks is None:
+        base = base.withColumn("words", X.raw_tokens(F.col("text")))
+        base = base.withColumn("norms", F.transform("words", adapter.norm))
+        if any(isinstance(n, Q.Phrase) and n.morph for n in nodes):
+            base = _with_lemmas(base, adapter)
     described: list[Leaf] = []
     columns: dict[str, Column] = {}
     sides: list[tuple[Column, Column]] = []  # contribution, struct<first token, tokens, byte>
     for i, n in enumerate(nodes):
         if isinstance(n, Q.Term):
-            words, leaf = term_words(n.text, adapter, rejected or [], most_expansions)
+            words, leaf = terms[i]
             leaf.kind = "morph_term" if n.morph else "term"
-            match, first, many, c = _term(words, codes)
+            match, first, many, c = _found_term(i, codes) if seeks else _term(words, codes)
             parts = [c]
             if sparse_terms:
                 leaf.retrievers.append("sparse")
@@ -119,19 +157,32 @@ def compile_query(chunks: DataFrame, query: str, language: str = "", f: FI.Filte
         elif n.morph:
             words = [w for w in _split(n.text)]
             leaf = Leaf("morph_phrase", n.text, retrievers=["morphphrase"])
-            first, many = (_sequence([adapter.lemma_words(w) for w in words]), F.lit(len(words))) if words else (F.lit(None).cast("int"), F.lit(1))
+            many = F.lit(max(len(words), 1))
+            if seeks:
+                first = F.col(f"f{i}")
+            else:
+                first = _sequence([adapter.lemma_words(w) for w in words]) if words else F.lit(None).cast("int")
             match, both = first.isNotNull(), F.array(M.contribution("morphphrase", F.lit(1.0), F.lit(1.0), ["morph_phrase", "lemma_match", *codes]))
         else:
             leaf = Leaf("phrase", n.text, retrievers=["exact"])
             match, first, many = F.col("text").contains(n.text), F.lit(None).cast("int"), F.lit(0)
+            if seeks:
+                match = (F.col(f"c{i}") > 0) & match
             both = F.array(M.contribution("exact", F.lit(1.0), F.lit(1.0), ["exact_phrase", *codes]))
         described.append(leaf)
         columns[f"m{i}"] = F.coalesce(match, F.lit(False))
         columns[f"f{i}"] = first.cast("int")
         sides.append((both, many))
+    if seeks:
+        joined = lambda root: base.join(SK.evaluate(index, seeks, root, nodes).withColumnRenamed("chunk_id", "_id"), F.col("chunk_id").cast("string") == F.col("_id")).drop("_id").withColumns(columns)
+        any_leaf, base = joined(None), joined(parsed.root)
+        matched = base.withColumn("_row", F.lit(0))
+    else:
+        matched = any_leaf = None
     # a row number keeps the filter above the leaves: pushed below, it would compute each leaf once more, and its tokens
     # once for each use
-    matched = base.withColumns({**columns, "_row": F.monotonically_increasing_id()})
+    if matched is None:
+        matched = any_leaf = base.withColumns({**columns, "_row": F.monotonically_increasing_id()})
     number = {id(n): i for i, n in enumerate(nodes)}
 
     def match(node: Q.Node) -> Column:
@@ -170,7 +221,7 @@ def compile_query(chunks: DataFrame, query: str, language: str = "", f: FI.Filte
     out = matched.where(match(parsed.root) & (F.col("_row") >= 0)).withColumn("contributions", contributions(parsed.root))
     out = M.scored(out.withColumn("match_span", F.coalesce(*snippets(parsed.root))))
     keep = ["chunk_id", "source_id", "span_start", "span_end", "text", "text_checksum", "trust_level", "contributions", "merged_score", "priority", "reasons", "match_span"]
-    return Plan(Q.canonical(parsed.root), lang, described, matched, out.select(*keep))
+    return Plan(Q.canonical(parsed.root), lang, described, any_leaf, out.select(*keep))
 
 
 def _split(text: str) -> list[str]:

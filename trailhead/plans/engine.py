@@ -17,9 +17,12 @@ from ..operators import filters as FI
 from ..operators import merge as M
 from ..operators import pack as K
 from ..operators import parse as P
+from ..operators import ranking as RK
 from ..operators import retrieve as R
 from ..operators import snapshot as S
+from ..sources import postings as PO
 from ..sources import tables as ST
+from . import seek as SK
 from .compile import Plan, compile_query
 
 
@@ -36,7 +39,7 @@ def plan_id(query: str) -> str:
 
 @dataclass
 class Engine:
-    """Tables under root: chunks, leaves, postings, vectors, tombstones; the states of snapshots are metadata documents.
+    """Tables under root: chunks, leaves, index (positional postings), vectors, tombstones; the states of snapshots are metadata documents.
 
     A snapshot is building until all of it is written, then ready with its roots, or failed with a reason; the one that
     becomes active supersedes the one before. The workspace file names each project's active snapshot.
@@ -90,7 +93,7 @@ class Engine:
             c = c.withColumn("temporal", F.lit(None).cast("struct<start:timestamp,end:timestamp,basis:string,ingested_at:timestamp>"))
             ST.put(enrich(c) if enrich else c, self.table("chunks"))
             written = self._scan("chunks", project, snapshot)
-            ST.put_postings(written, self.table("postings"))
+            PO.put(written, self.table("index"), [language])
             now = self._scan("leaves", project, snapshot)
             old = self._scan("leaves", project, before) if before else now.limit(0)
             changes = S.diff_sources(old, now)
@@ -139,7 +142,7 @@ class Engine:
         ST.put_vectors(c, self.table("vectors"), version)
 
     def repair(self, project: str, target: str = "all", version: str = "local-hash-v1", kind: str = "digest") -> int:
-        """Write vectors (dense) or postings (sparse) of the active snapshot again; it stays active. Number of chunks."""
+        """Write vectors (dense) or the index (sparse) of the active snapshot again; it stays active. Number of chunks."""
         if target not in ("all", "dense", "sparse"):
             raise ValueError(f"unknown target {target}")
         n = self.chunks(project).count()
@@ -148,7 +151,8 @@ class Engine:
         if target != "sparse":
             self.embed(project, version, kind)
         if target != "dense":
-            ST.put_postings(self.chunks(project), self.table("postings"))
+            c = self._scan("chunks", project, self.active(project))
+            PO.put(c, self.table("index"), [r[0] for r in c.select("language").distinct().limit(100).collect()])
         return n
 
     # --- reading
@@ -167,10 +171,16 @@ class Engine:
         c = FI.without_tombstones(self._scan("chunks", project, self.active(project)), self.tombstones(project))
         return FI.without_tombstones(c, tombstones) if tombstones is not None else c
 
-    def search(self, project: str, query: str, mode: str = "hybrid", limit: int = 20, language: str = "", f: FI.Filters = FI.Filters(), rejected: Sequence[str] = (), embedding: tuple[str, str] = ("local-hash-v1", "digest"), rerank: bool = False) -> DataFrame:
+    def index(self, project: str) -> PO.Index:
+        """The positional index of the active snapshot."""
+        return PO.Index(self.spark, self.table("index"), project, self.active(project))
+
+    def search(self, project: str, query: str, mode: str = "hybrid", limit: int = 20, language: str = "", f: FI.Filters = FI.Filters(), rejected: Sequence[str] = (), embedding: tuple[str, str] = ("local-hash-v1", "digest"), rerank: bool = False, rank: str = "often") -> DataFrame:
         """Scored candidates in order, with a snippet's span where the query stands in the text.
 
-        full-text reads the postings; rerank orders the candidates anew by the overlap of text and query.
+        full-text and query are answered by the index; exact, sparse and hybrid look at the chunks that it says can hold
+        a word of the query. rank is full-text's: often, or close for cover density. rerank orders the candidates anew
+        by the overlap of text and query.
         """
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode}")
@@ -187,16 +197,18 @@ class Engine:
             v = ST.scan(self.spark, self.table("vectors"), project, self.active(project)).where(F.col("embedding_version") == version)
             hits = R.dense(v, fn(query), limit)
         if mode == "full-text":
-            hits = R.full_text(self._scan("postings", project, self.active(project)), query, limit)
+            hits = RK.top(self.index(project), query, limit, rank)
             found = M.scored(R.of_hits(c, hits, "sparse", ["full_text"], f))
         elif mode == "dense":
             found = M.scored(R.of_hits(c, hits, "dense", ["dense_similarity"], f))
         elif mode == "exact":
-            found = M.scored(R.exact(c, query, f))
+            found = M.scored(R.exact(SK.narrow(self.index(project), c, [query.strip()]), query, f))
         elif mode == "sparse":
-            found = M.scored(R.sparse(c, query, limit, f))
+            found = M.scored(R.sparse(SK.narrow(self.index(project), c, query.lower().split()), query, limit, f))
         else:
-            found = R.hybrid(c, terms, limit, f, rejected, hits)
+            needles = [w for t in terms if t not in rejected for w in t.lower().split()]
+            some = c if hits is not None else SK.narrow(self.index(project), c, needles)
+            found = R.hybrid(some, terms, limit, f, rejected, hits)
         best = M.top(found, limit)
         out = self._with_snippets(best, c, query)
         return M.rerank(out, V.overlap_score(F.col("text"), query)) if rerank else M.top(out, limit)
@@ -210,7 +222,7 @@ class Engine:
         return both.withColumn("snippet", F.when(F.col("_at") >= 0, span)).drop("_at")
 
     def query(self, project: str, query: str, language: str = "", f: FI.Filters = FI.Filters(), rejected: Sequence[str] = ()) -> Plan:
-        return compile_query(self.chunks(project), query, language, f, list(rejected), sparse_terms=True)
+        return compile_query(self.chunks(project), query, language, f, list(rejected), sparse_terms=True, index=self.index(project))
 
     # --- packs
 
