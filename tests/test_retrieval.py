@@ -138,3 +138,62 @@ def test_overlap_join_equals_all_pairs(spark):
 
     want = {(a, b) for a, s, m in rows[0] for b, t, n in rows[1] if s < t + timedelta(minutes=n) and t < s + timedelta(minutes=m)}
     assert got == want and FI.overlap_join(*made).count() == len(want)
+
+
+def united(chunks, terms, limit, f, dense_hits):
+    """The same by a scan for each term and retriever."""
+    parts = [x for t in terms for x in (R.exact(chunks, t, f), R.sparse(chunks, t, limit, f))]
+    if dense_hits is not None:
+        parts.append(R.of_hits(chunks, dense_hits, "dense", ["dense_similarity"], f))
+    out = None
+    for i, p in enumerate(parts):
+        p = p.withColumn("place", F.struct(F.lit(i), "chunk_id"))
+        out = p if out is None else out.unionByName(p)
+    return M.merge(out, keep=("chunk_id", "trust_level"))
+
+
+@pytest.mark.parametrize("limit", [1, 3, 20])
+def test_hybrid_reads_once_and_equals_a_scan_for_each(spark, limit):
+    import random
+
+    rnd = random.Random(limit)
+    rows = [(f"c{rnd.randrange(10**6):06}", f"s{i % 7}", i, i + 9, " ".join(rnd.choice(["river", "Bank", "bank", "boat", "x"]) for _ in range(6)), f"k{i % 50}", "project", rnd.choice(["en", "de"])) for i in range(150)]
+    c = spark.createDataFrame(rows, "chunk_id string, source_id string, span_start int, span_end int, text string, text_checksum string, trust_level string, language string")
+    hits = c.orderBy("chunk_id").limit(9).select("chunk_id", F.col("span_start").cast("double").alias("raw"))
+    whole = lambda df: sorted((tuple(map(str, r)) for r in df.select("chunk_id", "trust_level", *M.KEY, "contributions", F.round("merged_score", 9), "priority", "reasons").collect()))
+    for f in (FI.Filters(), FI.Filters(language="en")):
+        for terms, dense in ((["river bank", "boat"], None), (["Bank river x", "nowhere", " "], hits), ([" "], hits)):
+            got = R.hybrid(c, terms, limit, f, dense_hits=dense)
+            assert whole(got) == whole(united(c, terms, limit, f, dense))
+    assert R.hybrid(c, ["river"], limit, rejected=["river"]).count() == 0
+    plan = R.hybrid(c, ["river bank", "boat", "x"], limit)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "WindowGroupLimit" in plan
+
+
+def test_dyadic_covers_are_short_and_hold_each_cell_once(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(a, a + n) for a in (0, 1, 7, -5, -64, 12345, -(1 << 30)) for n in (1, 2, 3, 8, 31, 100)] + [(a := rnd.randrange(-(1 << 24), 1 << 24), a + rnd.randrange(1, 1 << 25)) for _ in range(40)]
+    found = spark.createDataFrame(rows, "a long, b long").withColumn("x", FI.dyadic_cover(F.col("a"), F.col("b"))).collect()
+    for r in found:
+        runs = sorted((x["node"] << x["level"], (x["node"] + 1) << x["level"]) for x in r["x"])
+        assert runs[0][0] == r["a"] and runs[-1][1] == r["b"] and all(p[1] == q[0] for p, q in zip(runs, runs[1:]))
+        assert len(runs) <= max(1, 2 * math.log2(r["b"] - r["a"]))
+
+
+@pytest.mark.parametrize("cell_s", [1, 60, 86400])
+def test_overlap_join_of_ranges_from_seconds_to_decades(spark, cell_s):
+    import random
+    from datetime import datetime, timedelta
+
+    rnd = random.Random(cell_s)
+    start = datetime(1960, 1, 1)
+    length = lambda: timedelta(seconds=rnd.choice([0, 0.000001, 1, 50, 3600, 90_000, 10**7, 8 * 10**8, -5]))
+    side = lambda: [(i, s := start + timedelta(seconds=rnd.choice([0, 60, 86400, rnd.randrange(10**9)])), s + length()) for i in range(70)]
+    rows = side(), side()
+    a, b = (spark.createDataFrame([*r, (99, None, start), (98, start, None)], "id long, start timestamp, end timestamp") for r in rows)
+    want = sorted((x, y) for x, s, e in rows[0] for y, t, u in rows[1] if s < u and t < e and s < e and t < u)
+    got = sorted((r["l_id"], r["r_id"]) for r in FI.overlap_join(a, b, cell_s).collect())
+    assert got == want and len(want) > 100
+    assert FI.overlap_join(a.limit(0), b).count() == FI.overlap_join(a, b.limit(0)).count() == 0

@@ -12,7 +12,7 @@ from .. import schema
 KEY = ["source_id", "span_start", "span_end", "text_checksum"]
 
 
-def normalize(df: DataFrame, raw: str = "raw", out: str = "norm", within: Sequence[str] = ()) -> DataFrame:
+def normalize(df: DataFrame, raw: str = "raw", out: str = "norm", within: Sequence[str | Column] = ()) -> DataFrame:
     """Min-max over each call's rows; all equal gives 0."""
     w = Window.partitionBy(*within) if within else Window.partitionBy()
     low, high = F.min(raw).over(w), F.max(raw).over(w)

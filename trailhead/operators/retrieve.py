@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -86,15 +86,35 @@ def of_hits(chunks: DataFrame, hits: DataFrame, retriever: str, reasons: Sequenc
 def hybrid(chunks: DataFrame, terms: Sequence[str], limit: int = 20, f: FI.Filters = FI.Filters(), rejected: Sequence[str] = (), dense_hits: DataFrame | None = None) -> DataFrame:
     """All retrievers for all terms, merged: one scored row for each chunk.
 
-    terms: the query, then its expansions; those rejected are left out.
+    terms: the query, then its expansions; those rejected are left out. The chunks are read once: each gives a row for
+    every term and retriever that finds it. Of a term's overlaps every task keeps the best so many, by Spark's limit on
+    window groups, before these meet; exact hits, which no limit holds for, are groups of their own in the same window.
+    Filters come after the limit, normalisation after the filters, as in exact(), sparse() and of_hits().
     """
-    parts = []
-    for term in [t for t in terms if t not in rejected]:
-        parts += [exact(chunks, term, f), sparse(chunks, term, limit, f)]
+    limit = limit if limit > 0 else 20
+    asked = [t for t in terms if t not in rejected]
+    rows = chunks.withColumn("_ok", FI.condition(f))
+    found = []
+    hit = lambda place, raw, own: F.struct(F.lit(place).alias("place"), raw.cast("double").alias("raw"), F.lit(own).alias("own"))
+    for i, term in enumerate(asked):
+        phrase, raw = term.strip(), overlap(F.col("text"), term)
+        if phrase:
+            found.append(F.when(F.col("_ok") & F.col("text").contains(phrase), hit(2 * i, F.lit(1.0), True)))
+        found.append(F.when(raw > 0, hit(2 * i + 1, raw, False)))
+    dense_place = 2 * len(asked)
     if dense_hits is not None:
-        parts.append(of_hits(chunks, dense_hits, "dense", ["dense_similarity"], f))
-    out = None
-    for i, p in enumerate(parts):
-        p = p.withColumn("place", F.struct(F.lit(i), "chunk_id"))
-        out = p if out is None else out.unionByName(p)
-    return M.merge(out, keep=("chunk_id", "trust_level"))
+        # few rows, after a limit
+        few = dense_hits.select(F.col("chunk_id").alias("_hit"), F.col("raw").alias("_raw"))
+        rows = rows.join(F.broadcast(few), F.col("chunk_id") == F.col("_hit"), "left")
+        found.append(F.when(F.col("_ok") & F.col("_hit").isNotNull(), hit(dense_place, F.col("_raw"), True)))
+    listed = F.array(*found) if found else F.array(F.lit(None).cast("struct<place:int,raw:double,own:boolean>"))
+    # explode() would put a filter below that looks for everything once more
+    each = rows.select(*CARRIED, "_ok", F.explode_outer(F.array_compact(listed)).alias("_h")).where("_h is not null").select(*CARRIED, "_ok", "_h.*")
+    alone = F.when(F.col("own"), F.col("chunk_id"))
+    best = each.withColumn("_n", F.row_number().over(Window.partitionBy("place", alone).orderBy(F.desc("raw"), "chunk_id"))).where(F.col("_n") <= limit)
+    best = M.normalize(best.where("_ok"), within=["place", F.when(F.col("own") & (F.col("place") < dense_place), F.col("chunk_id"))])
+    kinds = [("exact", ["exact_phrase"], F.lit(1.0)), ("sparse", ["sparse_overlap"], F.col("norm")), ("dense", ["dense_similarity"], F.col("norm"))]
+    one = [M.contribution(k, F.col("raw"), norm, [*why, *f.reasons()]) for k, why, norm in kinds]
+    which = F.when(F.col("place") == dense_place, one[2]).when(F.col("place") % 2 == 0, one[0]).otherwise(one[1])
+    parts = best.select(*CARRIED, F.array(which).alias("contributions"), F.struct("place", "chunk_id").alias("place"))
+    return M.merge(parts, keep=("chunk_id", "trust_level"))
