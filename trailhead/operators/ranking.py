@@ -61,10 +61,9 @@ def covers(keys: np.ndarray, terms: np.ndarray, many: int) -> tuple[np.ndarray,
 
 def _often(words: list[str]) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         segment, found = table.column("segment")[0].as_py(), {}
-        for token, steps, tf, size in zip(table.column("token").to_pylist(), *(table.column(n) for n in ("docs", "tfs", "sizes"))):
-            docs, tf, size = np.cumsum(steps.values.to_numpy()), tf.values.to_numpy(), size.values.to_numpy()
+        for token, n, cf, data in zip(*(table.column(c).to_pylist() for c in ("token", "n", "cf", "lists"))):
+            docs, tf, size, _ = P.decode(n, cf, data)
             found[token] = docs, P.part(tf, size)
         if len(found) < len(words):
             return _result(segment, np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32))
@@ -102,12 +101,12 @@ def _result(segment: int, docs: np.ndarray, total: np.ndarray, count: np.ndarray
 def cover_density(index: P.Index, query: str) -> DataFrame:
     """chunk_id, raw (cover density) and covers of every chunk that holds all words of the query."""
     words = query_words(query)
-    found = index.blocks(words).select("segment", "token", "docs", "tfs", "gaps").groupBy("segment").applyInArrow(_close(words), _SCORED)
+    found = index.blocks(words).select("segment", "token", "n", "cf", "lists").groupBy("segment").applyInArrow(_close(words), _SCORED)
     return index.chunk_ids(found)
 
 
 def _score(blocks: DataFrame, words: list[str]) -> DataFrame:
-    return blocks.select("segment", "token", "docs", "tfs", "sizes").groupBy("segment").applyInArrow(_often(words), _SCORED)
+    return blocks.select("segment", "token", "n", "cf", "lists").groupBy("segment").applyInArrow(_often(words), _SCORED)
 
 
 def _best(index: P.Index, scored: DataFrame, limit: int) -> DataFrame:

@@ -117,18 +117,10 @@ class Lists:
     """The blocks of one segment, decoded: of each word its chunks, counts and places."""
 
     def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
-        flat = {}
-        for name in ("docs", "tfs", "gaps"):
-            column = table.column(name).combine_chunks()
-            flat[name] = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
         self.words: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for i, token in enumerate(table.column("token").to_pylist()):
-            steps, tf, gaps = (values[at[i] : at[i + 1]] for at, values in flat.values())
-            opens = np.cumsum(tf) - tf
-            places = np.cumsum(gaps, dtype=np.int64)
-            places -= np.repeat(places[opens] - gaps[opens], tf)
-            self.words[token] = np.cumsum(steps, dtype=np.int64), tf.astype(np.int64), places
+        for token, n, cf, data in zip(*(table.column(c).to_pylist() for c in ("token", "n", "cf", "lists"))):
+            docs, tf, _, places = P.decode(n, cf, data)
+            self.words[token] = docs, tf, places
 
     def occurrences(self, tokens: frozenset[str]) -> np.ndarray:
         """All places of some words: chunk << 32 | place, in order."""
@@ -159,7 +151,7 @@ def evaluate(index: P.Index, seeks: Sequence[Seek], root: Q.Node | None, nodes:
     tokens = frozenset().union(*(s.tokens for s in seeks))
     tree = _tree(root, {id(n): i for i, n in enumerate(nodes)}) if root is not None else ("or", *range(len(seeks)))
     hits = T.StructType([T.StructField("segment", T.LongType()), T.StructField("ordinal", T.IntegerType()), *_fields(len(seeks))])
-    blocks = index.blocks(sorted(tokens)).select("segment", "token", "docs", "tfs", "gaps")
+    blocks = index.blocks(sorted(tokens)).select("segment", "token", "n", "cf", "lists")
     found = blocks.groupBy("segment").applyInArrow(_evaluator(list(seeks), tree, hits.names), hits)
     return index.chunk_ids(found)
 

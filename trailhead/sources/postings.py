@@ -1,15 +1,18 @@
 """A positional index of chunks: for every word of a snapshot, where it stands, in blocks of delta-coded lists.
 
-A segment is what one task reads at a time, some 8 MB of text; its chunks are numbered from 0. A row of the index is the
-block of one word in one segment: chunk numbers (each but the first as the distance from the one before), how often the
-word stands in each, how many words each has, and the places of all its occurrences (again as distances, from 0 in each
-chunk), besides the number of chunks and the greatest part of a score that a chunk of the block can get from the word.
-The row of the empty word is the segment itself: the ids of its chunks in order. All words of a chunk are in blocks of
-its segment, so that lists are merged segment by segment and never meet elsewhere.
-
-Rows are sorted by word, then by the greatest part, in files of small row groups with statistics and Bloom filters:
-a query's words touch few of them, and blocks that can't reach a score are passed by. The vocabulary (word, chunks,
-occurrences) and the lemmas of the languages asked for (lemma, word) lie beside it, sorted too.
+A segment is what one task reads at a time, some 16 MB of text; its chunks are numbered from 0. A row of the index is the
+block of one word in one segment: how many chunks have it, how many times, the greatest part of a score that a chunk of
+the block can get from the word, and three lists as one string of variable-length numbers: of each chunk the distance
+of its number from the one before, how often the word stands in it and how many words it has; then the places
+of all occurrences, again as distances, from 0 in each chunk. The row of the empty word is the segment itself: the ids
+of its chunks in order. All words of a chunk are in blocks of its segment, so that lists are merged segment by segment
+and never meet elsewhere.
+
+Rows are dealt by a hash of the word into folders, and within them by the segment, so that frequent words don't meet in one
+task; files are sorted by word, then by the greatest part, in small row groups with statistics and Bloom filters. A
+query's words are looked for in their folders alone and touch few row groups there, and blocks that can't reach a
+score are passed by. The vocabulary (word, chunks, occurrences) and the lemmas of the languages asked for (lemma, word) lie
+beside it.
 
 Defined results: chunks without words are in no block; a null text has none; rows of one chunk id are chunks of their
 own; writing a snapshot's index again replaces it.
@@ -17,12 +20,12 @@ own; writing a snapshot's index again replaces it.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,33 +35,68 @@ from ..functions import languages as L
 from ..functions import text as X
 
 SCOPE = ["project_id", "snapshot_id"]
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 16 << 20
 ROW_GROUP_BYTES = 1 << 20
+#: Folders that words are dealt to, and tasks that one folder's segments are; an index is read with those it was written with.
+BUCKETS = 16
+SPREAD = 4
 
-_INTS = T.ArrayType(T.IntegerType())
 BLOCK = T.StructType(
     [
-        T.StructField("project_id", T.StringType()), T.StructField("snapshot_id", T.StringType()), T.StructField("token", T.StringType()),
-        T.StructField("segment", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("cf", T.LongType()), T.StructField("most", T.DoubleType()),
-        T.StructField("docs", _INTS), T.StructField("tfs", _INTS), T.StructField("sizes", _INTS), T.StructField("gaps", _INTS), T.StructField("ids", T.ArrayType(T.StringType())),
+        T.StructField("token", T.StringType()), T.StructField("segment", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("cf", T.LongType()),
+        T.StructField("most", T.DoubleType()), T.StructField("lists", T.BinaryType()), T.StructField("ids", T.ArrayType(T.StringType())),
     ]
 )
-
 _SHAPES = {
-    "blocks": BLOCK,
+    "blocks": T.StructType([*BLOCK.fields, *(T.StructField(c, T.StringType()) for c in SCOPE), T.StructField("bucket", T.IntegerType())]),
     "words": "token string, df long, cf long, project_id string, snapshot_id string",
     "lemmas": "lemma string, token string, project_id string, snapshot_id string, tag string",
 }
 
 
+def bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
 def part(tf: np.ndarray, size: np.ndarray) -> np.ndarray:
     """What a word that stands tf times among size words adds to a chunk's score."""
     return tf / (1 + np.log(size))
 
 
-def _lists(values: np.ndarray, offsets: np.ndarray, empty: int) -> pa.Array:
-    """Lists of 32-bit integers, after so many empty ones."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(empty), offsets]).astype(np.int32)), pa.array(values.astype(np.int32)))
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 on as bytes of seven bits each, the lowest first, 128 added to all but the last; and how many bytes each has."""
+    size = np.ones(len(values), np.int8)
+    large = np.flatnonzero(values > 0x7F)
+    for bits in (7, 14, 21, 28):
+        size[large] += values[large] >> bits > 0
+    begins = np.cumsum(size, dtype=np.int64) - size
+    out = np.empty(int(begins[-1]) + int(size[-1]) if len(values) else 0, np.uint8)
+    out[begins] = values & 0x7F
+    for k in range(1, 5):
+        out[begins[large] + k - 1] |= 0x80
+        out[begins[large] + k] = values[large] >> 7 * k & 0x7F
+        large = large[size[large] > k + 1]
+    return out, size
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    """The numbers that packed() made into bytes."""
+    if not len(data):
+        return np.empty(0, np.int64)
+    last = np.flatnonzero(data < 0x80)
+    begins = np.append(0, last[:-1] + 1)
+    place = np.arange(len(data)) - np.repeat(begins, last - begins + 1)
+    return np.add.reduceat((data & 0x7F).astype(np.int64) << 7 * place, begins)
+
+
+def decode(n: int, cf: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its chunks' numbers, how often the word stands in each, how many words each has, and all places."""
+    values = unpacked(np.frombuffer(data, np.uint8))
+    steps, tf, size, gaps = values[:n], values[n : 2 * n], values[2 * n : 3 * n], values[3 * n :]
+    opens = np.cumsum(tf) - tf
+    places = np.cumsum(gaps)
+    places -= np.repeat(places[opens] - gaps[opens], tf)
+    return np.cumsum(steps), tf, size, places
 
 
 def _steps(values: np.ndarray, opens: np.ndarray) -> np.ndarray:
@@ -68,8 +106,9 @@ def _steps(values: np.ndarray, opens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _segment(scope: tuple[str, str], number: int, ids: pa.Array, tokens: pa.Array) -> pa.RecordBatch:
-    """The rows of a segment: first its own, then one a word."""
+def _segment(number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """The rows of a segment: first its own, then one a word. texts: words with one space between each two."""
+    tokens = pc.split_pattern(texts, " ")
     size = np.diff(tokens.offsets.to_numpy())
     words = tokens.flatten().dictionary_encode()
     codes = words.indices.to_numpy()
@@ -82,16 +121,23 @@ def _segment(scope: tuple[str, str], number: int, ids: pa.Array, tokens: pa.Arra
     at = np.flatnonzero(opens)  # of each posting, its first occurrence
     tf, docs = np.diff(at, append=len(codes)), doc[at]
     heads = np.flatnonzero(np.diff(codes[at], prepend=-1))  # of each block, its first posting
-    ends, gap_ends = np.append(heads, len(at)), np.append(at[heads], len(codes))
-    sizes = size[docs]
+    n, cf, sizes = np.diff(heads, append=len(at)), np.diff(at[heads], append=len(codes)), size[docs]
     most = np.maximum.reduceat(part(tf, sizes), heads) if len(heads) else np.empty(0)
+    # the lists of a block one after another: chunks, counts, sizes, places
+    long = 3 * n + cf
+    begin = np.cumsum(long) - long
+    posting = np.repeat(begin - heads, n) + np.arange(len(at))
+    each = np.empty(int(long.sum()), np.int64)
+    each[posting], each[posting + np.repeat(n, n)], each[posting + np.repeat(2 * n, n)] = _steps(docs, heads), tf, sizes
+    each[np.repeat(begin + 3 * n - at[heads], cf) + np.arange(len(codes))] = _steps(place, at)
+    data, length = packed(each)
+    lengths = np.add.reduceat(length.astype(np.int64), begin) if len(heads) else np.empty(0, np.int64)
+    offsets = np.concatenate([[0, 0], np.cumsum(lengths)]).astype(np.int32)
     rows = len(heads) + 1
     columns = [
-        pa.array([scope[0]] * rows, pa.string()), pa.array([scope[1]] * rows, pa.string()),
         pa.concat_arrays([pa.array([""]), words.dictionary.take(pa.array(codes[at][heads])).cast(pa.string())]),
-        pa.array(np.full(rows, number)), pa.array(np.append(len(size), np.diff(ends)).astype(np.int32)),
-        pa.array(np.append(len(codes), np.diff(gap_ends)).astype(np.int64)), pa.array(np.append(0.0, most)),
-        _lists(_steps(docs, heads), ends, 1), _lists(tf, ends, 1), _lists(sizes, ends, 1), _lists(_steps(place, at), gap_ends, 1),
+        pa.array(np.full(rows, number)), pa.array(np.append(len(size), n).astype(np.int32)), pa.array(np.append(len(codes), cf).astype(np.int64)), pa.array(np.append(0.0, most)),
+        pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
         pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * rows], pa.int32()), ids),
     ]
     return pa.RecordBatch.from_arrays(columns, names=BLOCK.names)
@@ -103,17 +149,15 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = max(1, batch.num_rows * SEGMENT_BYTES // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, rows):
             some = batch.slice(at, rows)
-            scopes = list(zip(some.column(0).to_pylist(), some.column(1).to_pylist()))
-            for scope in dict.fromkeys(scopes):
-                own = some.filter(pa.array([s == scope for s in scopes])) if len(set(scopes)) > 1 else some
-                yield _segment(scope, task + number, own.column(2), own.column(3))
-                number += 1
+            yield _segment(task + number, *some.columns)
+            number += 1
 
 
 def blocks(chunks: DataFrame) -> DataFrame:
-    """The index's rows, unsorted."""
-    tokens = F.coalesce(X.tokens(F.col("text")), F.array().cast("array<string>"))
-    return chunks.select(*SCOPE, F.col("chunk_id").cast("string").alias("chunk_id"), tokens.alias("tokens")).mapInArrow(_segments, BLOCK)
+    """The index's rows of chunks of one snapshot, unsorted."""
+    # in lower case once they are words, as the case of some letters depends on their word; a text without words is null
+    words = F.lower(F.trim(F.regexp_replace("text", rf"[^{X.WORD.removeprefix('[').removesuffix(']+')}]+", " ")))
+    return chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.when(words != "", words).alias("words")).mapInArrow(_segments, BLOCK)
 
 
 def _write(df: DataFrame, path: str, by: Sequence[str], bloom: str) -> None:
@@ -121,34 +165,23 @@ def _write(df: DataFrame, path: str, by: Sequence[str], bloom: str) -> None:
     out.option(f"parquet.bloom.filter.enabled#{bloom}", "true").partitionBy(*by).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def put(chunks: DataFrame, path: str, languages: Sequence[str] = ()) -> None:
     """Write the index of chunks (whole snapshots), replacing what these snapshots had.
 
-    The rows are written as they come first, as sorting by range looks at its input twice; lemmas are made from the
-    distinct words.
+    The texts are read once, and their blocks move once; lemmas are made from the distinct words.
     """
     spark = chunks.sparkSession
-    staged = f"{path}/staged-{uuid.uuid4().hex}"
-    try:
-        blocks(chunks).write.parquet(staged)
-        rows = spark.read.schema(BLOCK).parquet(staged)
-        order = [*SCOPE, F.col("token"), F.desc("most"), F.col("segment")]
-        _write(rows.repartitionByRange(*order).sortWithinPartitions(*order), f"{path}/blocks", SCOPE, "token")
-        counts = rows.where("token <> ''").groupBy(*SCOPE, "token").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
-        counts.write.parquet(f"{staged}-words")
-        words = spark.read.schema(counts.schema).parquet(f"{staged}-words")
-        _write(words.repartitionByRange(*SCOPE, "token").sortWithinPartitions(*SCOPE, "token"), f"{path}/words", SCOPE, "token")
+    # the snapshots, few rows
+    for project, snapshot in sorted(chunks.select(*SCOPE).distinct().collect()):
+        index = Index(spark, path, project, snapshot)
+        rows = blocks(chunks.where((F.col("project_id") == project) & (F.col("snapshot_id") == snapshot))).withColumn("bucket", bucket(F.col("token")))
+        dealt = rows.repartition("bucket", F.pmod("segment", F.lit(SPREAD))).sortWithinPartitions("bucket", "token", F.desc("most"), "segment")
+        _write(dealt, index.folder("blocks"), ["bucket"], "token")
+        counts = index._table("blocks").where("token <> ''").groupBy("token").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+        _write(counts.sortWithinPartitions("token"), index.folder("words"), [], "token")
         for tag in dict.fromkeys(L.adapter(x).tag for x in languages):
-            each = words.select(*SCOPE, F.lit(tag).alias("tag"), F.explode(L.adapter(tag).lemmas(F.col("token"))).alias("lemma"), "token")
-            _write(each.repartition(*SCOPE, "lemma").sortWithinPartitions(*SCOPE, "lemma", "token"), f"{path}/lemmas", [*SCOPE, "tag"], "lemma")
-    finally:
-        _delete(spark, staged)
-        _delete(spark, f"{staged}-words")
+            each = index.words().select(F.lit(tag).alias("tag"), F.explode(L.adapter(tag).lemmas(F.col("token"))).alias("lemma"), "token")
+            _write(each.repartition("lemma").sortWithinPartitions("lemma", "token"), index.folder("lemmas"), ["tag"], "lemma")
 
 
 def among(column: Column, values: Sequence[str], ranges: int = 16) -> Column:
@@ -176,17 +209,25 @@ class Index:
     project: str
     snapshot: str
 
+    def folder(self, name: str) -> str:
+        return f"{self.path}/{name}/project_id={self.project}/snapshot_id={self.snapshot}"
+
     def _table(self, name: str) -> DataFrame:
         rows = self.spark.read.schema(_SHAPES[name]).parquet(f"{self.path}/{name}")
         return rows.where((F.col("project_id") == self.project) & (F.col("snapshot_id") == self.snapshot))
 
     def blocks(self, tokens: Sequence[str]) -> DataFrame:
         """The blocks of words."""
-        return self._table("blocks").where(among(F.col("token"), [t for t in tokens if t]))
+        tokens = [t for t in tokens if t]
+        rows = self._table("blocks").where(among(F.col("token"), tokens))
+        if len(tokens) <= BUCKETS:
+            one = self.spark.range(1).select(F.array(*(bucket(F.lit(t)) for t in tokens)).cast("array<int>").alias("x")).first()["x"]
+            rows = rows.where(F.col("bucket").isin(one))
+        return rows
 
     def segments(self) -> DataFrame:
         """segment, and the ids of its chunks."""
-        return self._table("blocks").where("token = ''").select("segment", "ids")
+        return self._table("blocks").where((F.col("bucket") == bucket(F.lit(""))) & (F.col("token") == "")).select("segment", "ids")
 
     def words(self) -> DataFrame:
         """token, df (chunks) and cf (occurrences)."""
@@ -209,7 +250,7 @@ class Index:
         return {r["token"]: r["norm"] for r in self.words().select("token", norm.alias("norm")).where(F.col("norm").isin(list(forms))).collect()}
 
     def _has(self, tag: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/lemmas/project_id={self.project}/snapshot_id={self.snapshot}/tag={tag}")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder('lemmas')}/tag={tag}")
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def chunk_ids(self, hits: DataFrame) -> DataFrame:
