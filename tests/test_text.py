@@ -84,6 +84,42 @@ def test_paragraphs(spark):
     assert [[(x["start"], x["end"]) for x in r["s"]] for r in rows] == [brute_paragraphs(t) for t in texts]
 
 
+def plain_root(head, rows):
+    """The root of the tree over (key, line), rows of a leaf in the order given."""
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def up(label, nodes):
+        return digest(label + "".join(f"{p}\0{d}\0" for p, d in sorted(nodes.items())))
+
+    leaves = {}
+    for k, line in rows:
+        leaves[k[:3]] = leaves.get(k[:3], "") + line
+    leaves = {p: digest("trailhead/tree-leaf/v1\0" + x) for p, x in leaves.items()}
+    inner = {a: up("trailhead/tree-node/v1\0", {p: d for p, d in leaves.items() if p[0] == a}) for a in {p[0] for p in leaves}}
+    return up(head, inner)
+
+
+def test_trees_differ_only_where_leaves_do(spark, tmp_path):
+    made = lambda rows: spark.createDataFrame([("p", s, hashlib.sha256(k.encode()).hexdigest(), v) for s, k, v in rows], "project_id string, snapshot_id string, path_key string, leaf string")
+    one = [("s1", f"k{i}", "v") for i in range(3000)]
+    two = [("s2", k, "w" if k == "k7" else v) for _, k, v in one if k != "k9"] + [("s2", "new", "v")]
+    same = [("s3", k, v) for _, k, v in one]
+    for rows in (one, two, same, [("s4", "k1", "v")]):
+        ST.put_leaves(made(rows), f"{tmp_path}/leaves", f"{tmp_path}/trees")
+    leaves, trees = ({s: ST.scan(spark, f"{tmp_path}/{t}", "p", s) for s in ("s1", "s2", "s3", "s4", "s5")} for t in ("leaves", "trees"))
+    roots = {s: S.tree_root(trees[s]).first()["source_root"] for s in trees}
+    assert roots["s1"] == roots["s3"] == S.source_root(made(one)).first()["source_root"] and len(set(roots.values())) == 4
+    assert roots["s5"] == S.source_root(made(one).limit(0)).first()["source_root"]
+    changes = lambda a, b: {(r["path_key"], r["status"]) for r in S.tree_changes(leaves[a], leaves[b], trees[a], trees[b]).collect()}
+    key = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert changes("s1", "s2") == {(key("k7"), "changed"), (key("k9"), "removed"), (key("new"), "added")}
+    assert changes("s1", "s3") == set() and len(changes("s1", "s4")) == 2999 and len(changes("s5", "s1")) == 3000
+    # leaves of three prefixes in two manifests; of equal ones none at all
+    plan = S.tree_changes(leaves["s1"], leaves["s2"], trees["s1"], trees["s2"])
+    assert all(p in plan._jdf.queryExecution().optimizedPlan().toString() for p in (key("k7")[:3], key("k9")[:3], key("new")[:3]))
+    assert "parquet" not in S.tree_changes(leaves["s1"], leaves["s3"], trees["s1"], trees["s3"])._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_chunks_hashes_and_one_edit(spark):
     def of(files):
         f = spark.createDataFrame([(p, bytearray(c.encode()), m, "file") for p, c, m in files], "relative_path string, content binary, media_type string, source_type string")
@@ -100,13 +136,13 @@ def test_chunks_hashes_and_one_edit(spark):
     leaf = {r["path_key"]: r["leaf"] for r in leaves.collect()}
     assert leaf[key] == sha("trailhead/source-leaf/v1", key, "file", hashlib.sha256(b"hello\n\nworld\n").hexdigest())
     root = S.source_root(leaves).first()["source_root"]
-    assert root == hashlib.sha256(("source_merkle_v1\0" + "".join(f"{k}\0{v}\0" for k, v in sorted(leaf.items()))).encode()).hexdigest()
+    assert root == plain_root("trailhead/source-root/v2\0", [(k, f"{k}\0{v}\0") for k, v in sorted(leaf.items())])
     assert S.source_root(of(files[::-1])[1]).first()["source_root"] == root
     changed = of([("a.txt", "hello\n\nworld!\n", "text/plain"), files[1]])[1]
     assert sorted(r["status"] for r in S.diff_sources(leaves, changed).collect()) == ["changed", "unchanged"]
     assert S.to_process(S.diff_sources(leaves, changed)).count() == 1
     hashes = sorted(r["chunk_hash"] for r in c.collect())
-    assert S.chunk_set(c).first()["chunk_set_hash"] == hashlib.sha256(("chunk_set_merkle_v1\0" + "".join(h + "\0" for h in hashes)).encode()).hexdigest()
+    assert S.chunk_set(c).first()["chunk_set_hash"] == plain_root("trailhead/chunk-set/v2\0", [(h, h + "\0") for h in hashes])
 
 
 def test_ignore_patterns():
@@ -137,9 +173,9 @@ def test_events(spark, tmp_path):
     once = SF.batch_checksum(ids).first()
     both = SF.batch_checksum(SF.identities(ev.unionByName(ev).select("event_id", "payload_checksum"))).first()
     sums = sorted((json.loads(x)["event_id"], hashlib.sha256(x.strip().encode()).hexdigest()) for x in lines if x)
-    assert once == both and once["checksum"] == hashlib.sha256(("trailhead/event-batch/v1" + "".join(f"\0{i}\0{c}" for i, c in sums)).encode()).hexdigest()
+    assert once == both and once["checksum"] == plain_root("trailhead/event-batch/v2\0", [(hashlib.sha256(i.encode()).hexdigest(), f"\0{i}\0{c}") for i, c in sums])
     w = SF.window_checksum(ids, F.lit("2026-07-13 10:00:00").cast("timestamp"), F.lit("2026-07-13 11:30:00.5").cast("timestamp")).first()["checksum"]
-    assert w == hashlib.sha256(("trailhead/event-window/v1\x002026-07-13T10:00:00Z\x002026-07-13T11:30:00.5Z\0occurred" + "".join(f"\0{i}\0{c}" for i, c in sums)).encode()).hexdigest()
+    assert w == plain_root("trailhead/event-window/v2\x002026-07-13T10:00:00Z\x002026-07-13T11:30:00.5Z\0occurred\0", [(hashlib.sha256(i.encode()).hexdigest(), f"\0{i}\0{c}") for i, c in sums])
     clash = ev.unionByName(ev.withColumn("payload_checksum", F.lit("other")))
     with pytest.raises(Exception, match="conflicting payload"):
         SF.identities(clash).collect()

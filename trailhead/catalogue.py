@@ -121,7 +121,22 @@ def chunk_hash(spark, sf_dir):
     return plain_chunks(spark, sf_dir).select("doc_id", "path_key", "chunk_hash", "text_checksum")
 
 
-@_query(f"WITH {CHUNKS} SELECT source, sha256('chunk_set_merkle_v1' || chr(0) || string_agg(chunk_hash || chr(0), '' ORDER BY chunk_hash)) AS chunk_set_hash FROM chunk GROUP BY source")
+def tree_sql(head: str, out: str, by: str = "") -> str:
+    """The root over rows (by, k: the key in hexadecimal, o: what orders rows, line) of a table tree_rows, in SQL."""
+    also = f"{by}, " if by else ""
+    return f"""tree_leaf AS (
+        SELECT {also}k[1:3] AS p, sha256('trailhead/tree-leaf/v1' || chr(0) || string_agg(line, '' ORDER BY o)) AS d, count(*) AS n FROM tree_rows GROUP BY {also}k[1:3]
+    ), tree_node AS (
+        SELECT {also}p[1:1] AS p, sha256('trailhead/tree-node/v1' || chr(0) || string_agg(p || chr(0) || d || chr(0), '' ORDER BY p)) AS d, sum(n) AS n FROM tree_leaf GROUP BY {also}p[1:1]
+    ), tree_root AS (
+        SELECT {also}sha256({head} || chr(0) || string_agg(p || chr(0) || d || chr(0), '' ORDER BY p)) AS {out}, CAST(sum(n) AS BIGINT) AS n FROM tree_node GROUP BY {by or "ALL"}
+    )"""
+
+
+CHUNK_TREE = "tree_rows AS (SELECT *, chunk_hash AS k, chunk_hash AS o, chunk_hash || chr(0) AS line FROM chunk)"
+
+
+@_query(f"WITH {CHUNKS}, {CHUNK_TREE}, {tree_sql("'trailhead/chunk-set/v2'", 'chunk_set_hash', 'source')} SELECT source, chunk_set_hash FROM tree_root")
 def chunk_set_hash(spark, sf_dir):
     return S.chunk_set(plain_chunks(spark, sf_dir).withColumnRenamed("source_authority", "source"), ["source"])
 
@@ -138,7 +153,10 @@ def source_leaf(spark, sf_dir):
     return S.source_leaves(_docs(spark, sf_dir).withColumn("source_type", F.lit("file")), "p", content="text")
 
 
-@_query(f"WITH {_LEAVES} SELECT sha256('source_merkle_v1' || chr(0) || string_agg(path_key || chr(0) || leaf || chr(0), '' ORDER BY path_key)) AS source_root FROM leaves")
+_LEAF_TREE = "tree_rows AS (SELECT path_key AS k, path_key AS o, path_key || chr(0) || leaf || chr(0) AS line FROM leaves)"
+
+
+@_query(f"WITH {_LEAVES}, {_LEAF_TREE}, {tree_sql("'trailhead/source-root/v2'", 'source_root')} SELECT source_root FROM tree_root")
 def source_root(spark, sf_dir):
     return S.source_root(source_leaf(spark, sf_dir))
 
@@ -516,14 +534,19 @@ def event_identity(spark, sf_dir):
     return SF.identities(e.unionByName(e))
 
 
-@_query(f"WITH {_EVENT_IDS} SELECT sha256('trailhead/event-batch/v1' || string_agg(chr(0) || id || chr(0) || c, '' ORDER BY id)) AS checksum, CAST(count(*) AS BIGINT) AS n_events FROM ids")
+_EVENT_TREE = "tree_rows AS (SELECT event_type, sha256(id) AS k, id AS o, chr(0) || id || chr(0) || c AS line FROM ids{})"
+
+
+@_query(f"WITH {_EVENT_IDS}, {_EVENT_TREE.format('')}, {tree_sql("'trailhead/event-batch/v2'", 'checksum')} SELECT checksum, n AS n_events FROM tree_root")
 def event_batch_checksum(spark, sf_dir):
     return SF.batch_checksum(SF.identities(_event_rows(spark, sf_dir)))
 
 
-@_query(f"""WITH {_EVENT_IDS} SELECT event_type, sha256('trailhead/event-window/v1' || chr(0) || '2024-01-01T00:00:00Z' || chr(0) || '2024-01-15T12:30:00.25Z' || chr(0) || 'occurred'
-        || string_agg(chr(0) || id || chr(0) || c, '' ORDER BY id)) AS checksum, CAST(count(*) AS BIGINT) AS n_events
-    FROM ids WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-15 12:30:00.25' GROUP BY event_type""")
+_WINDOW = " WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-15 12:30:00.25'"
+_WINDOW_HEAD = "'trailhead/event-window/v2' || chr(0) || '2024-01-01T00:00:00Z' || chr(0) || '2024-01-15T12:30:00.25Z' || chr(0) || 'occurred'"
+
+
+@_query(f"WITH {_EVENT_IDS}, {_EVENT_TREE.format(_WINDOW)}, {tree_sql(_WINDOW_HEAD, 'checksum', 'event_type')} SELECT event_type, checksum, n AS n_events FROM tree_root")
 def event_window_checksum(spark, sf_dir):
     start, end = (F.lit(x).cast("timestamp") for x in ("2024-01-01 00:00:00", "2024-01-15 12:30:00.25"))
     e = _event_rows(spark, sf_dir).where((F.col("ts") >= start) & (F.col("ts") < end))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 #: The label that begins each kind of hash.
 SOURCE_LEAF = "trailhead/source-leaf/v1"
-SOURCE_ROOT = "source_merkle_v1"
+SOURCE_ROOT = "trailhead/source-root/v2"
 CHUNK = "trailhead/chunk/v1"
-CHUNK_SET = "chunk_set_merkle_v1"
-EVENT_BATCH = "trailhead/event-batch/v1"
-EVENT_WINDOW = "trailhead/event-window/v1"
+CHUNK_SET = "trailhead/chunk-set/v2"
+EVENT_BATCH = "trailhead/event-batch/v2"
+EVENT_WINDOW = "trailhead/event-window/v2"
 
 
 def _bytes(x: Column | str) -> Column:

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _DRAFTS, _GREEDY, _LEMMA, _TOKENS, CHUNKS, ORACLE_SQL, QUERIES, _docs, _drafts, _n, _query, _table, plain_chunks
+from .catalogue import _DRAFTS, _GREEDY, _LEMMA, _TOKENS, CHUNK_TREE, CHUNKS, ORACLE_SQL, QUERIES, _docs, _drafts, _earlier, _n, _query, _table, plain_chunks, tree_sql
 from .functions import hashing as H
 from .functions import languages as L
 from .functions import russian
@@ -231,7 +231,7 @@ def full_text_stored(spark, sf_dir):
     return best.select(F.col("chunk_id").alias("doc_id"), F.round("raw", 6).alias("raw"))
 
 
-@_query(f"WITH {CHUNKS} SELECT sha256('chunk_set_merkle_v1' || chr(0) || string_agg(chunk_hash || chr(0), '' ORDER BY chunk_hash)) AS chunk_set_hash, CAST(count(*) AS BIGINT) AS n FROM chunk")
+@_query(f"WITH {CHUNKS}, {CHUNK_TREE}, {tree_sql("'trailhead/chunk-set/v2'", 'chunk_set_hash')} SELECT chunk_set_hash, n FROM tree_root")
 def snapshot_bundle(spark, sf_dir):
     store, bundle, other = (_folder(spark, n) for n in ("chunk-store", "bundle", "chunk-store"))
     TB.put(plain_chunks(spark, sf_dir), store)
@@ -603,3 +603,17 @@ def index_substrings(spark, sf_dir):
         rows = rows.select(F.lit(kind).alias("kind"), "doc_id", "raw")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# --- trees over manifests
+
+
+@_query(ORACLE_SQL["manifest_diff"].replace("SELECT coalesce(b.path_key", "SELECT * FROM (SELECT coalesce(b.path_key") + ") WHERE status <> 'unchanged'")
+def manifest_tree_diff(spark, sf_dir):
+    path = _folder(spark, "manifests")
+    docs = _docs(spark, sf_dir).withColumn("source_type", F.lit("file"))
+    for snapshot, files in (("s1", _earlier(docs)), ("s2", docs)):
+        leaves = S.source_leaves(files, "p", content="text").withColumns({"project_id": F.lit("p"), "snapshot_id": F.lit(snapshot)})
+        TB.put_leaves(leaves, f"{path}/leaves", f"{path}/trees")
+    old, new = ((TB.scan(spark, f"{path}/leaves", "p", s), TB.scan(spark, f"{path}/trees", "p", s)) for s in ("s1", "s2"))
+    return S.tree_changes(old[0], new[0], old[1], new[1])

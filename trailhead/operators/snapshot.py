@@ -17,16 +17,36 @@ def source_leaves(files: DataFrame, project: str, path: str = "relative_path", s
     return files.select(key.alias("path_key"), H.source_leaf(key, F.col(source_type), F.col(content)).alias("leaf"))
 
 
-def source_root(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The root over a manifest's leaves in order of their keys."""
+def source_tree(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The tree over a manifest: prefix of path keys, digest, n; its rows are few, whatever the number of leaves."""
     line = F.concat("path_key", F.lit("\0"), "leaf", F.lit("\0"))
-    return D.in_order(leaves, by, ["path_key", "leaf"], line, F.lit(H.SOURCE_ROOT + "\0"), "source_root").drop("n")
+    return D.leaves(leaves, by, F.col("path_key"), ["path_key", "leaf"], line)
+
+
+def source_root(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The root of the tree over a manifest's leaves."""
+    return tree_root(source_tree(leaves, by), by)
+
+
+def tree_root(tree: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return D.root(tree, by, F.lit(H.SOURCE_ROOT + "\0"), "source_root").drop("n")
 
 
 def chunk_set(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The hash of a sorted multiset of chunk hashes."""
+    """The root of the tree over a multiset of chunk hashes."""
     line = F.concat("chunk_hash", F.lit("\0"))
-    return D.in_order(chunks, by, ["chunk_hash"], line, F.lit(H.CHUNK_SET + "\0"), "chunk_set_hash").drop("n")
+    tree = D.leaves(chunks, by, F.col("chunk_hash"), ["chunk_hash"], line)
+    return D.root(tree, by, F.lit(H.CHUNK_SET + "\0"), "chunk_set_hash").drop("n")
+
+
+def tree_changes(before: DataFrame, after: DataFrame, before_tree: DataFrame, after_tree: DataFrame) -> DataFrame:
+    """path_key and status (added, removed or changed) of two manifests, given their trees.
+
+    Only leaves under prefixes whose digests differ are read: none of equal manifests.
+    """
+    prefixes = D.differing(before_tree, after_tree)
+    old, new = (x.where(D.under(F.col("path_key"), prefixes)) for x in (before, after))
+    return diff_sources(old, new).where("status <> 'unchanged'")
 
 
 def diff_sources(before: DataFrame, after: DataFrame) -> DataFrame:

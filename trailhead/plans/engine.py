@@ -39,7 +39,7 @@ def plan_id(query: str) -> str:
 
 @dataclass
 class Engine:
-    """Tables under root: chunks, leaves, index (positional postings), vectors, tombstones; the states of snapshots are metadata documents.
+    """Tables under root: chunks, leaves, trees (over the leaves), index (positional postings), vectors, tombstones; the states of snapshots are metadata documents.
 
     A snapshot is building until all of it is written, then ready with its roots, or failed with a reason; the one that
     becomes active supersedes the one before. The workspace file names each project's active snapshot.
@@ -82,7 +82,7 @@ class Engine:
         try:
             before = self.workspace.load().get(project)
             leaves = S.source_leaves(files, project).withColumns({"project_id": F.lit(project), "snapshot_id": F.lit(snapshot)})
-            ST.put(leaves, self.table("leaves"))
+            ST.put_leaves(leaves, self.table("leaves"), self.table("trees"))
             parsed = P.readable(P.parse(files).select("relative_path", "text", "media_type"))
             c = P.chunk(parsed, project, snapshot)
             c = c.withColumns({"trust_level": F.lit(trust), "language": F.lit(language), "tombstoned": F.lit(False)})
@@ -94,17 +94,20 @@ class Engine:
             ST.put(enrich(c) if enrich else c, self.table("chunks"))
             written = self._scan("chunks", project, snapshot)
             PO.put(written, self.table("index"), [language])
-            now = self._scan("leaves", project, snapshot)
-            old = self._scan("leaves", project, before) if before else now.limit(0)
-            changes = S.diff_sources(old, now)
+            (now, tree), (old, old_tree) = (tuple(self._scan(t, project, s or snapshot) for t in ("leaves", "trees")) for s in (snapshot, before))
+            if not before:
+                old, old_tree = old.limit(0), old_tree.limit(0)
+            changes = S.tree_changes(old, now, old_tree, tree)
             self._mark(changes, project, snapshot)
-            roots = {"source_root": S.source_root(now).first()["source_root"], "chunk_set_hash": S.chunk_set(written).first()["chunk_set_hash"]}
+            roots = {"source_root": S.tree_root(tree).first()["source_root"], "chunk_set_hash": S.chunk_set(written).first()["chunk_set_hash"]}
         except Exception as e:
             self._move(project, snapshot, "failed", f"{type(e).__name__}: {e}"[:500])
             raise
         self._move(project, snapshot, "ready", **roots)
         self.activate(project, snapshot)
-        return {r["status"]: r["n"] for r in changes.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        counts = {r["status"]: r["n"] for r in changes.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        same = (tree.agg(F.sum("n")).first()[0] or 0) - counts.get("added", 0) - counts.get("changed", 0)
+        return counts | ({"unchanged": same} if same else {})
 
     def activate(self, project: str, snapshot: str) -> None:
         """Make a ready snapshot the active one; the one before is superseded."""

@@ -113,14 +113,18 @@ def _identity_line() -> Column:
     return F.concat(F.lit("\0"), "id", F.lit("\0"), "checksum")
 
 
+def _identity_tree(ids: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return D.leaves(ids, by, H.sha256(F.col("id")), ["id", "checksum"], _identity_line())
+
+
 def batch_checksum(ids: DataFrame) -> DataFrame:
     """The checksum of a batch of identities, whatever their order; an empty batch has none."""
-    found = D.in_order(ids, [], ["id", "checksum"], _identity_line(), F.lit(H.EVENT_BATCH), "checksum")
+    found = D.root(_identity_tree(ids), [], F.lit(H.EVENT_BATCH + "\0"), "checksum")
     return found.where("n > 0").withColumnRenamed("n", "n_events")
 
 
 def window_checksum(ids: DataFrame, start: Column, end: Column, basis: str = "occurred", by: tuple[str, ...] = ()) -> DataFrame:
     """The checksum of the identities of a window."""
     fields = (F.concat(F.lit("\0"), x) for x in (H.utc_text(start), H.utc_text(end), F.lit(basis)))
-    found = D.in_order(ids, by, ["id", "checksum"], _identity_line(), F.concat(F.lit(H.EVENT_WINDOW), *fields), "checksum")
+    found = D.root(_identity_tree(ids, by), by, F.concat(F.lit(H.EVENT_WINDOW), *fields, F.lit("\0")), "checksum")
     return found.where("n > 0").withColumnRenamed("n", "n_events")

@@ -50,6 +50,16 @@ def get(spark: SparkSession, path: str, keys: DataFrame, on: Sequence[str]) -> D
     return spark.read.parquet(path).join(keys, list(on))
 
 
+def put_leaves(leaves: DataFrame, path: str, trees: str) -> None:
+    """Write a snapshot's manifest, sorted by key, so that a prefix is in few row groups, and the tree over it."""
+    spark = leaves.sparkSession
+    scope = leaves.select(*SCOPE).distinct()
+    ordered = leaves.repartitionByRange("path_key").sortWithinPartitions(*SCOPE, "path_key")
+    put(ordered, path)
+    written = spark.read.schema(leaves.schema).parquet(path).join(F.broadcast(scope), SCOPE, "left_semi")
+    put(S.source_tree(written, SCOPE).coalesce(1), trees)
+
+
 def put_vectors(df: DataFrame, path: str, version: str, vector: str = "embedding") -> None:
     """Vectors of one embedding version; a vector of another length than the first stops the write."""
     first = df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).limit(1).collect()
