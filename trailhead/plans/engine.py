@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from ..operators import parse as P
 from ..operators import ranking as RK
 from ..operators import retrieve as R
 from ..operators import snapshot as S
+from ..sources import log as LG
 from ..sources import postings as PO
 from ..sources import tables as ST
 from . import seek as SK
@@ -39,18 +39,19 @@ def plan_id(query: str) -> str:
 
 @dataclass
 class Engine:
-    """Tables under root: chunks, leaves, trees (over the leaves), index (positional postings), vectors, tombstones; the states of snapshots are metadata documents.
+    """Tables under root: chunks, leaves, trees (over the leaves), index (positional postings), vectors, tombstones; the states of snapshots and which of them is active are in a log of
+    commits.
 
     A snapshot is building until all of it is written, then ready with its roots, or failed with a reason; the one that
-    becomes active supersedes the one before. The workspace file names each project's active snapshot.
+    becomes active supersedes the one before, in one commit. Several engines may write to one root: of two that begin
+    a snapshot of one name one is refused, and of two activations the later commit holds.
     """
 
     spark: SparkSession
     root: str
 
     def __post_init__(self):
-        self.workspace = ST.Workspace(self.root)
-        self.states = ST.Metadata(self.spark, self.table("states"))
+        self.log = LG.Log(self.spark, self.table("log"))
 
     def table(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -59,15 +60,23 @@ class Engine:
 
     def state(self, project: str, snapshot: str) -> dict | None:
         """A snapshot's state: status, roots, reason; None of an unknown one."""
-        try:
-            return self.states.get("snapshot", project, snapshot)
-        except AnalysisException:  # nothing was ever written
-            return None
+        return self.log.get("snapshot", project, snapshot)
 
     def _move(self, project: str, snapshot: str, to: str, reason: str = "", **roots: str) -> None:
-        known = self.state(project, snapshot)
-        S.move(known["status"], to, roots=all({**known, **roots}.get(k) for k in ROOTS), reason=reason)
-        self.states.put("snapshot", project, snapshot, known | roots | {"status": to, "reason": reason})
+        def decide(state: LG.State) -> LG.Change:
+            known = state["snapshot", project, snapshot]
+            S.move(known["status"], to, roots=all({**known, **roots}.get(k) for k in ROOTS), reason=reason)
+            return LG.Change().put("snapshot", project, snapshot, known | roots | {"status": to, "reason": reason})
+
+        self.log.commit(decide)
+
+    def _begin(self, project: str, snapshot: str) -> None:
+        def decide(state: LG.State) -> LG.Change:
+            if ("snapshot", project, snapshot) in state:
+                raise ValueError(f"there is a snapshot {snapshot} of project {project}")
+            return LG.Change().put("snapshot", project, snapshot, {"status": "building"})
+
+        self.log.commit(decide)
 
     def ingest(self, files: DataFrame, project: str, snapshot: str, language: str = "", trust: str = "project", enrich: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
         """Parse, chunk, hash and write a snapshot, then make it active; counts of sources by change.
@@ -76,11 +85,9 @@ class Engine:
         becomes active before all is written; a snapshot's name is used once. Sources that the snapshot before had and
         this one hasn't get tombstones; those that are back lose theirs. A file whose text can't be read stops it.
         """
-        if self.state(project, snapshot):
-            raise ValueError(f"there is a snapshot {snapshot} of project {project}")
-        self.states.put("snapshot", project, snapshot, {"status": "building"})
+        self._begin(project, snapshot)
         try:
-            before = self.workspace.load().get(project)
+            before = (self.log.get("active", project, "") or {}).get("snapshot")
             leaves = S.source_leaves(files, project).withColumns({"project_id": F.lit(project), "snapshot_id": F.lit(snapshot)})
             ST.put_leaves(leaves, self.table("leaves"), self.table("trees"))
             parsed = P.readable(P.parse(files).select("relative_path", "text", "media_type"))
@@ -111,12 +118,19 @@ class Engine:
 
     def activate(self, project: str, snapshot: str) -> None:
         """Make a ready snapshot the active one; the one before is superseded."""
-        known = self.state(project, snapshot)
-        if not known or known["status"] != "ready":
-            raise ValueError(f"snapshot {snapshot} isn't ready")
-        before = self.workspace.activate(project, snapshot)
-        if before and before != snapshot and self.state(project, before):
-            self._move(project, before, "superseded")
+
+        def decide(state: LG.State) -> LG.Change:
+            known = state.get(("snapshot", project, snapshot))
+            if not known or known["status"] != "ready":
+                raise ValueError(f"snapshot {snapshot} isn't ready")
+            out = LG.Change().put("active", project, "", {"snapshot": snapshot})
+            before = state.get(("active", project, ""), {}).get("snapshot")
+            if before and before != snapshot and (old := state.get(("snapshot", project, before))):
+                S.move(old["status"], "superseded")
+                out.put("snapshot", project, before, old | {"status": "superseded", "reason": ""})
+            return out
+
+        self.log.commit(decide)
 
     # --- tombstones
 
@@ -161,10 +175,10 @@ class Engine:
     # --- reading
 
     def active(self, project: str) -> str:
-        snapshot = self.workspace.load().get(project)
-        if snapshot is None:
+        known = self.log.get("active", project, "")
+        if known is None:
             raise LookupError(f"project {project} has no active snapshot")
-        return snapshot
+        return known["snapshot"]
 
     def _scan(self, name: str, project: str, snapshot: str) -> DataFrame:
         return ST.scan(self.spark, self.table(name), project, snapshot)
