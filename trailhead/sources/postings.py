@@ -1,6 +1,6 @@
 """A positional index of chunks: for every word of a snapshot, where it stands, in blocks of delta-coded lists.
 
-A segment is what one task reads at a time, some 16 MB of text; its chunks are numbered from 0. A row of the index is the
+A segment is what one task reads at a time, some 12 MB of text; its chunks are numbered from 0. A row of the index is the
 block of one word in one segment: how many chunks have it, how many times, the greatest part of a score that a chunk of
 the block can get from the word, and three lists as one string of variable-length numbers: of each chunk the distance
 of its number from the one before, how often the word stands in it and how many words it has; then the places
@@ -35,7 +35,7 @@ from ..functions import languages as L
 from ..functions import text as X
 
 SCOPE = ["project_id", "snapshot_id"]
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 12 << 20
 ROW_GROUP_BYTES = 1 << 20
 #: Folders that words are dealt to, and tasks that one folder's segments are; an index is read with those it was written with.
 BUCKETS = 16
@@ -69,8 +69,9 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     large = np.flatnonzero(values > 0x7F)
     for bits in (7, 14, 21, 28):
         size[large] += values[large] >> bits > 0
-    begins = np.cumsum(size, dtype=np.int64) - size
-    out = np.empty(int(begins[-1]) + int(size[-1]) if len(values) else 0, np.uint8)
+    begins = np.cumsum(size, dtype=np.int32 if 5 * len(values) < 1 << 31 else np.int64)
+    out = np.empty(int(begins[-1]) if len(values) else 0, np.uint8)
+    begins -= size
     out[begins] = values & 0x7F
     for k in range(1, 5):
         out[begins[large] + k - 1] |= 0x80
@@ -101,7 +102,7 @@ def decode(n: int, cf: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _steps(values: np.ndarray, opens: np.ndarray) -> np.ndarray:
     """Distances from the value before; the value itself where a list opens."""
-    out = np.diff(values, prepend=0)
+    out = np.diff(values, prepend=values.dtype.type(0))
     out[opens] = values[opens]
     return out
 
@@ -111,32 +112,37 @@ def _segment(number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     tokens = pc.split_pattern(texts, " ")
     size = np.diff(tokens.offsets.to_numpy())
     words = tokens.flatten().dictionary_encode()
-    codes = words.indices.to_numpy()
-    order = np.argsort(codes, kind="stable")
-    doc = np.repeat(np.arange(len(size)), size)[order]
-    place = (np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size))[order]
+    del tokens
+    codes, names = words.indices.to_numpy(), words.dictionary
+    # 32-bit integers: a segment is a few million words
+    order = np.argsort(codes, kind="stable").astype(np.int32)
+    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+    place = order - np.repeat((np.cumsum(size) - size).astype(np.int32), size)[order]
     codes = codes[order]
+    del words, order
     opens = np.ones(len(codes), bool)
     opens[1:] = (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(opens)  # of each posting, its first occurrence
-    tf, docs = np.diff(at, append=len(codes)), doc[at]
-    heads = np.flatnonzero(np.diff(codes[at], prepend=-1))  # of each block, its first posting
-    n, cf, sizes = np.diff(heads, append=len(at)), np.diff(at[heads], append=len(codes)), size[docs]
+    at = np.flatnonzero(opens).astype(np.int32)  # of each posting, its first occurrence
+    tf, docs = np.diff(at, append=np.int32(len(codes))), doc[at]
+    heads = np.flatnonzero(np.diff(codes[at], prepend=-1)).astype(np.int32)  # of each block, its first posting
+    n, cf, sizes = np.diff(heads, append=np.int32(len(at))), np.diff(at[heads], append=np.int32(len(codes))), size[docs]
     most = np.maximum.reduceat(part(tf, sizes), heads) if len(heads) else np.empty(0)
     # the lists of a block one after another: chunks, counts, sizes, places
     long = 3 * n + cf
-    begin = np.cumsum(long) - long
-    posting = np.repeat(begin - heads, n) + np.arange(len(at))
-    each = np.empty(int(long.sum()), np.int64)
+    begin = np.cumsum(long, dtype=np.int32) - long
+    posting = np.repeat(begin - heads, n) + np.arange(len(at), dtype=np.int32)
+    each = np.empty(int(long.sum()), np.int32)
     each[posting], each[posting + np.repeat(n, n)], each[posting + np.repeat(2 * n, n)] = _steps(docs, heads), tf, sizes
-    each[np.repeat(begin + 3 * n - at[heads], cf) + np.arange(len(codes))] = _steps(place, at)
+    each[np.repeat(begin + 3 * n - at[heads], cf) + np.arange(len(codes), dtype=np.int32)] = _steps(place, at)
+    token = codes[at[heads]]
+    del doc, place, codes, docs, posting
     data, length = packed(each)
     lengths = np.add.reduceat(length.astype(np.int64), begin) if len(heads) else np.empty(0, np.int64)
     offsets = np.concatenate([[0, 0], np.cumsum(lengths)]).astype(np.int32)
     rows = len(heads) + 1
     columns = [
-        pa.concat_arrays([pa.array([""]), words.dictionary.take(pa.array(codes[at][heads])).cast(pa.string())]),
-        pa.array(np.full(rows, number)), pa.array(np.append(len(size), n).astype(np.int32)), pa.array(np.append(len(codes), cf).astype(np.int64)), pa.array(np.append(0.0, most)),
+        pa.concat_arrays([pa.array([""]), names.take(pa.array(token)).cast(pa.string())]),
+        pa.array(np.full(rows, number)), pa.array(np.append(len(size), n).astype(np.int32)), pa.array(np.append(int(cf.sum()), cf).astype(np.int64)), pa.array(np.append(0.0, most)),
         pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
         pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * rows], pa.int32()), ids),
     ]
@@ -213,6 +219,9 @@ class Index:
         return f"{self.path}/{name}/project_id={self.project}/snapshot_id={self.snapshot}"
 
     def _table(self, name: str) -> DataFrame:
+        if not self._exists(f"{self.path}/{name}"):
+            # nothing was written: of an empty table
+            return self.spark.createDataFrame([], _SHAPES[name])
         rows = self.spark.read.schema(_SHAPES[name]).parquet(f"{self.path}/{name}")
         return rows.where((F.col("project_id") == self.project) & (F.col("snapshot_id") == self.snapshot))
 
@@ -235,7 +244,7 @@ class Index:
 
     def of_lemmas(self, lemmas: Sequence[str], adapter: L.Adapter) -> list[str]:
         """Words of the snapshot that share a lemma with those given: from the written lemmas, or else from the vocabulary."""
-        if adapter.tag and self._has(adapter.tag):
+        if adapter.tag and self._exists(f"{self.folder('lemmas')}/tag={adapter.tag}"):
             rows = self._table("lemmas").where(F.col("tag") == adapter.tag).where(among(F.col("lemma"), lemmas))
         else:
             rows = self.words().where(F.arrays_overlap(adapter.lemmas(F.col("token")), F.array(*map(F.lit, lemmas)).cast("array<string>")))
@@ -249,8 +258,8 @@ class Index:
         norm = adapter.norm(F.col("token"))
         return {r["token"]: r["norm"] for r in self.words().select("token", norm.alias("norm")).where(F.col("norm").isin(list(forms))).collect()}
 
-    def _has(self, tag: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder('lemmas')}/tag={tag}")
+    def _exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def chunk_ids(self, hits: DataFrame) -> DataFrame:
