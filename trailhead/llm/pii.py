@@ -17,7 +17,7 @@ is a permutation of the strings of one format. Letters, digits, case, script, vo
   with new check digits.
 - Dates of birth: the year within its block of twenty (leap years to leap years), the month among those of its length,
   the day among the first twelve or the next sixteen, each by a keyed amount; layout and validity stay.
-- Names, by form and context: after a title; a listed given name before a surname, in capitals, too; two capitalised
+- Names, by form and surrounding words: after a title; a listed given name before a surname, in capitals, too; two capitalised
   words of which the second has a surname's ending; after words that introduce a name. Initials, particles,
   apostrophes, hyphens and all Latin, Cyrillic and Greek letters are read. Listed given names get others of their
   gender and script, by a keyed cycle through the list; other words go through the network, again if that gives a
