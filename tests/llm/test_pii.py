@@ -201,3 +201,18 @@ def test_plan_is_native_and_empty_table(spark):
     got = pii.pseudonymize(docs, KEY)
     assert got.count() == 0
     assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_long_runs_of_letters_and_apostrophes_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        rows = [(1, run * (n // len(run)) + " Dr. Anna Weber") for run in ("A'", "Ab-", "a’B")]
+        began = time.perf_counter()
+        out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+        assert all("Weber" not in r["text"] and len(r["text"]) > n - 3 for r in out)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    # 500 times the text; with time that grows with its square this would take hours
+    assert seconds(500_000) < 60

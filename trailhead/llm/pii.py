@@ -115,8 +115,9 @@ PATTERNS = {
     "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,8}(?:[ .-]\d{2,5}){0,3}|\+\d{1,3}(?:[ .-]\d{1,8}){1,5}|\+\d{8,15}+|\(\d{3}\) ?\d{3}[ .-]\d{4}"
     r"|\(0\d{1,4}\) ?\d{3,8}(?:[ -]\d{2,5}){0,2}|0\d{1,4}[ /-]\d{3,8}(?:[ -]\d{2,5}){0,2}|\d{3}([.-])\d{3}\3\d{4})(?![\w])(?!\.\d)",
     "name": rf"(?:(?:{_TITLE})\.? {_INITIALS}{_INNER}{_WORD}(?: {_INITIALS}{_INNER}{_WORD}){{0,2}}+"
-    # two words at least, and only then which ones
-    rf"|(?=\p{{L}}[\p{{L}}'’-]*+ (?:{'|'.join(PARTICLES)}|\p{{Lu}}))(?:(?:{_GIVEN})(?:-{_UPPER}\p{{L}}++)? {_INITIALS}{_INNER}{_WORD}"
+    # two words at least, and only then which ones; a first word of more than 61 characters is none, as this is looked for anew
+    # behind every apostrophe of a long run
+    rf"|(?=\p{{L}}[\p{{L}}'’-]{{0,60}}+ (?:{'|'.join(PARTICLES)}|\p{{Lu}}))(?:(?:{_GIVEN})(?:-{_UPPER}\p{{L}}++)? {_INITIALS}{_INNER}{_WORD}"
     rf"|{_UPPER}\p{{Ll}}++ {_INITIALS}{_UPPER}\p{{L}}*(?:{'|'.join(ENDINGS)})(?<! {_UPPER}\p{{L}}{{0,3}})"
     rf"|{_after(INTRODUCED)}{_WORD} {_INITIALS}{_INNER}{_WORD}))(?![\p{{L}}\p{{N}}])",
 }
