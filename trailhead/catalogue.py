@@ -440,8 +440,12 @@ def dense_filtered(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
     q = e.where("vec_id = 0").select("embedding", "label").first()
     hits = R.dense(e, q[0], 50, key="vec_id")
-    rows = e.select("vec_id", "label").join(F.broadcast(hits), "vec_id").where(F.col("label") == q[1])
-    return M.normalize(rows).select("vec_id", "label", F.round("norm", 6).alias("norm"))
+    # labels stand for languages, which a filter knows
+    name = F.col("vec_id").cast("string")
+    place = [name.alias("source_id"), F.lit(0).alias("span_start"), F.lit(1).alias("span_end"), name.alias("text_checksum"), F.lit("external").alias("trust_level")]
+    rows = e.select(F.col("vec_id").alias("chunk_id"), *place, F.col("label").cast("string").alias("language"))
+    found = R.of_hits(rows, hits.withColumnRenamed("vec_id", "chunk_id"), "dense", ["dense_similarity"], FI.Filters(language=str(q[1])))
+    return found.select(F.col("chunk_id").alias("vec_id"), F.lit(q[1]).cast(e.schema["label"].dataType).alias("label"), F.round(F.element_at("contributions", 1)["norm"], 6).alias("norm"))
 
 
 @_query("SELECT doc_id, CAST(strlen(text) + 100 * contains(lower(text), 'of the')::INT AS DOUBLE) AS score FROM documents")
@@ -661,8 +665,8 @@ def lifecycle_phase(spark, sf_dir):
 @_query("""SELECT CAST(count(*) AS BIGINT) AS n_chunks, CAST(count(DISTINCT source) AS BIGINT) AS n_sources, CAST(sum(length(text)) AS BIGINT) AS n_chars,
     CAST(count(*) FILTER (lang = 'en') AS BIGINT) AS n_english FROM documents""")
 def metrics_counts(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return d.agg(F.count("*").alias("n_chunks"), F.count_distinct("source").alias("n_sources"), F.sum(F.length("text")).alias("n_chars"), F.count_if(F.col("lang") == "en").alias("n_english"))
+    found = S.counters(_docs(spark, sf_dir), "source", n_english=F.col("lang") == "en")
+    return found.select(F.col("chunks").alias("n_chunks"), F.col("sources").alias("n_sources"), F.col("chars").alias("n_chars"), "n_english")
 
 
 @_query("""WITH r AS (
@@ -670,8 +674,9 @@ def metrics_counts(spark, sf_dir):
     ) SELECT source, string_agg(reason, ',' ORDER BY reason) AS reasons FROM (SELECT DISTINCT source, reason FROM r) GROUP BY source""")
 def eval_reasons(spark, sf_dir):
     d = _docs(spark, sf_dir).where(F.col("text").contains("the"))
-    r = F.array(F.lit("exact_phrase"), F.when(F.col("text").contains("password"), "token_term").otherwise("exact_phrase"))
-    each = d.select("source", F.explode(r).alias("reason"))
+    why = F.array(F.when(F.col("text").contains("password"), "token_term").otherwise("exact_phrase"))
+    found = F.array(M.contribution("exact", F.lit(1.0), F.lit(1.0), ["exact_phrase"]), M.contribution("term", F.lit(1.0), F.lit(1.0), why))
+    each = d.select("source", F.explode(M.reasons(found)).alias("reason"))
     return each.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
@@ -752,7 +757,8 @@ def rune_spans(spark, sf_dir):
 @_query("SELECT conv_id, max_by(text, turn) AS last_text, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
 def last_wins(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last_text"), F.count("*").alias("n"))
+    counts = c.groupBy("conv_id").agg(F.count("*").alias("n"))
+    return M.last_wins(c, ["conv_id"], ["turn"], ["text"]).withColumnRenamed("text", "last_text").join(counts, "conv_id").select("conv_id", "last_text", "n")
 
 
 @_query("""SELECT path_key, status FROM (

@@ -5,6 +5,8 @@ What a store has to hold is written to the session's shared folder first and rea
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,10 +35,31 @@ from .sources import tables as TB
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
+_MADE: list[str] = []
+
+
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a store: under spark.checkpoint.dir, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a store: under spark.checkpoint.dir, or in a local session without one the warehouse.
+
+    It is deleted when the driver ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if not _MADE:
+        atexit.register(_delete_all, spark)
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def _delete_all(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):
+        if spark.sparkContext._jsc and not spark.sparkContext._jsc.sc().isStopped():
+            for path in _MADE:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 # --- files and events
@@ -292,7 +315,7 @@ def history_newest(spark, sf_dir):
     UNION ALL SELECT 'unchanged', count(*) FROM a SEMI JOIN b USING (doc_id)
 """)
 def ingest_changes(spark, sf_dir):
-    engine = Engine(spark, _folder(spark, "engine").removeprefix("file:"))
+    engine = _engine(spark)
     files = _docs(spark, sf_dir).select("doc_id", "relative_path", F.col("text").cast("binary").alias("content"), "media_type", F.lit("file").alias("source_type"))
     engine.ingest(files.where("doc_id % 3 <> 0").drop("doc_id"), "p", "s1")
     counts = engine.ingest(files.where("doc_id % 4 <> 0").drop("doc_id"), "p", "s2")
@@ -449,7 +472,7 @@ def _files(spark, sf_dir, keep: Column) -> DataFrame:
 
 
 def _engine(spark) -> Engine:
-    return Engine(spark, _folder(spark, "engine").removeprefix("file:"))
+    return Engine(spark, _folder(spark, "engine"))
 
 
 @_query("SELECT * FROM (VALUES ('s1', 'superseded', true, ''), ('s2', 'ready', true, ''), ('s3', 'failed', false, 'broken')) t(snapshot_id, status, sealed, reason)")

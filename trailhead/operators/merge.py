@@ -61,6 +61,12 @@ def merge(candidates: DataFrame, keep: Sequence[str] = ("chunk_id",), order: str
     return scored(out.withColumn("contributions", F.flatten(F.transform("parts", lambda p: p["c"]))).drop("parts"))
 
 
+def last_wins(df: DataFrame, by: Sequence[str], at: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """by and keep of the row of each key that comes last by the columns at."""
+    last = df.groupBy(*by).agg(F.max_by(F.struct(*keep), F.struct(*at)).alias("_last"))
+    return last.select(*by, "_last.*")
+
+
 def total_order() -> list[Column]:
     """Best score, then retriever, then chunk, source and place."""
     return [F.desc("merged_score"), F.asc("priority"), F.asc("chunk_id"), F.asc("source_id"), F.asc("span_start")]

@@ -69,6 +69,12 @@ def to_process(diff: DataFrame) -> DataFrame:
     return diff.where(F.col("status").isin("added", "changed")).select("path_key")
 
 
+def counters(chunks: DataFrame, source: str = "source_id", **more: Column) -> DataFrame:
+    """One row: chunks, sources, chars, and how many chunks each further condition holds for."""
+    each = [F.count_if(c).alias(name) for name, c in more.items()]
+    return chunks.agg(F.count("*").alias("chunks"), F.count_distinct(source).alias("sources"), F.sum(F.length("text")).alias("chars"), *each)
+
+
 def lifecycle(status: Column, chunks: Column, tombstoned: Column, last_failed: Column, rebuilding: Column, active: Column) -> Column:
     """struct<phase, search_available, reasons> of a project's index."""
     empty = F.coalesce(active, F.lit("")).isin("") | (chunks == 0)

@@ -150,8 +150,7 @@ class Engine:
     def tombstones(self, project: str) -> DataFrame:
         """Sources that are removed now: the last mark of each counts."""
         rows = self.spark.read.schema("source_id string, removed boolean, why string, at timestamp, project_id string").parquet(self.table("tombstones")).where(F.col("project_id") == project)
-        last = rows.groupBy("source_id").agg(F.max_by(F.struct("removed", "why"), F.struct("at", "removed")).alias("x"))
-        return last.where("x.removed").select("source_id", "x.why")
+        return M.last_wins(rows, ["source_id"], ["at", "removed"], ["removed", "why"]).where("removed").select("source_id", "why")
 
     def embed(self, project: str, version: str = "local-hash-v1", kind: str = "digest") -> None:
         """Write vectors of the active snapshot's chunks."""
@@ -280,5 +279,4 @@ class Engine:
 
     def metrics(self, project: str) -> dict[str, int]:
         """Counters of the active snapshot."""
-        c = self.chunks(project).agg(F.count("*").alias("chunks"), F.count_distinct("source_id").alias("sources"), F.sum(F.length("text")).alias("chars")).first()
-        return c.asDict()
+        return S.counters(self.chunks(project)).first().asDict()
