@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from trailhead.operators import filters as FI
 from trailhead.operators.pack import Budget
+from trailhead.plans import engine as E
 from trailhead.plans import runs
 from trailhead.plans.control import Policy
 from trailhead.plans.engine import Engine
@@ -153,3 +154,27 @@ def test_conflicts_are_exact(spark):
     got = SE.conflicts(events.unionByName(more).unionByName(more))
     assert got.columns == ["event_id", "versions"] and sorted(r["event_id"] for r in got.collect()) == list(range(4000))
     assert got.where("versions < 2").count() == 0
+
+
+def test_an_ingest_parses_changed_files_only(spark, tmp_path, monkeypatch):
+    given = []
+    parse = E.P.parse
+    monkeypatch.setattr(E.P, "parse", lambda df: given.append(df.select("relative_path").collect()) or parse(df))
+    e = Engine(spark, str(tmp_path))
+    first = {f"f{i}": f"red boat {i}\n\nblue boat {i}\n" for i in range(12)} | {"empty": ""}
+    second = first | {"f3": "green boat", "new": "white boat"}
+    del second["f5"]
+    rows = lambda: sorted(map(str, e.chunks("p").drop("snapshot_id").select(sorted(set(e.chunks("p").columns) - {"snapshot_id"})).collect()))
+    found = lambda q: {r["text"] for r in e.search("p", q, "full-text", 50).collect()}
+    e.ingest(files(spark, first), "p", "s1")
+    assert e.ingest(files(spark, second), "p", "s2") == {"added": 1, "changed": 1, "removed": 1, "unchanged": 11}
+    assert sorted(r[0] for r in given[1]) == ["f3", "new"] and e.state("p", "s2")["parsed"] == 2 and e.state("p", "s1")["parsed"] == 13
+    copied = rows()
+    assert len(copied) == 22 and found("green") == {"green boat"} and found("white") == {"white boat"} and len(found("red")) == 10
+    assert e.ingest(files(spark, second), "p", "s3") == {"unchanged": 13} and e.state("p", "s3")["parsed"] == 0 and rows() == copied
+    # another way of making it: all are parsed, and again when it goes back
+    e.ingest(files(spark, second), "p", "s4", language="en", enrich=lambda c: c.withColumn("region", F.lit("x")))
+    assert e.state("p", "s4")["parsed"] == 13 and e.chunks("p").where("language <> 'en' OR region <> 'x'").count() == 0
+    e.ingest(files(spark, second), "p", "s5")
+    assert e.state("p", "s5")["parsed"] == 13 and rows() == copied
+    assert all(len({e.state("p", s)[k] for s in ("s2", "s3", "s5")}) == 1 for k in E.ROOTS)

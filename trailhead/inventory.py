@@ -322,6 +322,19 @@ def ingest_changes(spark, sf_dir):
     return spark.createDataFrame(sorted(counts.items()), "status string, n long")
 
 
+@_query(f"""
+    WITH {CHUNKS}, n AS (SELECT count_if(doc_id % 3 = 0 OR doc_id % 7 = 0) AS n_parsed FROM documents WHERE doc_id % 4 <> 0 AND text IS NOT NULL)
+    SELECT 's2' AS snapshot_id, chunk_id, span_start, span_end, text_checksum, n_parsed FROM chunk, n WHERE doc_id % 4 <> 0
+""")
+def ingest_incremental(spark, sf_dir):
+    """A snapshot whose unchanged files' chunks are copied: two thirds are known, a seventh of them had another text."""
+    engine = _engine(spark)
+    engine.ingest(_files(spark, sf_dir, F.col("doc_id") % 3 != 0, F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text"))), "p", "s1")
+    engine.ingest(_files(spark, sf_dir, (F.col("doc_id") % 4 != 0) & F.col("text").isNotNull()), "p", "s2")
+    found = engine.chunks("p").select("snapshot_id", "chunk_id", "span_start", "span_end", "text_checksum")
+    return found.withColumn("n_parsed", F.lit(engine.state("p", "s2")["parsed"]).cast("long"))
+
+
 # --- functions
 
 
@@ -466,9 +479,9 @@ def quota_decisions(spark, sf_dir):
 # --- the engine
 
 
-def _files(spark, sf_dir, keep: Column) -> DataFrame:
+def _files(spark, sf_dir, keep: Column, text: Column | None = None) -> DataFrame:
     d = _docs(spark, sf_dir).where(keep)
-    return d.select("relative_path", F.col("text").cast("binary").alias("content"), "media_type", F.lit("file").alias("source_type"))
+    return d.select("relative_path", (F.col("text") if text is None else text).cast("binary").alias("content"), "media_type", F.lit("file").alias("source_type"))
 
 
 def _engine(spark) -> Engine:

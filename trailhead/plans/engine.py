@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashing as H
 from ..functions import languages as L
 from ..functions import text as X
 from ..functions import vectors as V
@@ -39,7 +40,7 @@ def plan_id(query: str) -> str:
 
 @dataclass
 class Engine:
-    """Tables under root: chunks, leaves, trees (over the leaves), index (positional postings), vectors, tombstones; the states of snapshots and which of them is active are in a log of
+    """Tables under root: chunks, leaves, trees (over the leaves), changes, index (positional postings), vectors, tombstones; the states of snapshots and which of them is active are in a log of
     commits.
 
     A snapshot is building until all of it is written, then ready with its roots, or failed with a reason; the one that
@@ -62,11 +63,11 @@ class Engine:
         """A snapshot's state: status, roots, reason; None of an unknown one."""
         return self.log.get("snapshot", project, snapshot)
 
-    def _move(self, project: str, snapshot: str, to: str, reason: str = "", **roots: str) -> None:
+    def _move(self, project: str, snapshot: str, to: str, reason: str = "", **found: object) -> None:
         def decide(state: LG.State) -> LG.Change:
             known = state["snapshot", project, snapshot]
-            S.move(known["status"], to, roots=all({**known, **roots}.get(k) for k in ROOTS), reason=reason)
-            return LG.Change().put("snapshot", project, snapshot, known | roots | {"status": to, "reason": reason})
+            S.move(known["status"], to, roots=all({**known, **found}.get(k) for k in ROOTS), reason=reason)
+            return LG.Change().put("snapshot", project, snapshot, known | found | {"status": to, "reason": reason})
 
         self.log.commit(decide)
 
@@ -84,37 +85,66 @@ class Engine:
         files: relative_path, content, media_type, source_type. enrich may fill the chunks' metadata columns. Nothing
         becomes active before all is written; a snapshot's name is used once. Sources that the snapshot before had and
         this one hasn't get tombstones; those that are back lose theirs. A file whose text can't be read stops it.
+
+        Only files that are new or differ from the active snapshot are parsed: the chunks of the others are copied from
+        there, as they would come out the same. All are parsed if language, trust or the chunkers differ from those it was
+        made with, or where either snapshot is enriched. What changed is in the table changes, how many files were
+        parsed in the snapshot's state. Hashes and the index are made over all of it.
         """
+        made = {"language": language, "trust": trust, "chunkers": [P.SECTIONS, P.PARAGRAPHS], "enriched": enrich is not None}
         self._begin(project, snapshot)
         try:
             before = (self.log.get("active", project, "") or {}).get("snapshot")
-            leaves = S.source_leaves(files, project).withColumns({"project_id": F.lit(project), "snapshot_id": F.lit(snapshot)})
-            ST.put_leaves(leaves, self.table("leaves"), self.table("trees"))
-            parsed = P.readable(P.parse(files).select("relative_path", "text", "media_type"))
-            c = P.chunk(parsed, project, snapshot)
-            c = c.withColumns({"trust_level": F.lit(trust), "language": F.lit(language), "tombstoned": F.lit(False)})
-            for name in ("sense_ids", "concept_ids", "attestation_ids"):
-                c = c.withColumn(name, F.array().cast("array<string>"))
-            for name in ("register", "region", "time_period", "lexicon_source_id", "source_authority"):
-                c = c.withColumn(name, F.lit("").cast("string"))
-            c = c.withColumn("temporal", F.lit(None).cast("struct<start:timestamp,end:timestamp,basis:string,ingested_at:timestamp>"))
-            ST.put(enrich(c) if enrich else c, self.table("chunks"))
-            written = self._scan("chunks", project, snapshot)
-            PO.put(written, self.table("index"), [language])
+            scope = {"project_id": F.lit(project), "snapshot_id": F.lit(snapshot)}
+            ST.put_leaves(S.source_leaves(files, project).withColumns(scope), self.table("leaves"), self.table("trees"))
             (now, tree), (old, old_tree) = (tuple(self._scan(t, project, s or snapshot) for t in ("leaves", "trees")) for s in (snapshot, before))
             if not before:
                 old, old_tree = old.limit(0), old_tree.limit(0)
-            changes = S.tree_changes(old, now, old_tree, tree)
+            ST.put(S.tree_changes(old, now, old_tree, tree).withColumns(scope), self.table("changes"))
+            changes = self.changes(project, snapshot)
+            same_way = bool(before) and not enrich and self.state(project, before).get("made") == made
+            some = files
+            if same_way:
+                key = H.path_key(project, F.col("relative_path"))
+                some = files.withColumn("_key", key).join(S.to_process(changes).withColumnRenamed("path_key", "_key"), "_key", "left_semi").drop("_key")
+            c = self._chunked(some, project, snapshot, language, trust)
+            if enrich:
+                c = enrich(c)
+            if same_way:
+                gone = changes.where(F.col("status").isin("changed", "removed")).select("path_key")
+                kept = self._scan("chunks", project, before).join(gone, "path_key", "left_anti")
+                c = c.unionByName(kept.withColumn("snapshot_id", F.lit(snapshot)))
+            ST.put(c, self.table("chunks"))
+            written = self._scan("chunks", project, snapshot)
+            PO.put(written, self.table("index"), [language])
             self._mark(changes, project, snapshot)
             roots = {"source_root": S.tree_root(tree).first()["source_root"], "chunk_set_hash": S.chunk_set(written).first()["chunk_set_hash"]}
+            counts = {r["status"]: r["n"] for r in changes.groupBy("status").agg(F.count("*").alias("n")).collect()}
+            total = tree.agg(F.sum("n")).first()[0] or 0
+            touched = counts.get("added", 0) + counts.get("changed", 0)
         except Exception as e:
             self._move(project, snapshot, "failed", f"{type(e).__name__}: {e}"[:500])
             raise
-        self._move(project, snapshot, "ready", **roots)
+        self._move(project, snapshot, "ready", **roots, made=made, parsed=touched if same_way else total)
         self.activate(project, snapshot)
-        counts = {r["status"]: r["n"] for r in changes.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        same = (tree.agg(F.sum("n")).first()[0] or 0) - counts.get("added", 0) - counts.get("changed", 0)
-        return counts | ({"unchanged": same} if same else {})
+        return counts | ({"unchanged": total - touched} if total > touched else {})
+
+    def changes(self, project: str, snapshot: str) -> DataFrame:
+        """path_key and status (added, changed or removed) of what a snapshot's ingest found."""
+        rows = self.spark.read.schema("path_key string, status string, project_id string, snapshot_id string").parquet(self.table("changes"))
+        return rows.where((F.col("project_id") == project) & (F.col("snapshot_id") == snapshot)).select("path_key", "status")
+
+    @staticmethod
+    def _chunked(files: DataFrame, project: str, snapshot: str, language: str, trust: str) -> DataFrame:
+        """The chunks of files, with empty metadata."""
+        parsed = P.readable(P.parse(files).select("relative_path", "text", "media_type"))
+        c = P.chunk(parsed, project, snapshot)
+        c = c.withColumns({"trust_level": F.lit(trust), "language": F.lit(language), "tombstoned": F.lit(False)})
+        for name in ("sense_ids", "concept_ids", "attestation_ids"):
+            c = c.withColumn(name, F.array().cast("array<string>"))
+        for name in ("register", "region", "time_period", "lexicon_source_id", "source_authority"):
+            c = c.withColumn(name, F.lit("").cast("string"))
+        return c.withColumn("temporal", F.lit(None).cast("struct<start:timestamp,end:timestamp,basis:string,ingested_at:timestamp>"))
 
     def activate(self, project: str, snapshot: str) -> None:
         """Make a ready snapshot the active one; the one before is superseded."""
