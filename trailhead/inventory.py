@@ -31,6 +31,7 @@ from .plans.engine import Engine
 from .sources import files as SF
 from .sources import postings as PO
 from .sources import tables as TB
+from .streaming import identity as SI
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -128,6 +129,24 @@ def event_files(spark, sf_dir):
     return SF.events(spark, root).select("event_id", "payload_checksum")
 
 
+@_query("""
+    WITH p AS (SELECT CAST(user_id AS VARCHAR) AS event_id, sha256(event_type || ':' || CAST(user_id % 3 AS VARCHAR)) AS payload_checksum, min(ts) AS first_at FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2),
+    v AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY first_at, payload_checksum) AS version FROM p)
+    SELECT event_id, payload_checksum, version, version > 1 AS conflict, false AS late FROM v
+""")
+def stream_identities(spark, sf_dir):
+    """Events by user as a stream in three runs, a range of time after another, each going on at the checkpoint."""
+    root = _folder(spark, "event-stream")
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("event_id"), H.sha256(F.concat("event_type", F.lit(":"), (F.col("user_id") % 3).cast("string"))).alias("payload_checksum"), F.col("ts").cast("timestamp").alias("ingested_at"))
+    low, high = e.agg(F.min("ingested_at"), F.max("ingested_at")).first()
+    for k in range(3):
+        third = F.coalesce(F.floor(3 * (F.unix_micros("ingested_at") - F.unix_micros(F.lit(low))) / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1)), F.lit(0))
+        e.where(third == k).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{root}/in")
+        SI.run_available(spark, SI.stream_versions(stream), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
 @_query("SELECT 'text/plain' AS media_type, 'file' AS source_type, CAST(sum(strlen(source) + 1) AS BIGINT) AS n_bytes FROM documents")
 def document_files(spark, sf_dir):
     root = _folder(spark, "document-files")
