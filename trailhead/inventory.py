@@ -28,6 +28,7 @@ from .plans import language as Q
 from .plans import seek as SK
 from .plans.compile import compile_query
 from .plans.engine import Engine
+from .sources import connector as CN
 from .sources import files as SF
 from .sources import postings as PO
 from .sources import tables as TB
@@ -115,6 +116,10 @@ def event_lines(spark, sf_dir):
 
 @_query(f"SELECT 'e' || event_id AS event_id, sha256({_EVENT_LINE}) AS payload_checksum FROM events")
 def event_files(spark, sf_dir):
+    return SF.events(spark, _event_folder(spark, sf_dir)).select("event_id", "payload_checksum")
+
+
+def _event_folder(spark, sf_dir) -> str:
     root = _folder(spark, "event-files")
     for suffix, odd in (("ndjson", 0), ("jsonl", 1)):
         some = _event_lines(spark, sf_dir).withColumn("odd", F.pmod(F.xxhash64("value"), F.lit(2))).where(F.col("odd") == odd).select("value")
@@ -126,7 +131,30 @@ def event_files(spark, sf_dir):
             path = status.getPath()
             if path.getName().endswith(".txt"):
                 fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(str(path.toString())[:-3] + suffix))
-    return SF.events(spark, root).select("event_id", "payload_checksum")
+    return root
+
+
+@_query(f"SELECT 'e' || event_id AS event_id, sha256({_EVENT_LINE}) AS payload_checksum FROM events")
+def event_source(spark, sf_dir):
+    """The same files as a stream of the source trailhead_events, which ends when it has all."""
+    CN.register(spark)
+    root, made = _event_folder(spark, sf_dir), _folder(spark, "event-source")
+    lines = spark.readStream.format("trailhead_events").option("settle", 0).load(root)
+    SI.run_available(spark, SF.event_lines(lines).select("event_id", "payload_checksum"), f"{made}/out", f"{made}/checkpoint")
+    return spark.read.parquet(f"{made}/out")
+
+
+@_query("SELECT 'text/plain' AS media_type, 'file' AS source_type, CAST(sum(strlen(source) + 1) AS BIGINT) AS n_bytes FROM documents")
+def document_source(spark, sf_dir):
+    """Files read by the source trailhead_documents; its filters leave out those of another suffix and of vendor/."""
+    CN.register(spark)
+    root = _folder(spark, "document-source")
+    for folder in ("notes", "vendor", "other"):
+        _docs(spark, sf_dir).select("source").write.option("compression", "none").text(f"{root}/{folder}")
+    found = spark.read.format("trailhead_documents").load(root).where("relative_path LIKE '%.txt' AND relative_path LIKE 'notes/%'")
+    return found.groupBy("media_type", "source_type").agg(F.sum("length").alias("n_bytes"))
+
+
 
 
 @_query("""
