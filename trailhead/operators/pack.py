@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import hashing as H
@@ -88,34 +89,31 @@ def _survivors(rows: list[tuple], budget: Budget) -> list[int]:
     return sorted(out)
 
 
-def _pruned(drafts: DataFrame, budget: Budget, rejects: bool, pack: str, place: str, held_rows: int = 50_000) -> DataFrame:
-    """Drafts without those that can neither be taken nor are listed as rejected, as far as one task sees.
+def _pruned(drafts: DataFrame, budget: Budget, pack: str, place: str, held_rows: int = 20_000) -> DataFrame:
+    """Drafts without those that can't be taken, as far as one task sees. Drafts have a _size, not the surface itself.
 
-    What is left of a pack in a task has a bound by the budget, whatever the number of its drafts.
+    What is left of a pack in a task has a bound by the budget, whatever the number of its drafts. Every pack keeps a row.
     """
     if budget.max_items <= 0 and budget.chars() is None and budget.max_tokens <= 0:
         return drafts
-    low = schema.trust_rank(F.col("trust_level")) < schema.TRUST_RANK.get(budget.required_trust, -1)
-    gated = _gate(drafts).isNotNull() | F.coalesce(low, F.lit(False))
-    plain = ~F.col("required") & ~gated & ~F.isnan("score") & F.col(place).isNotNull() & F.col("surface").isNotNull()
-    silent = F.col("score") < budget.reject_floor if rejects else F.lit(True)
+    gated = _reason(drafts, budget).isNotNull()
+    plain = ~F.col("required") & ~gated & ~F.isnan("score") & F.col(place).isNotNull() & F.col("_size").isNotNull()
     names = drafts.columns
-    marks = (plain.alias("_plain"), silent.alias("_silent"), (gated & F.lit(not rejects)).alias("_gone"), F.octet_length("surface").alias("_size"))
-    marked = drafts.select(*names, *marks)
+    marked = drafts.select(*names, plain.alias("_plain"), gated.alias("_gone"))
 
     def run(batches):
         held, rows = [], 0
 
         def pruned() -> pa.Table:
             t = pa.Table.from_batches(held)
-            packs, plain, silent, gone = (t[c].to_pylist() for c in (pack, "_plain", "_silent", "_gone"))
+            packs, plain, gone = (t[c].to_pylist() for c in (pack, "_plain", "_gone"))
             at = [i for i, x in enumerate(plain) if x]
             some = t.take(pa.array(at, pa.int64()))
             ranks = [-x for x in some["score"].to_pylist()]
             live = {at[i] for i in _survivors(list(zip(some[pack].to_pylist(), ranks, some[place].to_pylist(), some["_size"].to_pylist())), budget)}
             # one row of each pack stays, as a pack that takes nothing has a row too
             live.update({p: i for i, p in enumerate(packs)}.values())
-            return t.take(pa.array([i for i in range(len(t)) if i in live or not (gone[i] or plain[i] and silent[i])], pa.int64()))
+            return t.take(pa.array([i for i in range(len(t)) if i in live or not (gone[i] or plain[i])], pa.int64()))
 
         for batch in batches:
             held.append(batch)
@@ -132,29 +130,41 @@ def _pruned(drafts: DataFrame, budget: Budget, rejects: bool, pack: str, place:
     return marked.mapInArrow(run, drafts.schema)
 
 
-def select(drafts: DataFrame, budget: Budget, pack: str = "pack_id", place: str = "place", rejects: bool = True) -> DataFrame:
-    """One row for each pack: evidence and rejected items, bytes used, error.
+def _reason(x, budget: Budget) -> Column:
+    """Why an item is rejected whatever room there is, else null."""
+    return _gate(x).when(schema.trust_rank(x["trust_level"]) < schema.TRUST_RANK.get(budget.required_trust, -1), "trust_below_required")
 
-    Drafts are taken required first, then by score, each if it still fits, so a later smaller one may follow one that
-    doesn't. A required one that doesn't fit ends the pack with the error budget_exhausted_required. What can't be in
-    the result is dropped before a pack's drafts meet in one row, so a row is bounded by the budget and by the rejected
-    items; without rejects none of these are listed.
-    """
-    item = F.struct(
+
+#: Of an item, all but its surface; _size stands where the surface does, and _own is the draft's own place.
+_LIGHT = "struct<id:string,class:string,trust_level:string,source_id:string,span_start:bigint,span_end:bigint,checksum:string,_size:bigint,score:double,required:boolean>"
+_FIELDS = ["id", "class", "trust_level", "source_id", "span_start", "span_end", "checksum", "_size", "score", "required"]
+
+
+def _light(drafts: DataFrame, pack: str, place: str) -> DataFrame:
+    """Distinct drafts without their surfaces: pack, place, _own, and _draft, by which they are considered in order."""
+    own = drafts.withColumns({"_size": F.octet_length("surface").cast("bigint"), "_own": F.col(place)}).select(pack, place, "_own", *_FIELDS)
+    return dedup(own, pack, place)
+
+
+def _draft(place: str) -> Column:
+    return F.struct(
         (~F.col("required")).alias("later"),
         (-F.col("score")).alias("rank"),
         F.col(place).alias("place"),
-        F.struct("id", "class", "trust_level", "source_id", "span_start", "span_end", "checksum", "surface", "score", "required").cast(ITEM).alias("item"),
+        F.struct(*_FIELDS).cast(_LIGHT).alias("item"),
+        F.col("_own").alias("own"),
     )
-    packs = _pruned(dedup(drafts, pack, place), budget, rejects, pack, place).groupBy(pack).agg(F.array_sort(F.collect_list(item)).alias("drafts"))
-    none = F.array().cast(f"array<{ITEM}>")
-    bad = F.array().cast("array<struct<item:" + ITEM + ",reason:string>>")
-    start = F.struct(none.alias("taken"), bad.alias("rejected"), F.lit(0).cast("bigint").alias("used"), F.lit(None).cast("string").alias("error"))
+
+
+def _chosen(light: DataFrame, budget: Budget, pack: str, place: str) -> DataFrame:
+    """One row for each pack: the drafts taken in order, bytes used, error, and the draft at which it ended with that."""
+    packs = _pruned(light, budget, pack, place).groupBy(pack).agg(F.array_sort(F.collect_list(_draft(place))).alias("drafts"))
+    draft = packs.schema["drafts"].dataType.elementType.simpleString()
+    start = F.struct(F.array().cast(f"array<{draft}>").alias("taken"), F.lit(0).cast("bigint").alias("used"), F.lit(None).cast("string").alias("error"), F.lit(None).cast(draft).alias("stop"))
 
     def step(s: Column, d: Column) -> Column:
         x = d["item"]
-        size = F.octet_length(x["surface"])
-        gate = _gate(x).when(schema.trust_rank(x["trust_level"]) < schema.TRUST_RANK.get(budget.required_trust, -1), "trust_below_required")
+        size = x["_size"]
         room = F.lit(True)
         if budget.max_items > 0:
             room = room & (F.size(s["taken"]) < budget.max_items)
@@ -164,29 +174,85 @@ def select(drafts: DataFrame, budget: Budget, pack: str = "pack_id", place: str
         if budget.max_tokens > 0:
             tight = tight & (F.floor((s["used"] + size) / 4) <= budget.max_tokens)
         fits = F.when(x["required"], room).otherwise(tight)
-        note = lambda why: F.concat(s["rejected"], F.array(F.struct(x.alias("item"), why.cast("string").alias("reason"))))
 
-        def state(taken=None, rejected=None, used=None, error=None) -> Column:
+        def state(taken=None, used=None, error=None, stop=None) -> Column:
             return F.struct(
                 (s["taken"] if taken is None else taken).alias("taken"),
-                (s["rejected"] if rejected is None else rejected).alias("rejected"),
                 (s["used"] if used is None else used).cast("bigint").alias("used"),
                 (s["error"] if error is None else error).cast("string").alias("error"),
+                (s["stop"] if stop is None else stop).alias("stop"),
             )
 
         return (
-            F.when(s["error"].isNotNull(), s)
-            .when(gate.isNotNull(), state(rejected=note(gate)) if rejects else s)
-            .when(fits, state(taken=F.concat(s["taken"], F.array(x)), used=s["used"] + size))
-            .when(x["required"], state(error=F.lit("budget_exhausted_required")))
-            .when(F.lit(rejects) & (x["score"] >= budget.reject_floor), state(rejected=note(F.lit("budget_trim"))))
+            F.when(s["error"].isNotNull() | _reason(x, budget).isNotNull(), s)
+            .when(fits, state(taken=F.concat(s["taken"], F.array(d)), used=s["used"] + size))
+            .when(x["required"], state(error=F.lit("budget_exhausted_required"), stop=d))
             .otherwise(s)
         )
 
-    done = packs.withColumn("s", F.aggregate("drafts", start, step))
-    gates = F.filter("s.rejected", lambda r: r["reason"] != "budget_trim")
-    trims = F.filter("s.rejected", lambda r: r["reason"] == "budget_trim")
-    return done.select(pack, F.col("s.taken").alias("evidence"), F.concat(gates, trims).alias("rejected"), F.col("s.used").alias("used_bytes"), F.col("s.error").alias("error"))
+    return packs.select(pack, F.aggregate("drafts", start, step).alias("s")).select(pack, "s.*")
+
+
+def _refused(light: DataFrame, chosen: DataFrame, budget: Budget, pack: str, place: str) -> DataFrame:
+    """One row for each rejected draft: pack, _draft, reason. chosen has a row a pack and is broadcast."""
+    listed = light.withColumn("_why", F.coalesce(_reason(light, budget), F.when(F.col("score") >= budget.reject_floor, "budget_trim"))).where("_why is not null")
+    ends = F.broadcast(chosen.select(F.col(pack).alias("_pack"), "taken", "stop"))
+    both = listed.withColumn("_draft", _draft(place)).join(ends, F.col(pack).eqNullSafe(F.col("_pack")))
+    # what comes at or behind the required draft that ended the pack isn't looked at any more
+    seen = F.col("stop").isNull() | (F.col("_draft") < F.col("stop"))
+    return both.where(seen & ~F.array_contains("taken", F.col("_draft"))).select(pack, "_draft", F.col("_why").alias("reason"))
+
+
+def rejections(drafts: DataFrame, budget: Budget, pack: str = "pack_id", place: str = "place") -> DataFrame:
+    """One row for each draft that select() lists as rejected: pack, id, class, trust_level, source_id, span, checksum, score, required, reason.
+
+    Neither texts nor lists of rejected drafts meet anywhere, so it may be asked of packs of any number of drafts.
+    """
+    light = _light(drafts, pack, place)
+    found = _refused(light, _chosen(light, budget, pack, place), budget, pack, place)
+    return found.select(pack, *(F.col(f"_draft.item.{c}").alias(c) for c in _FIELDS if c != "_size"), "reason")
+
+
+def _with_surfaces(listed: DataFrame, drafts: DataFrame, pack: str, place: str) -> DataFrame:
+    """Listed drafts (pack, _at, _draft, reason) with their surfaces again: pack, _at, item, reason."""
+    texts = drafts.withColumns({"_size": F.octet_length("surface").cast("bigint"), "_own": F.col(place)}).select(F.col(pack).alias("_pack"), "_own", *_FIELDS, "surface")
+    item = F.col("_draft.item")
+    same = F.col(pack).eqNullSafe(F.col("_pack")) & F.col("_draft.own").eqNullSafe(F.col("_own"))
+    for c in _FIELDS:
+        same = same & item[c].eqNullSafe(F.col(c).cast(T.StructType.fromDDL(_LIGHT.removeprefix("struct<").removesuffix(">"))[c].dataType))
+    full = F.struct(*(F.col("surface" if c == "_size" else c) for c in _FIELDS)).cast(ITEM)
+    # drafts that are equal in all of this are one
+    return listed.join(texts, same).select(pack, "_at", full.alias("item"), "reason").dropDuplicates([pack, "_at"])
+
+
+def select(drafts: DataFrame, budget: Budget, pack: str = "pack_id", place: str = "place", rejects: bool = True) -> DataFrame:
+    """One row for each pack: evidence and rejected items, bytes used, error.
+
+    Drafts are taken required first, then by score, each if it still fits, so a later smaller one may follow one that
+    doesn't. A required one that doesn't fit ends the pack with the error budget_exhausted_required. Packs are chosen
+    by sizes alone; surfaces are joined to what is listed, so a row is bounded by the budget and by the rejected
+    items. Without rejects none of these are listed; where they are many, rejections() has them in rows of their own.
+
+    The drafts are read several times, so they should be a table or few rows.
+    """
+    light = _light(drafts, pack, place)
+    chosen = _chosen(light, budget, pack, place)
+    none = F.array().cast(f"array<{ITEM}>")
+    bad = F.array().cast("array<struct<item:" + ITEM + ",reason:string>>")
+    at = lambda trim, draft: F.struct(trim.alias("trim"), draft.alias("draft"))
+    taken = chosen.select(pack, F.explode("taken").alias("_draft")).select(pack, at(F.lit(False), F.col("_draft")).alias("_at"), "_draft", F.lit(None).cast("string").alias("reason"))
+    # the budget bounds what is taken
+    evidence = _with_surfaces(F.broadcast(taken), drafts, pack, place).groupBy(F.col(pack).alias("_taken")).agg(F.array_sort(F.collect_list(F.struct("_at", "item"))).alias("evidence"))
+    out = chosen.join(evidence, F.col(pack).eqNullSafe(F.col("_taken")), "left")
+    rejected = bad
+    if rejects:
+        refused = _refused(light, chosen, budget, pack, place).select(pack, at(F.col("reason") == "budget_trim", F.col("_draft")).alias("_at"), "_draft", "reason")
+        some = drafts.where(_reason(drafts, budget).isNotNull() | (F.col("score") >= budget.reject_floor))
+        each = _with_surfaces(refused, some, pack, place)
+        refused = each.groupBy(F.col(pack).alias("_refused")).agg(F.array_sort(F.collect_list(F.struct("_at", "item", "reason"))).alias("rejected"))
+        out = out.join(refused, F.col(pack).eqNullSafe(F.col("_refused")), "left")
+        rejected = F.coalesce(F.transform("rejected", lambda x: F.struct(x["item"].alias("item"), x["reason"].alias("reason"))), bad)
+    return out.select(pack, F.coalesce(F.transform("evidence", lambda x: x["item"]), none).alias("evidence"), rejected.alias("rejected"), F.col("used").alias("used_bytes"), "error")
 
 
 def _line(x: Column) -> list[Column]:

@@ -282,7 +282,8 @@ class Engine:
             "span_start", "span_end", F.col("text_checksum").alias("checksum"), F.col("text").alias("surface"), F.col("merged_score").alias("score"),
             (F.col("place") == 1).alias("required"), "place",
         )
-        made = K.select(drafts, budget)
+        # at most 20 rows; the search isn't made again for each use
+        made = K.select(self.spark.createDataFrame(drafts.collect(), drafts.schema), budget)
         return made.withColumn("checksum", K.checksum(F.col("evidence"), F.col("rejected"), F.col("pack_id"), project, plan_id(query), instructions=budget.instructions))
 
     def verify(self, packs: DataFrame, project: str, query: str, budget: K.Budget | None = None) -> DataFrame:
