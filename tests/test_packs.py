@@ -132,3 +132,45 @@ def test_few_drafts_of_a_large_pack_meet():
         every = [(p, i, s, "x" * n) for p, s, i, n in rows]
         assert plain_packs(some, items or 10**9, chars or 10**9) == plain_packs(every, items or 10**9, chars or 10**9)
         assert len(left) < len(rows) / 2
+
+
+def test_rejections_are_rows_and_texts_stay_out_of_python(spark):
+    rnd = random.Random(8)
+    kinds = [{}] * 8 + [{"class": "policy"}, dict(trust_level="untrusted"), dict(trust_level="quarantined")]
+    rows = [dict(pack_id=f"k{rnd.randrange(5)}", surface="w" * rnd.randrange(1, 40), score=rnd.randrange(10) / 10, required=rnd.random() < 0.04) | rnd.choice(kinds) for _ in range(300)]
+    # two packs of 40 copies each among them, and one that takes nothing
+    rows += [rows[0] | dict(source_id="same", score=rnd.random()) for _ in range(40)] + [dict(pack_id="none", surface="x" * 500)]
+    given, budget = drafts(spark, rows).repartition(7), K.Budget(max_items=5, max_chars=90, reject_floor=0.3)
+    packs = K.select(given, budget)
+    # what the Arrow function is given
+    line = next(x for x in packs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in x)
+    assert "score" in line and "surface" not in line
+    listed = {r["pack_id"]: [(x["item"]["id"], x["reason"]) for x in r["rejected"]] for r in packs.collect()}
+    assert listed["none"] == [("i340", "budget_trim")]
+    each = {}
+    for r in K.rejections(given, budget).collect():
+        each.setdefault(r["pack_id"], []).append((r["id"], r["reason"]))
+    assert {k: sorted(v) for k, v in each.items()} == {k: sorted(v) for k, v in listed.items() if v}
+    assert {why for v in listed.values() for _, why in v} == {"budget_trim", "trust_below_required", "quarantined", "instruction_or_policy_not_evidence"}
+    # the list by a plain loop over distinct drafts
+    for pack, got in listed.items():
+        best, place = {}, {}
+        for i, r in enumerate(rows):
+            key = (r.get("source_id", f"s{i}"), len(r["surface"]), r["surface"])
+            if r["pack_id"] == pack:
+                place.setdefault(key, i)
+                score, required = r.get("score", 0.5), r.get("required", False)
+                best[key] = max(best.get(key, (False, -1.0, 0)), (required, score, -i))
+        taken, used, gates, trims = 0, 0, [], []
+        for required, score, n in sorted(best.values(), key=lambda x: (not x[0], -x[1], place[(rows[-x[2]].get("source_id", f"s{-x[2]}"), len(rows[-x[2]]["surface"]), rows[-x[2]]["surface"])])):
+            r, size = rows[-n], len(rows[-n]["surface"])
+            gate = "instruction_or_policy_not_evidence" if r.get("class") == "policy" else {"quarantined": "quarantined", "untrusted": "trust_below_required"}.get(r.get("trust_level"))
+            if gate:
+                gates.append((f"i{-n}", gate))
+            elif taken < 5 and used + size <= 90:
+                taken, used = taken + 1, used + size
+            elif required:
+                break
+            elif score >= 0.3:
+                trims.append((f"i{-n}", "budget_trim"))
+        assert got == gates + trims

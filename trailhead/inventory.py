@@ -481,9 +481,7 @@ def query_forms(spark, sf_dir):
     SELECT r.pack_id, CAST(r.doc_id AS VARCHAR) AS id, 'budget_trim' AS reason FROM ranked r ANTI JOIN taken t USING (pack_id, doc_id) WHERE r.score >= 0.9
 """)
 def pack_rejections(spark, sf_dir):
-    packs = K.select(_drafts(spark, sf_dir), K.Budget(max_items=8, max_chars=4000, reject_floor=0.9))
-    each = packs.select("pack_id", F.explode("rejected").alias("r"))
-    return each.select("pack_id", F.col("r.item.id").alias("id"), F.col("r.reason").alias("reason"))
+    return K.rejections(_drafts(spark, sf_dir), K.Budget(max_items=8, max_chars=4000, reject_floor=0.9)).select("pack_id", "id", "reason")
 
 
 _CLASSES = ["source_text", "sense_claim", "concept_mapping", "model_inference", "tool_output", "attestation"]
