@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from fixtures import MARKS, TOWN, at, chunks, plain_answer
@@ -197,3 +199,28 @@ def test_overlap_join_of_ranges_from_seconds_to_decades(spark, cell_s):
     got = sorted((r["l_id"], r["r_id"]) for r in FI.overlap_join(a, b, cell_s).collect())
     assert got == want and len(want) > 100
     assert FI.overlap_join(a.limit(0), b).count() == FI.overlap_join(a, b.limit(0)).count() == 0
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    rnd = random.Random(5)
+    rows = [("p", "s", f"c{i}", " ".join(rnd.choice(["a", "Bb", "bb", "c-c", "ß"]) for _ in range(rnd.randrange(9)))) for i in range(60)] + [("p", "s", "none", None), ("p", "s", "bare", " .,")]
+
+    def plain(rows):
+        out = {}
+        for _, _, chunk, text in rows:
+            for w in re.findall(r"[\w-]+", (text or "").lower()):
+                out[w, chunk] = out.get((w, chunk), 0) + 1
+        return out
+
+    def found(rows):
+        return R.postings(spark.createDataFrame(rows, "project_id string, snapshot_id string, chunk_id string, text string").repartition(3))
+
+    once = found(rows)
+    assert "Exchange hash" not in once._jdf.queryExecution().executedPlan().toString()
+    got = once.collect()
+    assert {(r["token"], r["chunk_id"]): r["tf"] for r in got} == plain(rows) and len(got) == len(plain(rows))
+    assert {r["chunk_id"]: r["n_tokens"] for r in got} == {c: len(t.split()) for _, _, c, t in rows if t and c != "bare"}
+    # ids that are there twice, and null ones, are put together
+    again = [*rows, *rows[:20], ("p", "s", None, "a a"), ("p", "s", None, "a b")]
+    got = found(again).collect()
+    assert {(r["token"], r["chunk_id"]): r["tf"] for r in got} == plain(again) and len(got) == len(plain(again))

@@ -54,11 +54,43 @@ def sparse(chunks: DataFrame, query: str, limit: int = 20, f: FI.Filters = FI.Fi
     return _one(M.normalize(best.where(FI.condition(f))), "sparse", ["sparse_overlap"], f)
 
 
+#: So many repeated chunk ids are broadcast; beyond, all postings are merged by a shuffle.
+MANY_REPEATED = 100_000
+
+
+def _counts(words: Column) -> Column:
+    """array<struct<token, tf, n_tokens>>: a text's distinct words, from their sorted list."""
+
+    def of(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        one = lambda h: F.transform(h, lambda at, k: F.struct(F.get(s, at).alias("token"), (F.coalesce(F.get(h, k + 1), F.size(s)) - at).cast("bigint").alias("tf"), F.size(s).alias("n_tokens")))
+        return F.when(F.size(s) > 0, F.transform(F.array(heads), one)[0])
+
+    # each list is made once
+    return F.transform(F.array(F.sort_array(words)), of)[0]
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """One row for each word of a chunk: project_id, snapshot_id, token, chunk_id, tf, n_tokens."""
-    t = chunks.withColumn("tokens", X.tokens(F.col("text")))
-    each = t.select("project_id", "snapshot_id", "chunk_id", F.size("tokens").alias("n_tokens"), F.explode_outer("tokens").alias("token")).where("token is not null")
-    return each.groupBy("project_id", "snapshot_id", "token", "chunk_id").agg(F.count("*").alias("tf"), F.first("n_tokens").alias("n_tokens"))
+    """One row for each word of a chunk: project_id, snapshot_id, token, chunk_id, tf, n_tokens.
+
+    Words are counted within their row, so nothing is shuffled. Only rows that share a chunk's id are put together; these
+    ids are looked for first, by a count over the ids alone.
+    """
+    key = ["project_id", "snapshot_id", "chunk_id"]
+    order = ["project_id", "snapshot_id", "token", "chunk_id"]
+    # explode() would put a filter below that counts once more
+    each = lambda rows: rows.select(*key, F.explode_outer(_counts(X.tokens(F.col("text")))).alias("_w")).where("_w is not null").select(*order[:2], "_w.token", "chunk_id", "_w.tf", "_w.n_tokens")
+    merged = lambda rows: each(rows).groupBy(*order).agg(F.sum("tf").alias("tf"), F.first("n_tokens").alias("n_tokens"))
+    repeated = chunks.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
+    many = repeated.limit(MANY_REPEATED + 1).count()
+    if not many:
+        return each(chunks)
+    if many > MANY_REPEATED:
+        return merged(chunks)
+    few = F.broadcast(repeated.select(*(F.col(c).alias(f"_{c}") for c in key), F.lit(True).alias("_again")))
+    same = F.col(key[0]).eqNullSafe(F.col(f"_{key[0]}")) & F.col(key[1]).eqNullSafe(F.col(f"_{key[1]}")) & F.col(key[2]).eqNullSafe(F.col(f"_{key[2]}"))
+    both = chunks.select(*key, "text").join(few, same, "left")
+    return each(both.where("_again is null")).unionByName(merged(both.where("_again")))
 
 
 def full_text(index: DataFrame, query: str, limit: int = 20) -> DataFrame:

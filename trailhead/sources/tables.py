@@ -71,7 +71,8 @@ def put_vectors(df: DataFrame, path: str, version: str, vector: str = "embedding
 def put_postings(chunks: DataFrame, path: str) -> None:
     """Postings in order of the token, so that a query's tokens touch few row groups."""
     index = R.postings(chunks)
-    index = index.repartitionByRange(*SCOPE, "token").sortWithinPartitions(*SCOPE, "token", "chunk_id")
+    # a frequent word's postings are several tasks'
+    index = index.repartitionByRange(*SCOPE, "token", "chunk_id").sortWithinPartitions(*SCOPE, "token", "chunk_id")
     index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#token", "true").partitionBy(*SCOPE).parquet(path)
 
 
