@@ -1,6 +1,9 @@
 import hashlib
 import json
+import re
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +252,32 @@ def H_OF(text):
 def test_time_text(spark):
     t = spark.createDataFrame([("2024-01-02 03:04:05.120000",), ("2024-01-02 03:04:05",)], "t string").select(H.utc_text(F.col("t").cast("timestamp")).alias("x"))
     assert [r["x"] for r in t.collect()] == ["2024-01-02T03:04:05.12Z", "2024-01-02T03:04:05Z"]
+
+
+def test_token_spans_stay_in_their_rows(spark):
+    rows = [(f"c{i % 5}", i, t) for i, t in enumerate(["", " ", "a", "é b c\td ", "\n\nx", "no end", "ü", None, "a\x0bb  c", "日本 語"])]
+    c = spark.createDataFrame(rows, "chunk_id string, span_start long, text string").repartition(2)
+    found = P.index_tokens(c, ["span_start"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hash" not in plan
+    want = []
+    for chunk, at, text in rows:
+        for n, m in enumerate(re.finditer(rb"[^ \t\n\x0b\f\r]+", (text or "").encode())):
+            want.append((chunk, f"{chunk}:{n}", m[0].decode(), at + m.start(), at + m.end(), at))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_composed_texts_stay_in_the_jvm(spark):
+    texts = ["plain", "n\u00e9 \u00dcn\u00ef \u02ff", "\u041a\u0438\u0439 \u0451\u0436", "e\u0301", "\u0438\u0306", "\u212b", "\u0395\u03bb\u0301", "\u65e5\u672c", "\u0483", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", X.nfc(F.col("t")).alias("n"), (~F.col("t").rlike(f"[^{X.COMPOSED}]")).alias("here")).collect()
+    assert [r["n"] for r in got] == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert [r["here"] for r in got] == [True] * 2 + [False] * 7 + [None]
+
+
+def test_pdf_texts_are_objects_a_portion_at_a_time():
+    held = []
+    parts = [pa.array([b"%PDF-1.4 (" + b"x" * 50_000 + b") Tj"] * 300 + [None, b"none"])]
+    spy = lambda x: held.append(x) or P.pdf_text(x)
+    out = next(X.each_text(iter(parts), spy))
+    assert out.to_pylist() == ["x" * 50_000] * 300 + [None, None] and len(held) == 301

@@ -399,8 +399,7 @@ def token_stats(spark, sf_dir):
 @_query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS w FROM documents)
     SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(strlen(w)) AS BIGINT) AS n_bytes FROM t GROUP BY doc_id""")
 def index_tokens(spark, sf_dir):
-    c = plain_chunks(spark, sf_dir)
-    t = P.index_tokens(c).join(c.select("chunk_id", "doc_id").distinct(), "chunk_id")
+    t = P.index_tokens(plain_chunks(spark, sf_dir), ["doc_id"])
     return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"))
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,16 +15,31 @@ WORD = r"[\p{L}\p{Nd}_-]+"
 SEGMENT = r"[\p{L}\p{Nd}_-]+|[^\p{L}\p{Nd}_-]+"
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+#: Bytes that Python has as objects at a time; a batch may be far larger.
+PORTION_BYTES = 2 << 20
+
+
+def each_text(batches: Iterator[pa.Array], fn: Callable[[object], str | None]) -> Iterator[pa.Array]:
+    """fn of every value, nulls but for nulls; of a batch a portion at a time."""
+    for a in batches:
+        rows = max(1, len(a) * PORTION_BYTES // max(1, a.nbytes))
+        some = (a.slice(at, rows).to_pylist() for at in range(0, len(a), rows))
+        yield pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if x is None else fn(x) for x in xs], pa.string()) for xs in some)])
+
+
+@F.arrow_udf(T.StringType())
+def _nfc(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from each_text(parts, lambda x: unicodedata.normalize("NFC", x))
+
+
+#: Characters that are composed already and take no part in compositions. One range, as every character of every text is tried.
+COMPOSED = r"\x00-\x{2FF}"
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition. Only text beyond ASCII leaves the JVM."""
-    ascii_only = ~text.rlike(r"[^\x00-\x7F]")
-    return F.when(ascii_only, text).otherwise(_nfc(F.when(~ascii_only, text)))
+    """Canonical composition. Only text with other characters than COMPOSED leaves the JVM."""
+    composed = ~text.rlike(f"[^{COMPOSED}]")
+    return F.when(composed, text).otherwise(_nfc(F.when(~composed, text)))
 
 
 def for_hashing(content: Column) -> Column:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,16 +73,14 @@ def pdf_text(content: bytes) -> str | None:
     return b" ".join(found).decode("utf-8", "replace")
 
 
-@F.pandas_udf(T.StringType())
-def _html(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in pages:
-        yield s.map(html_text, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _html(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from X.each_text(pages, html_text)
 
 
-@F.pandas_udf(T.StringType())
-def _pdf(files: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in files:
-        yield s.map(lambda x: pdf_text(bytes(x)), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _pdf(files: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from X.each_text(files, pdf_text)
 
 
 def html_column(page: Column) -> Column:
@@ -203,12 +204,50 @@ def chunk(docs: DataFrame, project: str, snapshot: str, path: str = "relative_pa
     )
 
 
-def index_tokens(chunks: DataFrame) -> DataFrame:
-    """Tokens between white space, with absolute byte spans: chunk_id, token_id (chunk:number), surface, start, end."""
-    segments = F.regexp_extract_all("text", F.lit(r"(\S+|\s+)"), F.lit(1))
-    each = chunks.select("chunk_id", "span_start", F.posexplode_outer(segments).alias("i", "part")).where("part is not null")
-    w = Window.partitionBy("chunk_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    words = F.count_if(~F.col("part").rlike(r"^\s")).over(w)
-    at = F.col("span_start") + F.coalesce(F.sum(F.octet_length("part")).over(w), F.lit(0))
-    placed = each.withColumns({"start": at, "n": words}).where(~F.col("part").rlike(r"^\s"))
-    return placed.select("chunk_id", F.concat("chunk_id", F.lit(":"), "n").alias("token_id"), F.col("part").alias("surface"), "start", (F.col("start") + F.octet_length("part")).alias("end"))
+#: What \s is to Spark's regular expressions.
+_WHITE = np.zeros(256, bool)
+_WHITE[list(b" \t\n\x0b\f\r")] = True
+
+
+def _token_batch(batch: pa.RecordBatch, kept: int) -> pa.RecordBatch:
+    """The words of a batch (chunk_id, span_start, text, kept columns), by one look at all its bytes."""
+    texts = batch.column(2).cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    word = ~_WHITE[data]
+    # a word begins behind white space or where its text does
+    opens, ends = word.copy(), word.copy()
+    opens[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    opens[edges], ends[edges - 1] = word[edges], word[edges - 1]
+    start, end = np.flatnonzero(opens), np.flatnonzero(ends) + 1
+    row = np.searchsorted(offsets, start, "right") - 1
+    number = np.arange(len(row)) - np.searchsorted(row, row)
+    at = pc.add(batch.column(1).cast(pa.int64()).take(pa.array(row)), pa.array(start - offsets[row]))
+    surface = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(np.append(0, np.cumsum(end - start))), pa.py_buffer(data[word])).cast(pa.string())
+    chunk = batch.column(0).take(pa.array(row))
+    token = pc.binary_join_element_wise(chunk, pa.array(number).cast(pa.string()), ":")
+    more = [batch.column(3 + i).take(pa.array(row)) for i in range(kept)]
+    return pa.RecordBatch.from_arrays([chunk, token, surface, at, pc.add(at, pa.array(end - start)), *more], names=[str(i) for i in range(5 + kept)])
+
+
+def index_tokens(chunks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Tokens between white space, with absolute byte spans: chunk_id, token_id (chunk:number), surface, start, end, columns to keep.
+
+    A row's words are found within its task; rows of one chunk id are chunks of their own.
+    """
+    given = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "span_start", "text", *keep).where("text is not null")
+    kinds = {f.name: f.dataType.simpleString() for f in given.schema}
+    names = ["chunk_id", "token_id", "surface", "start", "end", *keep]
+    shape = ", ".join(f"`{n}` {k}" for n, k in zip(names, ["string", "string", "string", "bigint", "bigint", *(kinds[c] for c in keep)]))
+    many = len(keep)
+
+    def run(batches):
+        for batch in batches:
+            rows = max(1, batch.num_rows * X.PORTION_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                yield _token_batch(batch.slice(at, rows), many).rename_columns(names)
+
+    return given.mapInArrow(run, shape)
