@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from fixtures import TOWN, chunks, plain_answer
 from pyspark.sql import functions as F
@@ -215,3 +216,10 @@ def test_cover_density_equals_brute_force(spark, texts, indexed):
     assert (best["chunk_id"], best["raw"]) == ("903", 5000.0)
     with pytest.raises(ValueError):
         R.top(indexed, "boat", 1, "else")
+
+
+def test_index_files_are_zstd(spark, tmp_path):
+    c = spark.createDataFrame([("p", "s", "c0", "a b a"), ("p", "s", "c1", "b")], "project_id string, snapshot_id string, chunk_id string, text string")
+    P.put(c, str(tmp_path))
+    found = sorted(tmp_path.rglob("*.parquet"))
+    assert found and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in found} == {"ZSTD"}

@@ -167,7 +167,7 @@ def blocks(chunks: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, by: Sequence[str], bloom: str) -> None:
-    out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP_BYTES)
+    out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd")
     out.option(f"parquet.bloom.filter.enabled#{bloom}", "true").partitionBy(*by).parquet(path)
 
 
