@@ -155,6 +155,25 @@ def test_only_the_row_groups_of_the_words_are_read(spark, tmp_path, monkeypatch)
     assert few.count() >= 12 and scanned(few.select("lists")) < whole / 8
 
 
+def test_an_index_takes_little_besides_its_lists(spark, tmp_path):
+    """No shuffle of the blocks, Bloom filters in proportion to their row groups, no lemmas that nobody reads."""
+    texts = [(i, " ".join(f"w{(i * 37 + k) % 20000:05d}" for k in range(40))) for i in range(1000)]
+    c = made(spark, texts)
+    P.put(c, str(tmp_path), ["", "xx"])
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 4 << 20
+    assert not (tmp_path / "lemmas").exists() and P.Index(spark, str(tmp_path), "p", "s").words().count() == len({w for _, t in texts for w in t.split()})
+    few = len(list((tmp_path / "blocks").rglob("*.parquet")))
+    assert few == P.BUCKETS * c.rdd.getNumPartitions()  # each task's own
+
+
+def test_order_of_codes(monkeypatch):
+    rnd = np.random.default_rng(3)
+    for most in (1, 1 << 16, 1 << 20, 1 << 31):
+        codes = rnd.integers(0, most, 5000).astype(np.int32)
+        assert P._order(codes).tolist() == np.argsort(codes, kind="stable").tolist()
+    assert len(P._order(codes[:0])) == 0
+
+
 def test_empty_table(spark, tmp_path):
     P.put(made(spark, []), str(tmp_path), ["en"])
     index = P.Index(spark, str(tmp_path), "p", "s")

@@ -8,11 +8,11 @@ of all occurrences, again as distances, from 0 in each chunk. The row of the emp
 of its chunks in order. All words of a chunk are in blocks of its segment, so that lists are merged segment by segment
 and never meet elsewhere.
 
-Rows are dealt by a hash of the word into folders, and within them by the segment, so that frequent words don't meet in one
-task; files are sorted by word, then by the greatest part, in small row groups with statistics and Bloom filters. A
-query's words are looked for in their folders alone and touch few row groups there, and blocks that can't reach a
-score are passed by. The vocabulary (word, chunks, occurrences) and the lemmas of the languages asked for (lemma, word) lie
-beside it.
+Rows lie in folders by a hash of the word. A task writes the blocks of its own segments, so that they aren't shuffled and
+frequent words don't meet in one task; files are sorted by word, then by the greatest part, in small row groups with statistics
+and Bloom filters. A query's words are looked for in their folders alone and touch few row groups there, and blocks that
+can't reach a score are passed by. The vocabulary (word, chunks, occurrences) and the lemmas of the languages asked for (lemma,
+word) lie beside it; a language without an adapter has no lemmas.
 
 Defined results: chunks without words are in no block; a null text has none; rows of one chunk id are chunks of their
 own; writing a snapshot's index again replaces it.
@@ -37,9 +37,8 @@ from ..functions import text as X
 SCOPE = ["project_id", "snapshot_id"]
 SEGMENT_BYTES = 12 << 20
 ROW_GROUP_BYTES = 1 << 20
-#: Folders that words are dealt to, and tasks that one folder's segments are; an index is read with those it was written with.
+#: Folders that words are dealt to; an index is read with those it was written with.
 BUCKETS = 16
-SPREAD = 4
 
 BLOCK = T.StructType(
     [
@@ -107,6 +106,14 @@ def _steps(values: np.ndarray, opens: np.ndarray) -> np.ndarray:
     return out
 
 
+def _order(codes: np.ndarray) -> np.ndarray:
+    """Stable order of numbers below 2^31, by their lower and then their upper 16 bits, which NumPy sorts in linear time."""
+    order = np.argsort(codes.astype(np.uint16), kind="stable").astype(np.int32)
+    if codes.max(initial=0) >> 16:
+        order = order[np.argsort((codes[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 def _segment(number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """The rows of a segment: first its own, then one a word. texts: words with one space between each two."""
     tokens = pc.split_pattern(texts, " ")
@@ -115,7 +122,7 @@ def _segment(number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     del tokens
     codes, names = words.indices.to_numpy(), words.dictionary
     # 32-bit integers: a segment is a few million words
-    order = np.argsort(codes, kind="stable").astype(np.int32)
+    order = _order(codes)
     doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
     place = order - np.repeat((np.cumsum(size) - size).astype(np.int32), size)[order]
     codes = codes[order]
@@ -157,6 +164,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = batch.slice(at, rows)
             yield _segment(task + number, *some.columns)
             number += 1
+            # a worker that idles or goes on doesn't keep what the largest segment took
+            pa.default_memory_pool().release_unused()
 
 
 def blocks(chunks: DataFrame) -> DataFrame:
@@ -166,28 +175,31 @@ def blocks(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.when(words != "", words).alias("words")).mapInArrow(_segments, BLOCK)
 
 
-def _write(df: DataFrame, path: str, by: Sequence[str], bloom: str) -> None:
-    out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd")
-    out.option(f"parquet.bloom.filter.enabled#{bloom}", "true").partitionBy(*by).parquet(path)
+def _write(df: DataFrame, path: str, by: Sequence[str], bloom: str, size: int) -> None:
+    out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", size).option("compression", "zstd")
+    # laid out for a word in 64 bytes; else each Bloom filter takes a megabyte, as much as a row group
+    out = out.option(f"parquet.bloom.filter.enabled#{bloom}", "true").option(f"parquet.bloom.filter.expected.ndv#{bloom}", max(1, size >> 6))
+    out.partitionBy(*by).parquet(path)
 
 
 def put(chunks: DataFrame, path: str, languages: Sequence[str] = ()) -> None:
     """Write the index of chunks (whole snapshots), replacing what these snapshots had.
 
-    The texts are read once, and their blocks move once; lemmas are made from the distinct words.
+    The texts are read once, and their blocks are written where they are made; lemmas are made from the distinct words.
     """
     spark = chunks.sparkSession
     # the snapshots, few rows
     for project, snapshot in sorted(chunks.select(*SCOPE).distinct().collect()):
         index = Index(spark, path, project, snapshot)
         rows = blocks(chunks.where((F.col("project_id") == project) & (F.col("snapshot_id") == snapshot))).withColumn("bucket", bucket(F.col("token")))
-        dealt = rows.repartition("bucket", F.pmod("segment", F.lit(SPREAD))).sortWithinPartitions("bucket", "token", F.desc("most"), "segment")
-        _write(dealt, index.folder("blocks"), ["bucket"], "token")
+        # a word is in a row group of every task that has it, so these are small
+        _write(rows.sortWithinPartitions("bucket", "token", F.desc("most"), "segment"), index.folder("blocks"), ["bucket"], "token", ROW_GROUP_BYTES // 4)
         counts = index._table("blocks").where("token <> ''").groupBy("token").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
-        _write(counts.sortWithinPartitions("token"), index.folder("words"), [], "token")
-        for tag in dict.fromkeys(L.adapter(x).tag for x in languages):
+        _write(counts.sortWithinPartitions("token"), index.folder("words"), [], "token", ROW_GROUP_BYTES)
+        # without an adapter lemmas are the words themselves, and nobody reads them
+        for tag in dict.fromkeys(tag for x in languages if (tag := L.adapter(x).tag)):
             each = index.words().select(F.lit(tag).alias("tag"), F.explode(L.adapter(tag).lemmas(F.col("token"))).alias("lemma"), "token")
-            _write(each.repartition("lemma").sortWithinPartitions("lemma", "token"), index.folder("lemmas"), ["tag"], "lemma")
+            _write(each.repartition("lemma").sortWithinPartitions("lemma", "token"), index.folder("lemmas"), ["tag"], "lemma", ROW_GROUP_BYTES)
 
 
 def among(column: Column, values: Sequence[str], ranges: int = 16) -> Column:
@@ -201,7 +213,8 @@ def among(column: Column, values: Sequence[str], ranges: int = 16) -> Column:
     size, within = -(-len(listed) // ranges), F.lit(False)
     for at in range(0, len(listed), size):
         some = listed[at : at + size]
-        one = (column >= some[0]) & (column <= some[-1])
+        # a range of one value is asked of the Bloom filters too
+        one = column == some[0] if len(some) == 1 else (column >= some[0]) & (column <= some[-1])
         within = one if at == 0 else within | one
     return column.isin(listed) & within
 
