@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,32 @@ def test_conflicts_are_exact(spark):
     assert got.where("versions < 2").count() == 0
 
 
+def test_rows_are_not_moved_to_few_keys(spark, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, keys = spark.range(100).withColumn("text", F.lit("x")), spark.range(10, 30).select("id")
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        for most, moved in ((20, False), (19, True)):
+            monkeypatch.setattr(E.ST, "MOST_KEYS", most)
+            for how, n in (("left_semi", 20), ("left_anti", 80)):
+                for given in (None, 20):
+                    got = E.ST.by_keys(rows, keys, "id", how, given)
+                    assert ("SortMergeJoin" in plan(got)) == moved and got.count() == n
+        assert E.ST.by_keys(rows, keys.limit(0), "id", "left_anti").count() == 100
+        assert E.ST.by_keys(rows, keys.limit(0), "id", "left_semi").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_contents_are_digested_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    key = F.udf(lambda x: seen.add(1) or hashlib.sha256(str(x).encode()).hexdigest())
+    leaves = spark.range(500).select(key("id").alias("path_key"), F.lit("l").alias("leaf"), F.lit("p").alias("project_id"), F.lit("s").alias("snapshot_id"))
+    E.ST.put_leaves(leaves, f"{tmp_path}/l", f"{tmp_path}/t")
+    assert seen.value == 500 and spark.read.parquet(f"{tmp_path}/l").select("path_key").distinct().count() == 500
+
+
 def test_an_ingest_parses_changed_files_only(spark, tmp_path, monkeypatch):
     given = []
     parse = E.P.parse

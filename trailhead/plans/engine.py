@@ -102,26 +102,27 @@ class Engine:
                 old, old_tree = old.limit(0), old_tree.limit(0)
             ST.put(S.tree_changes(old, now, old_tree, tree).withColumns(scope), self.table("changes"))
             changes = self.changes(project, snapshot)
+            counts = {r["status"]: r["n"] for r in changes.groupBy("status").agg(F.count("*").alias("n")).collect()}
+            touched = counts.get("added", 0) + counts.get("changed", 0)
             same_way = bool(before) and not enrich and self.state(project, before).get("made") == made
             some = files
             if same_way:
-                key = H.path_key(project, F.col("relative_path"))
-                some = files.withColumn("_key", key).join(S.to_process(changes).withColumnRenamed("path_key", "_key"), "_key", "left_semi").drop("_key")
+                key, binary = H.path_key(project, F.col("relative_path")), F.unhex("path_key").alias("_key")
+                some = ST.by_keys(files.withColumn("_key", F.unhex(key)), S.to_process(changes).select(binary), "_key", "left_semi", touched).drop("_key")
             c = self._chunked(some, project, snapshot, language, trust)
             if enrich:
                 c = enrich(c)
             if same_way:
-                gone = changes.where(F.col("status").isin("changed", "removed")).select("path_key")
-                kept = self._scan("chunks", project, before).join(gone, "path_key", "left_anti")
+                gone = changes.where(F.col("status").isin("changed", "removed")).select(binary)
+                old = self._scan("chunks", project, before).withColumn("_key", F.unhex("path_key"))
+                kept = ST.by_keys(old, gone, "_key", "left_anti", counts.get("changed", 0) + counts.get("removed", 0)).drop("_key")
                 c = c.unionByName(kept.withColumn("snapshot_id", F.lit(snapshot)))
             ST.put(c, self.table("chunks"))
             written = self._scan("chunks", project, snapshot)
             PO.put(written, self.table("index"), [language])
             self._mark(changes, project, snapshot)
             roots = {"source_root": S.tree_root(tree).first()["source_root"], "chunk_set_hash": S.chunk_set(written).first()["chunk_set_hash"]}
-            counts = {r["status"]: r["n"] for r in changes.groupBy("status").agg(F.count("*").alias("n")).collect()}
             total = tree.agg(F.sum("n")).first()[0] or 0
-            touched = counts.get("added", 0) + counts.get("changed", 0)
         except Exception as e:
             self._move(project, snapshot, "failed", f"{type(e).__name__}: {e}"[:500])
             raise
@@ -214,7 +215,7 @@ class Engine:
 
     def chunks(self, project: str, tombstones: DataFrame | None = None) -> DataFrame:
         """Chunks of the active snapshot without those of removed sources, and without those of further tombstones."""
-        c = FI.without_tombstones(self._scan("chunks", project, self.active(project)), self.tombstones(project))
+        c = ST.by_keys(self._scan("chunks", project, self.active(project)), self.tombstones(project).select("source_id"), "source_id", "left_anti")
         return FI.without_tombstones(c, tombstones) if tombstones is not None else c
 
     def index(self, project: str) -> PO.Index:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..functions.digests import LEAF_DIGITS
 from ..operators import retrieve as R
 from ..operators import snapshot as S
 
@@ -34,7 +35,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def put(df: DataFrame, path: str, by: Sequence[str] = SCOPE) -> None:
     """Write rows, replacing the partitions they belong to."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
 def scan(spark: SparkSession, path: str, project: str, snapshot: str | None = None) -> DataFrame:
@@ -45,16 +46,32 @@ def scan(spark: SparkSession, path: str, project: str, snapshot: str | None = No
     return rows.where(~F.coalesce("tombstoned", F.lit(False))) if "tombstoned" in rows.columns else rows
 
 
+#: Keys that are sent to all tasks, some 140 bytes each.
+MOST_KEYS = 1 << 20
+
+
+def by_keys(rows: DataFrame, keys: DataFrame, on: str, how: str, n: int | None = None) -> DataFrame:
+    """Rows whose key is among n distinct keys (how: left_semi), or isn't (left_anti).
+
+    The rows, which may hold texts, aren't moved; beyond MOST_KEYS, rows and keys meet in a shuffle. Without n the keys are counted.
+    """
+    n = keys.count() if n is None else n
+    if not n and how == "left_anti":
+        return rows
+    return rows.join(F.broadcast(keys) if n <= MOST_KEYS else keys, on, how)
+
+
 def get(spark: SparkSession, path: str, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows by key, tombstoned ones too."""
     return spark.read.parquet(path).join(keys, list(on))
 
 
 def put_leaves(leaves: DataFrame, path: str, trees: str) -> None:
-    """Write a snapshot's manifest, sorted by key, so that a prefix is in few row groups, and the tree over it."""
+    """Write a snapshot's manifest, dealt by prefix and sorted by key, so that a prefix is in few row groups, and the tree over it."""
     spark = leaves.sparkSession
     scope = leaves.select(*SCOPE).distinct()
-    ordered = leaves.repartitionByRange("path_key").sortWithinPartitions(*SCOPE, "path_key")
+    # by hash: ranges would be drawn from a first pass that digests all contents
+    ordered = leaves.repartition(F.substring("path_key", 1, LEAF_DIGITS)).sortWithinPartitions(*SCOPE, "path_key")
     put(ordered, path)
     written = spark.read.schema(leaves.schema).parquet(path).join(F.broadcast(scope), SCOPE, "left_semi")
     put(S.source_tree(written, SCOPE).coalesce(1), trees)
