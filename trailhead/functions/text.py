@@ -38,14 +38,15 @@ COMPOSED = r"\x00-\x{2FF}"
 
 def nfc(text: Column) -> Column:
     """Canonical composition. Only text with other characters than COMPOSED leaves the JVM."""
-    composed = ~text.rlike(f"[^{COMPOSED}]")
+    # ASCII is told by its length, without looking at every character
+    composed = (F.octet_length(text) == F.length(text)) | ~text.rlike(f"[^{COMPOSED}]")
     return F.when(composed, text).otherwise(_nfc(F.when(~composed, text)))
 
 
 def for_hashing(content: Column) -> Column:
     """Text of UTF-8 bytes: without byte order mark, line ends as \\n, composed; null where the bytes aren't UTF-8."""
     text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-    text = F.regexp_replace(text, "^﻿", "")
+    text = F.when(text.startswith("\ufeff"), F.substring(text, 2, (1 << 31) - 1)).otherwise(text)
     return nfc(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
 
 
