@@ -46,7 +46,7 @@ def scan(spark: SparkSession, path: str, project: str, snapshot: str | None = No
     return rows.where(~F.coalesce("tombstoned", F.lit(False))) if "tombstoned" in rows.columns else rows
 
 
-#: Keys that are sent to all tasks, some 140 bytes each.
+#: Keys that are sent to all tasks, by estimate some 140 bytes each.
 MOST_KEYS = 1 << 20
 
 
