@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -36,6 +37,43 @@ def test_parts_have_the_ids_of_whole_texts(library, monkeypatch):
     assert not e.pieces and not e.pieces.old
 
 
+def test_texts_of_a_portion_are_encoded_together(library):
+    rnd, e = random.Random(5), tokenfiles.Encoder(tokenizer_file())
+    plain = [*PLAIN, "'re", "'ve", "'d", "l", "v", "e", "   "]
+    for _ in range(300):
+        texts = [None if rnd.random() < 0.1 else "".join(rnd.choice(plain if rnd.random() < 0.8 else PARTS) for _ in range(rnd.randint(0, 9))) for _ in range(rnd.randint(0, 30))]
+        whole = pa.array(["not asked for", *texts], pa.string())
+        ids, n = e.encode_all(whole[1:], (2).to_bytes(4, "little"))
+        want = [[*library.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+        assert n.tolist() == [len(x) for x in want], texts
+        assert ids.tolist() == sum(want, []), texts
+
+
+def test_pieces_are_those_of_the_pre_tokenizer(library):
+    rnd = random.Random(6)
+    for _ in range(2000):
+        texts = ["".join(rnd.choice(["'", "s", "r", "e", "l", " ", " ", "\n", "1", "!", "é", "x"]) for _ in range(rnd.randint(0, 8))) for _ in range(4)]
+        raw = [x.encode() for x in texts]
+        starts = np.cumsum([0, *map(len, raw)])
+        want = [int(at) + len(x[:a].encode()) for at, x in zip(starts, texts) for _, (a, _) in library.pre_tokenizer.pre_tokenize_str(x)]
+        if starts[-1]:
+            assert tokenfiles.pieces(np.frombuffer(b"".join(raw), np.uint8), starts[:-1]).tolist() == want, texts
+
+
+def test_a_piece_is_looked_up_once_for_all_texts_of_a_portion():
+    class Counted(tokenfiles.Known):
+        asked = 0
+
+        def __getitem__(self, part):
+            self.asked += 1
+            return super().__getitem__(part)
+
+    e = tokenfiles.Encoder(tokenizer_file())
+    e.pieces = Counted(e.pieces.encode)
+    _, n = e.encode_all(pa.array(["a word and another word"] * 1000))
+    assert n.sum() >= 5000 and e.pieces.asked == 4
+
+
 def test_other_vocabularies_are_not_split():
     plain = {"pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}, "added_tokens": [], "model": {"type": "BPE"}}
     assert tokenfiles.splittable(plain)
