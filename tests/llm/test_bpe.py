@@ -1,6 +1,10 @@
+import gc
 import random
+import weakref
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trailhead.llm import bpe, common
@@ -45,6 +49,37 @@ def test_caches_go_when_other_work_begins():
     assert not e.chunks.young and not e.pieces.young and not e.pairs
 
 
+def test_vocabulary_goes_when_other_work_begins():
+    held = weakref.ref(bpe.encoder(tokenizer_file()))
+    common.begin(f"bpe {tokenizer_file()}")
+    assert held()
+    common.begin()
+    gc.collect()
+    assert held() is None
+
+
+def test_texts_come_in_bounded_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"))
+    try:
+        spark.conf.set(key, "10000")
+        got = [r["n"] for r in common.map_texts(rows, sizes, "n long").collect()]
+        assert sum(got) == 2500 and max(got) == common.BATCH_ROWS
+        # a bound of the session's own stays
+        spark.conf.set(key, "700")
+        got = [r["n"] for r in common.map_texts(rows, sizes, "n long").collect()]
+        assert sum(got) == 2500 and max(got) == 700
+        spark.conf.set(key, "10000")
+        assert bpe.encode(rows, tokenizer_file()).count() == 2500 and spark.conf.get(key) == str(common.BATCH_ROWS)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_invalid_utf8_is_replaced_as_the_library_does(reference):
     ids = [130, 131, 64]
     assert bpe.encoder(tokenizer_file()).decode(__import__("numpy").array(ids)) == reference.decode(ids, skip_special_tokens=False)

@@ -238,11 +238,17 @@ def _owner(path: str) -> str:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file. Its caches serve many tasks, and go when the worker turns to other work."""
+    """The worker's encoder for a tokenizer file. It serves many tasks, and goes, with its caches, when the worker turns to other work."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(Vocabulary(path))
-    common.hold(_owner(path), _ENCODERS[path].forget)
-    return _ENCODERS[path]
+    e = _ENCODERS[path]
+
+    def release():
+        _ENCODERS.pop(path, None)
+        e.forget()
+
+    common.hold(_owner(path), release)
+    return e
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 
 FOLDS = 5
 PORTION_BYTES = 2 << 20
+#: Rows of an Arrow batch of texts, where the session has Spark's own bound.
+BATCH_ROWS, SPARKS_BATCH_ROWS = 1000, 10_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -109,6 +112,10 @@ def begin(owner: str = "") -> None:
     for other in [k for k in _HELD if k != owner]:
         _HELD.pop(other)()
     pa.default_memory_pool().release_unused()
+    # glibc keeps what Python has freed
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def portions(batch: pa.RecordBatch, most: int = PORTION_BYTES):
@@ -118,6 +125,18 @@ def portions(batch: pa.RecordBatch, most: int = PORTION_BYTES):
         yield batch.slice(at, rows)
 
 
+def map_texts(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow, for rows that hold texts: batches have BATCH_ROWS rows at most.
+
+    An executor holds a batch a task outside its heap, and keeps that memory. Spark reads the bound when the plan runs, so it is
+    set for the session; one that was set to something else than Spark's own stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) == SPARKS_BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def with_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -151,7 +170,7 @@ def with_columns(
                     [*part.columns[:k], *fn(*(part.column(i) for i in at))], names=out_names
                 )
 
-    return df.select(*(F.col(f"`{c}`") for c in both)).mapInArrow(run, schema)
+    return map_texts(df.select(*(F.col(f"`{c}`") for c in both)), run, schema)
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -126,7 +126,7 @@ def rarity(docs: DataFrame, text: str, items: list[tuple[str, list[bytes]]], wid
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["shingle", "n"])
 
-    got = docs.select(F.col(text).alias("text")).mapInArrow(run, "shingle long, n long")
+    got = common.map_texts(docs.select(F.col(text).alias("text")), run, "shingle long, n long")
     totals = {r["shingle"]: r["n"] for r in got.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
     return {key: totals.get(i, 0) for key, i in numbers.items()}
 

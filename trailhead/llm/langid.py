@@ -107,7 +107,7 @@ def document_frequencies(rows: DataFrame, bits: int) -> tuple[np.ndarray, int]:
             where = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(where, size)), pa.array(np.append(df[where], n))], names=["bucket", "n"])
 
-    found = rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = common.map_texts(rows.select("text"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(size + 1, np.int64)
     df[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return df[:size], int(df[size])

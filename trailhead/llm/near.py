@@ -155,7 +155,7 @@ def _checked(rows: DataFrame, *part: Column) -> DataFrame:
     names = [f"part{i}" for i in range(len(part))]
     dealt = rows.select("component", *(p.cast("long").alias(n) for p, n in zip(part, names)), "node", "text")
     dealt = dealt.repartition("component", *names).sortWithinPartitions("component", *names, "node")
-    return dealt.mapInArrow(_verify, "a long, b long")
+    return common.map_texts(dealt, _verify, "a long, b long")
 
 
 def _parts(rows: Column, size: Column, part_rows: int) -> Column:
